@@ -66,7 +66,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def matcher(self):
-        """words of a text -> sum of weights of its matches outside exception phrases."""
+        """words of a text -> sum of weights of the entries that match outside exception phrases, each once."""
         import ahocorasick
 
         a = ahocorasick.Automaton()
@@ -74,20 +74,20 @@ class Lexicon:
         for p, w in [*((f" {x} ", w) for x, w in self.words), *((f" {x}", w) for x, w in self.stems)]:
             found[p] = max(w, found.get(p, 0.0))
         for p, w in found.items():
-            a.add_word(p, (len(p), w))
+            a.add_word(p, (len(p), w, p))
         spared = [f" {' '.join(folded(x))} " for x in self.exceptions]
         for p in spared:
-            a.add_word(p, (len(p), -1.0 - found.get(p, 0.0)))
+            a.add_word(p, (len(p), -1.0, p))
         if not len(a):
             return lambda words: 0.0
         a.make_automaton()
 
         def weigh(words: list[str]) -> float:
-            hits = [(end - n + 1, end, w) for end, (n, w) in a.iter(" " + " ".join(words) + " ")]
-            safe = [(s, e) for s, e, w in hits if w < 0]
-            if not safe:
-                return sum(w for _, _, w in hits)
-            return sum(w for s, e, w in hits if w > 0 and not any(x <= s and e <= y for x, y in safe))
+            hits = [(end - n + 1, end, w, k) for end, (n, w, k) in a.iter(" " + " ".join(words) + " ")]
+            safe = [(s, e) for s, e, w, _ in hits if w < 0]
+            if safe:
+                hits = [(s, e, w, k) for s, e, w, k in hits if w > 0 and not any(x <= s and e <= y for x, y in safe)]
+            return sum(dict((k, w) for _, _, w, k in hits).values())
 
         return weigh
 
@@ -129,7 +129,7 @@ def _lexicon(counts: list, totals: dict[int, int], size: int, least_z: float) ->
     for feature, a, b in counts:
         w = math.log((a + 0.5) / (totals[1] + 1) / ((b + 0.5) / (totals[0] + 1)))
         z = w / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= 3 and w >= 1.5 and z >= least_z:
+        if a >= 3 and w >= 2.0 and z >= least_z:
             scored[feature] = (z, w)
     kept: dict[str, float] = {}
     # A stem speaks for the longer stems and words that begin with it, if they weigh no more.
