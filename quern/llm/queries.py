@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, toxicity, warc_zip
+from . import bpe, exact_dedup, fingerprints, mixing, order_minhash, toxicity, warc_zip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.with_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_classes(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op3_fingerprints": op3_fingerprints,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE: dict[str, str] = {
