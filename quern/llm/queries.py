@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, mixing, order_minhash, toxicity, warc_zip
+from . import bpe, bwt_dedup, exact_dedup, fingerprints, mixing, order_minhash, paragraphs, toxicity, warc_zip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.without_repeats(_documents(spark, sf_dir))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
@@ -44,6 +48,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paragraphs.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_paragraphs", "n_removed", "removed_words", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.with_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -55,11 +64,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op8_paragraph_minhash": op8_paragraph_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_order_minhash": op10_order_minhash,
 }
