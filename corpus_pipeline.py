@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, mixing
+from quern.llm import bpe, exact_dedup, mixing, order_minhash, toxicity
 from quern.llm.common import scratch_path
 from quern.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the lexicon is learned from the labels of documents that aren't held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels).select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.exact_dedup(docs).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document of least doc_id stays."""
+    return order_minhash.one_of_each(docs).select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the proportion of their target weights; a document stands once for each pass that takes words of it."""
     return mixing.mixed_documents(docs).select(*COLUMNS)
@@ -26,7 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(docs, tokenizer_path())
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix_sources), ("bpe", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
 
 #: SQL has no counterpart of the tokenizer; the stages are tested one by one.
 ORACLE_SQL = None
