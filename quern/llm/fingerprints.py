@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BUCKETS = 256
 #: Which bytes of a window of five make a triplet, each kind hashed with its own seed.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
@@ -149,6 +151,8 @@ def with_edits(docs: DataFrame, buckets: int = 0) -> DataFrame:
     rows = keyed.withColumn("_next", F.lead("text").over(order)).withColumn("n_chars", n.cast("long"))
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("_edited", F.concat(F.substring("text", F.lit(1), n - third), F.coalesce(F.substring("_next", F.lit(1), third), F.lit(""))))
-    rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256)).withColumn("_f", two_fingerprints("text", "_edited"))
-    rows = rows.withColumn("_nf", F.lead("_f.a").over(order)).where("not _copy")
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.col("_f.a").alias("fingerprint"), F.col("_f.b").alias("edited_fingerprint"), F.col("_f.near").alias("near_edited"), alike(F.col("_f.a"), F.col("_nf")).alias("near_next"))
+    rows = rows.withColumn("_r", F.row_number().over(order)).withColumn("edited_sha256", F.sha2("_edited", 256)).withColumn("_f", two_fingerprints("text", "_edited"))
+    # What follows needs digests alone; written, they are the only rows that the second window deals out.
+    made = materialise(rows.select("_b", "_r", "_copy", "doc_id", "n_chars", "edited_sha256", F.col("_f.a").alias("fingerprint"), F.col("_f.b").alias("edited_fingerprint"), F.col("_f.near").alias("near_edited")), "fingerprints")
+    made = made.withColumn("_nf", F.lead("fingerprint").over(W.partitionBy("_b").orderBy("_r"))).where("not _copy")
+    return made.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", alike("fingerprint", "_nf").alias("near_next"))
