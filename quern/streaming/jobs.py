@@ -41,7 +41,7 @@ def run_to_end(stream: DataFrame, mode: str, latest_by: tuple[str, ...] = ()) ->
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    schema = stream.schema.add("_batch", "int")
+    schema = stream.schema.add("_batch", "integer")
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows") if q.lastProgress else spark.createDataFrame([], schema)
     if latest_by:
         rest = [c for c in stream.columns if c not in latest_by]
