@@ -28,10 +28,10 @@ def repeated_records(assign: DataFrame) -> DataFrame:
 
 def check_assignment(assign: DataFrame, groups: DataFrame) -> None:
     """Every record at most once, and only records that exist."""
-    if (bad := repeated_records(assign).first()) is not None:
-        raise AggregationError(f"record assigned twice: {bad.record_id}")
-    if (bad := unknown_records(assign, groups).first()) is not None:
-        raise AggregationError(f"unknown record: {bad.record_id}")
+    seen = assign.groupBy("record_id").agg(F.count("*").alias("n")).join(groups.select("record_id", F.lit(True).alias("known")), "record_id", "left")
+    bad = seen.where("n > 1 or known is null").first()
+    if bad is not None:
+        raise AggregationError(f"{'unknown record' if bad.known is None else 'record assigned twice'}: {bad.record_id}")
 
 
 def question_counts(assign: DataFrame, groups: DataFrame) -> DataFrame:

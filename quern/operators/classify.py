@@ -22,15 +22,19 @@ class Classifier(Protocol):
         ...
 
 
+def signed(groups: DataFrame) -> DataFrame:
+    """groups with the signature of each, computed unless it is there already."""
+    return groups if "signature" in groups.columns else groups.withColumn("signature", T.signature(F.col("key")))
+
+
 def token_corpus(groups: DataFrame) -> DataFrame:
     """(token, freq): how many messages have the token in their signature."""
-    return groups.select(F.explode(T.signature(F.col("key"))).alias("token"), "count").groupBy("token").agg(F.sum("count").alias("freq"))
+    return signed(groups).select(F.explode("signature").alias("token"), "count").groupBy("token").agg(F.sum("count").alias("freq"))
 
 
 def signature_buckets(groups: DataFrame) -> DataFrame:
     """(signature, count, n_records, text): groups by signature; the message seen most speaks for a bucket, of equals the greatest id."""
-    signed = groups.withColumn("signature", T.signature(F.col("key")))
-    return signed.groupBy("signature").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.max_by("redacted_text", F.struct("count", "record_id")).alias("text"))
+    return signed(groups).groupBy("signature").agg(F.sum("count").alias("count"), F.count("*").alias("n_records"), F.max_by("redacted_text", F.struct("count", "record_id")).alias("text"))
 
 
 class Deterministic:
@@ -57,7 +61,8 @@ class Deterministic:
         )
 
     def classify(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        q = self.questions(groups)
-        assign = groups.select("record_id", T.signature(F.col("key")).alias("signature")).join(q.select("signature", "question_id"), "signature").select("record_id", "question_id")
+        # A row for each question, read by every count that follows.
+        q = self.questions(groups).persist()
+        assign = signed(groups).select("record_id", "signature").join(q.select("signature", "question_id"), "signature").select("record_id", "question_id")
         theme = q.groupBy("theme_id").agg(F.min_by("theme_name", "position").alias("name"))
         return assign, q.select("question_id", "canonical_question", "theme_id", "position"), theme

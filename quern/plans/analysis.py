@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import preprocess as P
-from ..operators.classify import Classifier, Deterministic
+from ..operators.classify import Classifier, Deterministic, signed
 from ..operators.filters import Request, check_selection, conversation_rows, values_keeping_rows
 
 
@@ -27,8 +28,8 @@ class Analysis:
 def analyze(df: DataFrame, row_ix: Column, request: Request, classifier: Classifier | None = None) -> Analysis:
     """Filter, mask, group, classify, count. row_ix is the physical order of rows.
 
-    The groups are persisted, as classification, counting and examples all read them; they
-    are the distinct messages, not the rows.
+    The groups, with their signatures, are persisted, as classification, counting and
+    examples all read them; they are the distinct messages, not the rows.
     """
     request.check()
     check_selection(df, request)
@@ -37,10 +38,10 @@ def analyze(df: DataFrame, row_ix: Column, request: Request, classifier: Classif
     else:
         rows = P.messages(values_keeping_rows(df, row_ix, request.text_column, request.filters))
     summary = P.summary(rows)
-    groups = P.groups(rows).persist()
+    groups = signed(P.groups(rows)).persist()
     assign, question, theme = (classifier or Deterministic()).classify(groups)
     A.check_assignment(assign, groups)
-    analyzed = summary.first()["analyzed_count"]
+    analyzed = groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     top = A.top_questions(assign, question, groups, analyzed, request.top_n)
     themes = A.themes(assign, question, theme, groups, analyzed, top)
     report = A.report(summary, top, themes, A.executive_summary(top, themes, analyzed))

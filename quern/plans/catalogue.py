@@ -315,7 +315,7 @@ def theme_assign(spark, d):
 
 
 def _analysis(spark, d, top_n=10):
-    return analyze(_docs(spark, d), F.col("doc_id"), R.Request("text", top_n=top_n))
+    return analyze(_spread(_docs(spark, d)), F.col("doc_id"), R.Request("text", top_n=top_n))
 
 
 _N = "(SELECT count(*) FROM m WHERE status = 'analyzed')"
