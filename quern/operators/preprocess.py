@@ -37,7 +37,9 @@ def messages(values: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     """(row_ix, status, masked, key, redacted, record_id) of rows (row_ix, value)."""
     x = message_status(F.col("value"), least_length)
     rows = values.select("row_ix", "value", x["text"].alias("_text")).withColumn("masked", T.redact(F.col("_text"))).withColumn("key", T.normalize(F.col("masked")))
-    status = F.when(F.col("value").isNull(), "null").when(F.col("_text") == "", "blank").when(F.length("_text") < least_length, "short").when(T.is_system(F.col("_text")), "system").when(T.is_courtesy(F.col("_text")), "courtesy")
+    status = F.when(F.col("value").isNull(), "null").when(F.col("_text") == "", "blank").when(F.length("_text") < least_length, "short").when(T.is_system(F.col("_text")), "system")
+    # Masks leave at least as many words as they take in, more than any courtesy has; so a courtesy is its own masked text.
+    status = status.when((F.col("masked") == F.col("_text")) & F.col("key").isin(*T.COURTESY), "courtesy")
     status = status.when(F.col("key") == "", "empty").when(T.is_only_masks(F.col("key")), "only_masks").otherwise("analyzed")
     return rows.select("row_ix", status.alias("status"), "masked", "key", (F.col("masked") != F.col("_text")).alias("redacted"), T.record_id(F.col("key")).alias("record_id"))
 
@@ -72,13 +74,15 @@ def groups(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """
     ok = analyzed(rows)
     extra = [F.any_value("context").alias("context")] if "context" in rows.columns else []
-    spelled = ok.groupBy("record_id", "masked").agg(F.count("*").alias("n"), F.count_if("redacted").alias("r"), F.min("row_ix").alias("first"), F.any_value("key").alias("key"), *extra)
+    # The key follows from the id; as a grouping column it leaves numbers alone to aggregate, which hash in place.
+    spelled = ok.groupBy("record_id", "key", "masked").agg(F.count("*").alias("n"), F.count_if("redacted").alias("r"), F.min("row_ix").alias("first"), *extra)
     rank = F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("n"), "first"))
     ranked = spelled.withColumn("k", rank)
-    top = F.collect_list(F.when(F.col("k") <= examples, F.struct("k", "masked")))
+    top = F.collect_list(F.when(F.col("k") <= max(1, examples), F.struct("k", "masked")))
     more = [F.any_value("context").alias("context")] if extra else []
-    out = ranked.groupBy("record_id").agg(F.any_value("key").alias("key"), F.min(F.when(F.col("k") == 1, F.col("masked"))).alias("redacted_text"), F.sum("n").alias("count"), F.sum("r").alias("redacted_count"), top.alias("_top"), *more)
-    return out.withColumn("examples", F.transform(F.array_sort("_top"), lambda x: x["masked"])).drop("_top")
+    out = ranked.groupBy("record_id", "key").agg(F.sum("n").alias("count"), F.sum("r").alias("redacted_count"), top.alias("_top"), *more)
+    out = out.withColumn("examples", F.transform(F.array_sort("_top"), lambda x: x["masked"])).drop("_top")
+    return out.withColumn("redacted_text", F.get("examples", F.lit(0)))
 
 
 # --- conversations ----------------------------------------------------------------------------

@@ -15,7 +15,11 @@ from ..operators.filters import Conversation, conversation_rows
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quern-streams"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/quern-streams"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
