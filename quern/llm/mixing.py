@@ -152,10 +152,15 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     Texts are not cut: the one row at which a source's target ends stands whole. Rows that
     repeat a doc_id must have different texts or be alike in all columns.
     """
-    taken = mix(docs, weights, most).where("passes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes")
-    # Rows alike in id, source and size share one row of the schedule's result each.
-    alike = W.partitionBy("_id", "_src", "_size").orderBy("passes")
-    taken = taken.withColumn("_nth", F.row_number().over(alike))
-    rows = docs.withColumn("_sz", n_words(F.col("text"))).withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_sz").orderBy(F.xxhash64(*docs.columns))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_sz") == F.col("_size")) & (F.col("_n") == F.col("_nth"))
+    taken = materialise(mix(docs, weights, most).where("passes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes"), "mix")
+    rows = docs.withColumn("_sz", n_words(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_sz") == F.col("_size"))
+    # Rows are told apart by id, source and size, with one shuffle of texts; only where several taken rows or
+    # rows share all three are they numbered too, and share the schedule's rows one by one.
+    alike = taken.groupBy("_id", "_src", "_size").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if not (alike.isEmpty() and repeated.isEmpty()):
+        taken = taken.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy("passes")))
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_sz").orderBy(F.xxhash64(*docs.columns))))
+        same = same & (F.col("_n") == F.col("_nth"))
     return rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
