@@ -120,7 +120,8 @@ def heading(c: Column) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+    first = F.left(c, F.lit(1))
+    return F.concat(F.when(first == "ß", "Ss").otherwise(F.upper(first)), F.lower(F.substr(c, F.lit(2))))
 
 
 def trim_title(c: Column, most: int = 120) -> Column:

@@ -373,7 +373,7 @@ def report_violations(spark, d):
 
 # A mapping as a model might return it: some records twice, some never, some unknown, some of unlisted categories.
 _MAPPED = """mapped AS (SELECT CAST(doc_id AS VARCHAR) AS record_id, doc_id % 7 AS chunk, doc_id AS pos, 'c' || (doc_id % 5) AS category FROM labels
-    UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id % 11, doc_id, 'c' || (doc_id % 6) FROM labels WHERE doc_id % 4 = 0
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id % 11, doc_id + 1000000000, 'c' || (doc_id % 6) FROM labels WHERE doc_id % 4 = 0
     UNION ALL SELECT 'x' || doc_id, 0, doc_id, 'c0' FROM labels WHERE quality = 0)"""
 _FIRST = f"""WITH {_MAPPED}, known AS (SELECT * FROM mapped WHERE record_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AND category IN ('c0', 'c1', 'c2', 'c3')),
     one AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY chunk, pos) AS k FROM known)"""
@@ -381,9 +381,9 @@ _FIRST = f"""WITH {_MAPPED}, known AS (SELECT * FROM mapped WHERE record_id IN (
 
 def _mapping(spark, d):
     lb = table(spark, d, "labels")
-    make = lambda rows, prefix, chunk, cat: rows.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("record_id"), chunk.cast("long").alias("chunk"), F.col("doc_id").alias("pos"), cat.alias("category"))
+    make = lambda rows, prefix, chunk, cat, later=0: rows.select(F.concat(F.lit(prefix), F.col("doc_id").cast("string")).alias("record_id"), chunk.cast("long").alias("chunk"), (F.col("doc_id") + later).alias("pos"), cat.alias("category"))
     cat = lambda n: F.concat(F.lit("c"), (F.col("doc_id") % n).cast("string"))
-    mapped = make(lb, "", F.col("doc_id") % 7, cat(5)).union(make(lb.where("doc_id % 4 = 0"), "", F.col("doc_id") % 11, cat(6))).union(make(lb.where("quality = 0"), "x", F.lit(0), F.lit("c0")))
+    mapped = make(lb, "", F.col("doc_id") % 7, cat(5)).union(make(lb.where("doc_id % 4 = 0"), "", F.col("doc_id") % 11, cat(6), 1_000_000_000)).union(make(lb.where("quality = 0"), "x", F.lit(0), F.lit("c0")))
     cats = spark.createDataFrame([(f"c{i}",) for i in range(4)], "category string")
     groups = _docs(spark, d).select(F.col("doc_id").cast("string").alias("record_id"), F.lit(1).cast("long").alias("count"))
     return mapped, cats, groups

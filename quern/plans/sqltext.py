@@ -72,7 +72,7 @@ GROUPS = """spelled AS (SELECT record_id, masked, count(*) AS n, count(*) FILTER
         g AS MATERIALIZED (SELECT record_id, any_value(key) AS key, min(masked) FILTER (k = 1) AS redacted_text, CAST(sum(n) AS BIGINT) AS count, CAST(sum(r) AS BIGINT) AS redacted_count,
             list(masked ORDER BY k) FILTER (k <= 3) AS examples FROM ranked GROUP BY record_id)"""
 
-HEADING = "CASE WHEN trim(text) = '' THEN 'Boş mesaj' ELSE upper(left({t}, 1)) || substr({t}, 2) END".format(t=f"({truncate('trim(text)', 120)})")
+HEADING = "CASE WHEN trim(text) = '' THEN 'Boş mesaj' ELSE CASE WHEN left({t}, 1) = 'ß' THEN 'SS' ELSE upper(left({t}, 1)) END || substr({t}, 2) END".format(t=f"({truncate('trim(text)', 120)})")
 
 QUESTIONS = f"""s0 AS MATERIALIZED (SELECT *, {tokens("key")} AS toks FROM g), s AS MATERIALIZED (SELECT *, {signature("toks")} AS signature FROM s0),
         buckets AS (SELECT signature, CAST(sum(count) AS BIGINT) AS count, count(*) AS n_records, arg_max(redacted_text, (count, record_id)) AS text FROM s GROUP BY signature),
@@ -82,7 +82,7 @@ QUESTIONS = f"""s0 AS MATERIALIZED (SELECT *, {tokens("key")} AS toks FROM g), s
         q AS MATERIALIZED (SELECT signature, position, count, 'q' || position AS question_id,
             CASE WHEN len(signature) = 0 THEN 'Sınıflandırılamayan kısa mesajlar' ELSE {HEADING} END AS canonical_question,
             CASE WHEN len(signature) = 0 THEN 't-diger' ELSE 't-' || token END AS theme_id,
-            CASE WHEN len(signature) = 0 THEN 'Diğer' ELSE upper(left(token, 1)) || lower(substr(token, 2)) END AS theme_name
+            CASE WHEN len(signature) = 0 THEN 'Diğer' ELSE CASE WHEN left(token, 1) = 'ß' THEN 'Ss' ELSE upper(left(token, 1)) END || lower(substr(token, 2)) END AS theme_name
             FROM numbered LEFT JOIN chosen USING (position))"""
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..operators import preprocess as P
 from ..operators.filters import Conversation, conversation_rows
@@ -45,7 +46,7 @@ def run_to_end(stream: DataFrame, mode: str, latest_by: tuple[str, ...] = ()) ->
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
-    schema = stream.schema.add("_batch", "integer")
+    schema = Y.StructType([*stream.schema.fields, Y.StructField("_batch", Y.IntegerType())])
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows") if q.lastProgress else spark.createDataFrame([], schema)
     if latest_by:
         rest = [c for c in stream.columns if c not in latest_by]
