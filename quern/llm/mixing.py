@@ -146,21 +146,41 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     return held.union(rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long"), F.lit(0)))
 
 
+def _by_cut(docs: DataFrame, cuts: DataFrame) -> DataFrame:
+    """docs, a row for each pass, by each source's last row of its last pass in stream order."""
+    hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    # Words are counted only where hashes tie; elsewhere it is enough that there is one.
+    before = F.when(F.col("_h") == F.col("_ch"), n_words(F.col("text")) <= F.col("_csize")).otherwise(F.col("_h") < F.col("_ch"))
+    n = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.lit(0)).when(before, F.col("_most")).otherwise(F.col("_most") - 1)
+    # The cuts are a row for each source, joined by broadcast if their written size allows it.
+    met = hashed.join(cuts, F.col("source").eqNullSafe(F.col("_src"))).withColumn("_each", F.when(n > 0, F.sequence(F.lit(1), n)))
+    return met.withColumn("_pass", F.explode("_each")).select(*docs.columns)
+
+
+def _by_rows(docs: DataFrame, taken: DataFrame) -> DataFrame:
+    """docs, a row for each pass, by joining the schedule's rows one by one: rows alike in id, source and size are numbered."""
+    taken = taken.where("passes > 0").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy("passes")))
+    rows = docs.withColumn("_sz", n_words(F.col("text")))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_sz").orderBy(F.xxhash64(*docs.columns))))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_sz") == F.col("_size")) & (F.col("_n") == F.col("_nth"))
+    return rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The documents of the mix, with all their columns: a row once for each pass over its source that takes words of it.
 
     Texts are not cut: the one row at which a source's target ends stands whole. Rows that
     repeat a doc_id must have different texts or be alike in all columns.
+
+    Passes follow the stream's order, so a source's rows up to the last one of its last pass
+    have one pass more than those behind it: that row's hash and size decide, and texts are
+    not shuffled. Only where rows alike in both lie across such a cut are rows numbered and
+    joined with the schedule one by one.
     """
-    taken = materialise(mix(docs, weights, most).where("passes > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes"), "mix")
-    rows = docs.withColumn("_sz", n_words(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_sz") == F.col("_size"))
-    # Rows are told apart by id, source and size, with one shuffle of texts; only where several taken rows or
-    # rows share all three are they numbered too, and share the schedule's rows one by one.
-    alike = taken.groupBy("_id", "_src", "_size").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if not (alike.isEmpty() and repeated.isEmpty()):
-        taken = taken.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy("passes")))
-        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_sz").orderBy(F.xxhash64(*docs.columns))))
-        same = same & (F.col("_n") == F.col("_nth"))
-    return rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    taken = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes")
+    taken = materialise(taken.where("_size > 0").withColumn("_h", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))), "mix")
+    last = F.max(F.struct("passes", "_h", "_size")).alias("_last")
+    cuts = materialise(taken.groupBy("_src").agg(last).select("_src", F.col("_last.passes").alias("_most"), F.col("_last._h").alias("_ch"), F.col("_last._size").alias("_csize")), "cuts")
+    at = cuts.select(F.col("_src").alias("_cs"), "_most", "_ch", "_csize")
+    split = taken.join(at, F.col("_src").eqNullSafe(F.col("_cs")) & (F.col("_h") == F.col("_ch")) & (F.col("_size") == F.col("_csize"))).where("passes < _most")
+    return _by_cut(docs, cuts) if split.isEmpty() else _by_rows(docs, taken)
