@@ -69,5 +69,17 @@ def with_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, salts: int = 64) -> DataFrame:
-    """The documents that stay, with all their columns: one of each group of equal texts."""
-    return with_groups(docs, salts).where("kept").select(*docs.columns)
+    """The documents that stay, with all their columns: one of each group of equal texts.
+
+    The rows that with_groups keeps; of rows that repeat a kept id and text any one stays.
+    The winner of each stage carries its row's other columns along, so texts
+    move twice, to the salted and to the global merge, and no row is looked up afterwards.
+    """
+    rest = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])
+    rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
+    keyed = _keyed(docs, salts).select("_d", "_s", "_text", rest.alias("_row"), rank.alias("_rank"))
+    winner = [F.max("_rank").alias("_rank"), F.max_by("_row", "_rank").alias("_row")]
+    salted = keyed.groupBy("_d", "_s", "_text").agg(*winner)
+    whole = salted.repartition("_d").groupBy("_d", "_text").agg(*winner)
+    text = F.when(~F.col("_row.no_text"), F.col("_text")).alias("text")
+    return whole.select(*[text if c == "text" else F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
