@@ -101,14 +101,23 @@ def _held(id_col) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, text, toxic, half): of each label at most `most` documents that aren't held out, the least by a hash of doc_id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, k: int = 5) -> DataFrame:
+    """(doc_id, text, toxic, half): of each label at most `most` documents that aren't held out, the least by a hash of doc_id.
+
+    Copies and near copies are no evidence of their own: of sampled texts of one label whose
+    least hash of k successive words is the same, only the one of least doc_id is returned,
+    and that hash also deals texts to halves, so that copies don't lie in both.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_held(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     picked = ids[0].union(ids[1]).select(F.col("doc_id").alias("_id"), "toxic")
     # At most 2 * most ids of 12 bytes: a bound that does not grow with the tables.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int").alias("half"))
+    words = F.split(F.trim(F.lower(F.coalesce("text", F.lit("")))), r"\s+")
+    least = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - F.lit(k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, k))))
+    alike = rows.withColumn("_w", words).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"), least.alias("_g"))
+    first = alike.groupBy("_g", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("_r"))
+    return first.select("_r.doc_id", "_r.text", "toxic", F.pmod(F.xxhash64("_g", F.lit(7)), F.lit(2)).cast("int").alias("half"))
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

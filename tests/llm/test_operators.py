@@ -317,3 +317,13 @@ def test_equal_digests_of_different_texts_stay_apart(spark, monkeypatch):
     rows = documents(spark, [(1, "a", "s"), (2, "b", "s"), (3, "a", "s")])
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.with_groups(rows).collect()}
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
+
+
+def test_copies_count_once_in_the_toxicity_sample(spark):
+    copy = "one text of many words that stands in the table thirty times"
+    rows = [(i, copy) for i in range(30)] + [(100 + i, f"text {i} has words of its own number {i} here") for i in range(20)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 30 as int) as toxic")
+    got = toxicity.labelled_sample(docs, labels, 100).collect()
+    assert sum(r.text == copy for r in got) == 1
+    assert len({(r.text, r.toxic) for r in got if r.text}) == sum(bool(r.text) for r in got)
