@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, salts: int = 64) -> DataFrame:
     """
     rest = F.struct(F.col("text").isNull().alias("no_text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])
     rank = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"))
-    keyed = _keyed(docs, salts).select("_d", "_s", "_text", rest.alias("_row"), rank.alias("_rank"))
+    packed = docs.select("doc_id", "text", rest.alias("_row"), rank.alias("_rank"))
+    keyed = _keyed(packed, salts).select("_d", "_s", "_text", "_row", "_rank")
     winner = [F.max("_rank").alias("_rank"), F.max_by("_row", "_rank").alias("_row")]
     salted = keyed.groupBy("_d", "_s", "_text").agg(*winner)
     whole = salted.repartition("_d").groupBy("_d", "_text").agg(*winner)
