@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialise
-from .shingles import Prepared, distance
+from .shingles import Prepared, distance, jaccard_distance
 
 #: Ids that are broadcast at most (16 bytes each in the executors); more are shuffled.
 BROADCAST_IDS = 1 << 20
@@ -54,29 +54,38 @@ class _Recent(OrderedDict):
 
 
 def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame:
-    """(u, v, d) of rows (u, v, tu, tv)."""
+    """(u, v, d, j) of rows (u, v, tu, tv).
+
+    d is the distance, `upto` for all that are further: what `distance` returns beyond it is no
+    distance, and the triangle inequality holds of distances clamped at a bound. j is the
+    Jaccard distance, exact everywhere; it never exceeds the ordered one.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = _Recent()
         for b in batches:
             u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            d = [distance(recent.get_or(x, tx.as_py(), k), recent.get_or(y, ty.as_py(), k), ordered, upto) for x, y, tx, ty in zip(u, v, b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64())], names=["u", "v", "d"])
+            d, j = [], []
+            for x, y, tx, ty in zip(u, v, b.column(2), b.column(3)):
+                px, py = recent.get_or(x, tx.as_py(), k), recent.get_or(y, ty.as_py(), k)
+                j.append(jaccard_distance(px, py))
+                d.append(min(upto, distance(px, py, True, upto) if ordered and j[-1] <= upto else j[-1]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(j, pa.float64())], names=["u", "v", "d", "j"])
 
-    return pairs.select("u", "v", "tu", "tv").mapInArrow(over, "u bigint, v bigint, d double")
+    return pairs.select("u", "v", "tu", "tv").mapInArrow(over, "u bigint, v bigint, d double, j double")
 
 
 def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
     """Compares members of a block, or of two blocks, until they are connected or all pairs are seen.
 
     A pair is passed over if its members are connected already, if neither is open, or if
-    their distances to their common leader differ by more than a link may have.
+    their distances to their common leader, clamped or of Jaccard, differ by more than a link may have.
     """
     far = 1 - least
 
     def over(key, pdf):
         pdf = pdf.sort_values("node").reset_index(drop=True)
-        nodes, comps, dist, is_open, block = (pdf[c].tolist() for c in ("node", "comp", "d", "open", "block"))
+        nodes, comps, dist, jac, is_open, block = (pdf[c].tolist() for c in ("node", "comp", "d", "j", "open", "block"))
         ready = [Prepared(t, k) for t in pdf["text"]]
         root: dict[int, int] = {}
 
@@ -88,7 +97,7 @@ def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
         out = []
         for i in range(len(nodes)):
             for j in range(i):
-                if not (is_open[i] or is_open[j]) or (key[-1] != key[-2] and block[i] == block[j]) or abs(dist[i] - dist[j]) > far + 1e-9:
+                if not (is_open[i] or is_open[j]) or (key[-1] != key[-2] and block[i] == block[j]) or max(abs(dist[i] - dist[j]), abs(jac[i] - jac[j])) > far + 1e-9:
                     continue
                 a, b = find(comps[i]), find(comps[j])
                 if a != b and distance(ready[i], ready[j], ordered, far) <= far + 1e-12:
@@ -115,7 +124,7 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     part = materialise(rows_of(texts.select("node", "text"), materialise(ids, "ids")), "texts")
     with_u = pairs.join(part.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
     both = with_u.join(part.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    # Distances up to twice a link's are exact: the triangle inequality needs no more.
+    # Distances are exact up to twice a link's and clamped there, Jaccard distances exact throughout.
     met = materialise(_compared(both, k, ordered, min(1.0, 2 * far)), "distances")
     links = met.where(F.col("d") <= far + 1e-12).select("u", "v")
     if known is not None:
@@ -125,18 +134,18 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     label = roots.select("node", F.col("root").alias("comp"))
     seen = led.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     seen = seen.join(label.select(F.col("node").alias("leader"), F.col("comp").alias("_lc")), "leader", "left").withColumn("_lc", F.coalesce("_lc", "leader"))
-    seen = seen.join(met.select(F.col("u").alias("node"), F.col("v").alias("leader"), "d"), ["node", "leader"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    seen = materialise(seen.withColumn("open", F.col("comp") != F.col("_lc")).select("key", "node", "leader", "comp", "d", "open"), "seen")
-    rest = seen.groupBy("key").agg(F.count_if("open").alias("_open"), F.min(F.when(F.col("open"), F.col("d"))).alias("_least")).where("_open > 0")
-    left = seen.where("node <> leader").join(rest, "key").where(F.col("open") | (F.col("d") >= F.col("_least") - far - 1e-9))
-    left = materialise(left.select("key", "node", "comp", "d", "open"), "left")
+    seen = seen.join(met.select(F.col("u").alias("node"), F.col("v").alias("leader"), "d", "j"), ["node", "leader"], "left").withColumn("d", F.coalesce("d", F.lit(0.0))).withColumn("j", F.coalesce("j", F.lit(0.0)))
+    seen = materialise(seen.withColumn("open", F.col("comp") != F.col("_lc")).select("key", "node", "leader", "comp", "d", "j", "open"), "seen")
+    rest = seen.groupBy("key").agg(F.count_if("open").alias("_open"), F.min(F.when(F.col("open"), F.col("d"))).alias("_least"), F.min(F.when(F.col("open"), F.col("j"))).alias("_least_j")).where("_open > 0")
+    left = seen.where("node <> leader").join(rest, "key").where(F.col("open") | ((F.col("d") >= F.col("_least") - far - 1e-9) & (F.col("j") >= F.col("_least_j") - far - 1e-9)))
+    left = materialise(left.select("key", "node", "comp", "d", "j", "open"), "left")
     # An open member far from all others' leader and alone in its bucket has nothing to meet.
     size = left.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").withColumn("_nb", F.ceil(F.col("_m") / BLOCK).cast("int"))
     if size.isEmpty():
         return roots
     dealt = left.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")
-    dealt = dealt.select("key", "node", "comp", "d", "open", "block", other).select("*", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"))
+    dealt = dealt.select("key", "node", "comp", "d", "j", "open", "block", other).select("*", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"))
     with_text = dealt.join(part, "node")
     more = with_text.groupBy("key", "b1", "b2").applyInPandas(_exhaustive(k, ordered, least), "u bigint, v bigint")
     more = materialise(more, "more-links")

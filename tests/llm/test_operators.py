@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, bwt_dedup, common, exact_dedup, fingerprints, mixing, order_minhash, paragraphs, toxicity, warc_zip
+from quern.llm import bpe, bwt_dedup, common, exact_dedup, fingerprints, mixing, near, order_minhash, paragraphs, toxicity, warc_zip
 from quern.llm.queries import ORACLE, QUERIES, tokenizer_path
 from quern.llm.shingles import Prepared, distance
 
@@ -327,3 +327,31 @@ def test_copies_count_once_in_the_toxicity_sample(spark):
     got = toxicity.labelled_sample(docs, labels, 100).collect()
     assert sum(r.text == copy for r in got) == 1
     assert len({(r.text, r.toxic) for r in got if r.text}) == sum(bool(r.text) for r in got)
+
+
+@pytest.mark.parametrize("ordered", [False, True])
+def test_links_far_from_a_short_leader(spark, ordered):
+    """All share one key: of texts that are far from the least one, all that are alike must be linked."""
+    words = [f"{w}{i}" for i in range(10) for w in WORDS]
+    sizes = [59, 80, 100, 61, 74, 92, 118, 119, 150]
+    texts = {i + 1: " ".join(words[: n + 4] if i < 6 else words[190 - n : 194]) for i, n in enumerate(sizes)}
+    nodes = spark.createDataFrame([(i, 1, n) for i, n in zip(texts, sizes)], "node long, key long, n int")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
+    ready = {i: Prepared(t, 5) for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in range(1, i):
+            if distance(ready[i], ready[j], ordered, 1.0) <= 0.2 + 1e-12:
+                a, b = root[i], root[j]
+                root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+    got = {r.node: r.root for r in near.similar(nodes, rows, 5, ordered, 0.8).collect()}
+    assert {i: got.get(i, i) for i in texts} == root
+
+
+def test_leader_contained_in_texts_that_are_alike(spark):
+    words = [f"{w}{i}" for i in range(10) for w in WORDS]
+    texts = {1: " ".join(words[:63]), 2: " ".join(words[:84]), 3: " ".join(words[:104])}
+    nodes = spark.createDataFrame([(1, 1, 59), (2, 1, 80), (3, 1, 100)], "node long, key long, n int")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
+    for ordered in (False, True):
+        assert {(r.node, r.root) for r in near.similar(nodes, rows, 5, ordered, 0.8).collect()} == {(2, 2), (3, 2)}
