@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .near import key_of, similar, with_leader
+from .passages import cut, repeated_spans
 from .shingles import U, labelled, mix, shingles, word_hashes
 
 #: A pair of Jaccard index s agrees in a band with 1 - (1 - s**ROWS)**BANDS: 0.997 at 0.8. Recall is bought with candidates, which are verified.
@@ -90,17 +91,28 @@ def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int =
 
 
 def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 20) -> DataFrame:
-    """docs, all columns, text without removed paragraphs, with n_paragraphs, n_removed and removed_words.
+    """docs, all columns, text without what repeats, with n_paragraphs, n_removed and removed_words.
 
-    A null text counts as empty; an empty text has one empty paragraph, as split at line
-    feeds. Columns of docs named like the added ones are replaced.
+    Paragraphs go that `removals` names, and of all lines the words of passages that repeat an
+    earlier one of passages.LENGTH words, wherever its lines end. n_removed counts lines that
+    are removed or cut. A null text counts as empty; an empty text has one empty paragraph, as
+    split at line feeds. Columns of docs named like the added ones are replaced.
     """
     gone = removals(docs, k, least, least_words).groupBy("doc_id").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    spans = repeated_spans(docs).groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", "b")).alias("_spans")).withColumnRenamed("doc_id", "_sid")
     made = ("n_paragraphs", "n_removed", "removed_words")
-    rows = docs.drop(*made).join(gone, F.col("doc_id") == F.col("_id"), "left").withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    hit = lambda _, i: F.coalesce(F.array_contains(F.col("_gone"), i), F.lit(False))
-    rows = rows.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~hit(x, i))))
-    rows = rows.withColumn("_lost", F.when(F.col("_gone").isNull(), F.array().cast("array<string>")).otherwise(F.filter("_lines", hit)))
-    words = F.aggregate("_lost", F.lit(0).cast("bigint"), lambda a, x: a + F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
-    rows = rows.withColumn("n_paragraphs", F.size("_lines")).withColumn("n_removed", F.size("_lost")).withColumn("removed_words", words)
-    return rows.withColumn("text", F.array_join("_kept", "\n")).drop("_id", "_gone", "_lines", "_kept", "_lost")
+    rows = docs.drop(*made).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").join(spans, (F.col("doc_id") == F.col("_sid")) & (F.xxhash64("text") == F.col("version")), "left")
+    rest = [c for c in docs.columns if c not in made]
+    rows = rows.select(*rest, "_gone", "_spans")
+    at = rest.index("text")
+
+    def over(batches):
+        for b in batches:
+            got = [cut(t.as_py(), set(g or ()), [(s["a"], s["b"]) for s in w or ()]) for t, g, w in zip(b.column(at), b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist())]
+            text, n, hit, lost = zip(*got) if got else ((), (), (), ())
+            columns = [pa.array(text, pa.string()) if i == at else b.column(i) for i in range(len(rest))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(hit, pa.int32()), pa.array(lost, pa.int64())], names=[*rest, *made])
+
+    schema = rows.select(*rest).withColumns({"n_paragraphs": F.lit(0), "n_removed": F.lit(0), "removed_words": F.lit(0).cast("bigint")}).schema
+    return rows.mapInArrow(over, schema)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, bwt_dedup, common, exact_dedup, fingerprints, mixing, near, order_minhash, paragraphs, toxicity, warc_zip
+from quern.llm import bpe, bwt_dedup, common, exact_dedup, fingerprints, mixing, near, order_minhash, paragraphs, passages, toxicity, warc_zip
 from quern.llm.queries import ORACLE, QUERIES, tokenizer_path
 from quern.llm.shingles import Prepared, distance
 
@@ -355,3 +355,31 @@ def test_leader_contained_in_texts_that_are_alike(spark):
     rows = spark.createDataFrame(list(texts.items()), "node long, text string")
     for ordered in (False, True):
         assert {(r.node, r.root) for r in near.similar(nodes, rows, 5, ordered, 0.8).collect()} == {(2, 2), (3, 2)}
+
+
+def test_passages_repeat_wherever_lines_end(spark):
+    """By brute force over all windows of 50 words; passages start inside lines and run over short ones."""
+    r = random.Random(5)
+    passage = prose(7, 58).split()
+    broken = lambda ws: "".join(w + r.choice([" ", " ", "\n", "  "]) for w in ws).strip()
+    texts = {i: broken(prose(100 + i, r.randrange(1, 150)).split() + (passage[: r.choice([49, 50, 58])] if i % 2 else []) + prose(200 + i, 9).split()) for i in range(30)}
+    texts[30] = texts[3].upper()
+    seen, want = set(), {}
+    for i, t in texts.items():
+        ws = t.lower().split()
+        lost = set()
+        for a in range(len(ws) - 49):
+            w = tuple(ws[a : a + 50])
+            if w in seen:
+                lost |= set(range(a, a + 50))
+            seen.add(w)
+        want[i] = lost
+    got = {i: set() for i in texts}
+    docs = documents(spark, [(i, t, "s") for i, t in texts.items()])
+    for row in passages.repeated_spans(docs).collect():
+        got[row.doc_id] |= set(range(row.a, row.b))
+    assert got == want and any(want.values())
+    for row in paragraphs.without_repeats(docs).collect():
+        lost = want[row.doc_id]
+        assert row.text.split() == [w for j, w in enumerate(texts[row.doc_id].split()) if j not in lost]
+        assert row.removed_words == len(lost) and row.n_paragraphs == texts[row.doc_id].count("\n") + 1
