@@ -25,6 +25,8 @@ LOOKALIKES = {
 #: Lexicon words inside these phrases don't count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "pond scum", "loser bracket", "stupid simple")
 STEMS = (4, 5, 6)
+#: The least log odds of an entry.
+LEAST_W = 2.0
 
 
 class Fold(dict):
@@ -138,7 +140,7 @@ def _lexicon(counts: list, totals: dict[int, int], size: int, least_z: float) ->
     for feature, a, b in counts:
         w = math.log((a + 0.5) / (totals[1] + 1) / ((b + 0.5) / (totals[0] + 1)))
         z = w / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= 3 and w >= 2.0 and z >= least_z:
+        if a >= 3 and w >= LEAST_W and z >= least_z:
             scored[feature] = (z, w)
     kept: dict[str, float] = {}
     # A stem speaks for the longer stems and words that begin with it, if they weigh no more.
@@ -179,16 +181,18 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 2000
     number = {t: sum(n for (a, _), n in totals.items() if a == t) for t in (0, 1)}
     if not number[0] or not number[1]:
         return Lexicon(curve=(30.0 if number[1] else -30.0, 0.0, 0.0))
+    total = {(t, h): totals.get((t, h), 0) for t in (0, 1) for h in (0, 1)}
+    # What no lexicon of a half or of all can take stays on the executors.
+    counted = [("a0", "b0", total[1, 0], total[0, 0]), ("a1", "b1", total[1, 1], total[0, 1]), ("(a0 + a1)", "(b0 + b1)", number[1], number[0])]
     n = lambda t, h: F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("n")).otherwise(0))
     seen = (
         sample.select("text", "toxic", "half")
         .mapInArrow(_features, "feature string, n bigint, toxic int, half int")
         .groupBy("feature")
         .agg(n(1, 0).alias("a0"), n(1, 1).alias("a1"), n(0, 0).alias("b0"), n(0, 1).alias("b1"))
-        .where("a0 + a1 >= 3 and (a0 + a1) * 3 > b0 + b1")
+        .where(" or ".join(f"({a} >= 3 and ln(({a} + 0.5) / ({b} + 0.5)) >= {LEAST_W + math.log((t + 1) / (c + 1)) - 1e-9!r})" for a, b, t, c in counted))
         .collect()
     )
-    total = {(t, h): totals.get((t, h), 0) for t in (0, 1) for h in (0, 1)}
     halves = [[_lexicon([(r.feature, r[f"a{1 - h}"], r[f"b{1 - h}"]) for r in seen], {t: total[t, 1 - h] for t in (0, 1)}, size, z) for z in least_z] for h in (0, 1)]
     crossed = [r for h in (0, 1) for r in _weighed(sample.where(F.col("half") == h), halves[h]).select("weights", "n_words", "toxic").collect()]
     prior = {t: c for t, c in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}

@@ -383,3 +383,12 @@ def test_passages_repeat_wherever_lines_end(spark):
         lost = want[row.doc_id]
         assert row.text.split() == [w for j, w in enumerate(texts[row.doc_id].split()) if j not in lost]
         assert row.removed_words == len(lost) and row.n_paragraphs == texts[row.doc_id].count("\n") + 1
+
+
+def test_entries_of_rare_toxic_labels(spark):
+    """A word of 12 in 45 toxic and of 60 in 2,000 clean documents has log odds above 2."""
+    ids = spark.range(4000).where(~toxicity._held(F.col("id"))).limit(2045).toPandas()["id"].tolist()
+    rows = [(i, prose(i, 12) + (" grobian" if at < 12 or 45 <= at < 105 else ""), int(at < 45)) for at, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert any("grobian".startswith(w) for w, _ in lexicon.words + lexicon.stems)
