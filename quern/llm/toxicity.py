@@ -103,6 +103,11 @@ def _held(id_col) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of each labelled document that isn't held out; of differing labels toxic counts."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_held(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, k: int = 5) -> DataFrame:
     """(doc_id, text, toxic, half): of each label at most `most` documents that aren't held out, the least by a hash of doc_id.
 
@@ -110,7 +115,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, k: int = 5) -
     least hash of k successive words is the same, only the one of least doc_id is returned,
     and that hash also deals texts to halves, so that copies don't lie in both.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_held(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = _known(labels)
     ids = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
     picked = ids[0].union(ids[1]).select(F.col("doc_id").alias("_id"), "toxic")
     # At most 2 * most ids of 12 bytes: a bound that does not grow with the tables.
@@ -195,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 2000
     )
     halves = [[_lexicon([(r.feature, r[f"a{1 - h}"], r[f"b{1 - h}"]) for r in seen], {t: total[t, 1 - h] for t in (0, 1)}, size, z) for z in least_z] for h in (0, 1)]
     crossed = [r for h in (0, 1) for r in _weighed(sample.where(F.col("half") == h), halves[h]).select("weights", "n_words", "toxic").collect()]
-    prior = {t: c for t, c in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    prior = {t: c for t, c in _known(labels).groupBy("toxic").count().collect()}
     each = {t: prior.get(t, 0) / max(1, sum(prior.values())) / number[t] * sum(number.values()) for t in (0, 1)}
     y = np.array([t for _, _, t in crossed], float)
     share = np.where(y == 1, each[1], each[0])

@@ -392,3 +392,12 @@ def test_entries_of_rare_toxic_labels(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     lexicon = toxicity.learn(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert any("grobian".startswith(w) for w, _ in lexicon.words + lexicon.stems)
+
+
+def test_held_out_and_repeated_labels_do_not_move_the_curve(spark):
+    rows = [(i, prose(i, 30) + (" vilest" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    held = toxicity._held(F.col("doc_id"))
+    other = labels.where(~held).union(labels.where(held).select("doc_id", F.lit(1))).union(labels.where("toxic = 1"))
+    assert toxicity.learn(docs, other).curve == pytest.approx(toxicity.learn(docs, labels).curve)
