@@ -15,7 +15,7 @@ from .shingles import U, labelled, mix, shingles, word_hashes
 #: A pair of Jaccard index s agrees in a band with 1 - (1 - s**ROWS)**BANDS: 0.997 at 0.8. Recall is bought with candidates, which are verified.
 BANDS, ROWS = 8, 3
 BLOCK = 1 << 20
-#: A paragraph is named doc_id << PLACE | place.
+#: A paragraph is named doc_id << PLACE | place; ids lie within 39 bits and a sign, places within PLACE bits.
 PLACE = 24
 
 
@@ -52,6 +52,8 @@ def _table(docs: DataFrame, k: int, least_words: int) -> DataFrame:
                 while at < len(ids) and size < BLOCK:
                     text = texts[at].as_py()
                     if ids[at] is not None and text:
+                        if not -1 << 63 - PLACE <= ids[at] < 1 << 63 - PLACE or text.count("\n") >= 1 << PLACE:
+                            raise ValueError(f"doc_id {ids[at]} is beyond {63 - PLACE} bits or has over {1 << PLACE} lines")
                         found += [(ids[at] << PLACE | i, p) for i, p in enumerate(text.split("\n")) if len(p) >= 2 * least_words - 1 and len(p.split()) >= least_words]
                         size += len(text)
                     at += 1

@@ -401,3 +401,16 @@ def test_held_out_and_repeated_labels_do_not_move_the_curve(spark):
     held = toxicity._held(F.col("doc_id"))
     other = labels.where(~held).union(labels.where(held).select("doc_id", F.lit(1))).union(labels.where("toxic = 1"))
     assert toxicity.learn(docs, other).curve == pytest.approx(toxicity.learn(docs, labels).curve)
+
+
+def test_ids_beyond_the_packed_bounds_are_refused(spark, monkeypatch):
+    line = prose(3, 30)
+    with pytest.raises(Exception, match="beyond 39 bits"):
+        paragraphs.removals(documents(spark, [(1 << 39, line, "s"), (2, line, "s")])).collect()
+    assert paragraphs.removals(documents(spark, [((1 << 39) - 1, line, "s"), (2, line, "s")])).collect()[0].doc_id == (1 << 39) - 1
+    with pytest.raises(ValueError, match="must lie within"):
+        bwt_dedup.without_repeats(documents(spark, [(1 << 41, line, "s"), (None, line, "s")]))
+    assert bwt_dedup.without_repeats(documents(spark, [((1 << 41) - 1, line, "s"), (None, line, "s")])).count() == 2
+    monkeypatch.setattr(bwt_dedup, "REPEATS", 2)
+    with pytest.raises(ValueError, match="must lie within"):
+        bwt_dedup.without_repeats(documents(spark, [(1, line, "s")] * 3))
