@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -20,10 +21,10 @@ from pyspark.sql import DataFrame
 NONE = 1 << 60
 #: Words of at most so many symbols use the rank array; longer ones a heap, as repeated scans are quadratic.
 SHORT = 128
-#: Bounds of a Python worker's caches: words with their counts, prefixes with their states, words with their ids, pairs of tokens. Longer words aren't kept.
-COUNTED, STATES, CODED, PAIRS, CACHED = 600_000, 600_000, 400_000, 400_000, 64
+#: Bounds of a task's caches, in entries of at most CACHED letters: words with their counts, prefixes with their states, words with their ids, pairs of tokens.
+COUNTED, STATES, CODED, PAIRS, CACHED = 300_000, 300_000, 250_000, 200_000, 64
 #: Texts of these characters need no other normalisation than white space and lower case.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ž]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-įı-ňŊ-ž]*")
 #: Fixed value: the split of the tokenizer file, in this module's regex syntax.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -35,6 +36,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(prints) else chr(256 + others.index(b)) for b in range(256)]
 
 
+class UnknownLetter(ValueError):
+    """A word has a letter that the vocabulary lacks."""
+
+
 class WordBPE:
     """A BPE model with word ends, read from a tokenizers JSON file."""
 
@@ -60,7 +65,12 @@ class WordBPE:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.longest = max(len(t) - len(self.end) * t.endswith(self.end) for t in self.vocab)
         self.states = Cached(self.prefix_state, STATES)
-        self.pairs = Cached(lambda p: self.follows(p >> 16, p & 0xFFFF), PAIRS)
+        self.pairs = Cached(lambda p: self.follows(p >> 32, p & 0xFFFFFFFF), PAIRS)
+
+    def forget(self) -> None:
+        """Drops what was kept of the words met, but not the model."""
+        self.states.forget()
+        self.pairs.forget()
 
     # --- words -------------------------------------------------------------------------
 
@@ -102,16 +112,16 @@ class WordBPE:
         neighbours' ranks are looked up anew."""
         if len(parts) > SHORT:
             return self.merge_long(parts)
-        rank = self.rank
-        ranks = [rank.get(p, NONE) for p in zip(parts, parts[1:])]
+        get = self.rank.get
+        ranks = [get(p, NONE) for p in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = rank.get((parts[i], parts[i + 1]), NONE)
+                ranks[i] = get((joined, parts[i + 1]), NONE)
             if i:
-                ranks[i - 1] = rank.get((parts[i - 1], parts[i]), NONE)
+                ranks[i - 1] = get((parts[i - 1], joined), NONE)
         return parts
 
     def merge_long(self, parts: list[str]) -> list[str]:
@@ -194,9 +204,9 @@ class WordBPE:
                 if not at:
                     return x << 32 | 1
                 before = states[prefix[:at]]
-                if pairs[before >> 32 << 16 | x]:
+                if pairs[before >> 32 << 32 | x]:
                     return x << 32 | (before & 0xFFFFFFFF) + 1
-        raise ValueError("a letter outside the vocabulary")
+        raise UnknownLetter(prefix)
 
     def closed_count(self, word: str) -> int:
         """The tokens of a whole word: its closing token, which has the word end, and those before it."""
@@ -206,12 +216,17 @@ class WordBPE:
                 if not at:
                     return 1
                 before = states[word[:at]]
-                if pairs[before >> 32 << 16 | x]:
+                if pairs[before >> 32 << 32 | x]:
                     return (before & 0xFFFFFFFF) + 1
-        raise ValueError("a letter outside the vocabulary")
+        raise UnknownLetter(word)
 
     def prefix_counts(self, word: str) -> list[int]:
-        """counts[i]: the tokens of a text that ends after the word's first i letters."""
+        """counts[i]: the tokens of a text that ends after the word's first i letters.
+
+        A word with a letter that the vocabulary lacks has no such states: its prefixes are merged one by one.
+        """
+        if not self.known(word):
+            return [0, *(len(self.word_ids(word[:i])) for i in range(1, len(word) + 1))]
         last, size = self.filled(word)
         return [0, *(self.closed(word[:i], last, size) for i in range(1, len(word) + 1))]
 
@@ -220,7 +235,7 @@ class WordBPE:
         n, last, size = len(word), [-1] * len(word), [0] * len(word)
         for i in range(1, n):
             for at in range(max(0, i - self.longest), i):
-                if (x := self.opening.get(word[at:i])) is not None and (not at or self.pairs[last[at] << 16 | x]):
+                if (x := self.opening.get(word[at:i])) is not None and (not at or last[at] >= 0 and self.pairs[last[at] << 32 | x]):
                     last[i], size[i] = x, size[at] + 1
                     break
         return last, size
@@ -228,13 +243,23 @@ class WordBPE:
     def closed(self, word: str, last: list[int], size: list[int]) -> int:
         n = len(word)
         for at in range(max(0, n - self.longest), n):
-            if (x := self.closing.get(word[at:])) is not None and (not at or self.pairs[last[at] << 16 | x]):
+            if (x := self.closing.get(word[at:])) is not None and (not at or last[at] >= 0 and self.pairs[last[at] << 32 | x]):
                 return size[at] + 1
-        raise ValueError("a letter outside the vocabulary")
+        raise UnknownLetter(word)
+
+    def known(self, word: str) -> bool:
+        """Whether the vocabulary has every letter of a word, inside it and at its end."""
+        return all(c in self.opening for c in word[:-1]) and word[-1:] in self.closing
 
     def count(self, word: str) -> int:
-        """The tokens of a whole word. The states of long words are not kept."""
-        return self.closed_count(word) if len(word) <= CACHED else self.closed(word, *self.filled(word))
+        """The tokens of a whole word. The states of long words are not kept.
+
+        Tokens outside the vocabulary don't count, as the encoding leaves them out.
+        """
+        try:
+            return self.closed_count(word) if len(word) <= CACHED else self.closed(word, *self.filled(word))
+        except UnknownLetter:
+            return len(self.word_ids(word))
 
 
 class Cached(dict):
@@ -255,8 +280,12 @@ class Cached(dict):
             self[key] = got
         return got
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def load(path: str) -> WordBPE:
     return WordBPE(path)
 
@@ -303,16 +332,24 @@ class PrefixCounts:
         return len(self.normal) if k + 1 == len(self.ends) else int(self.ends[k + 1]) - 1
 
 
-def _mapped(docs: DataFrame, row, schema: str, columns: list[str]) -> DataFrame:
-    """Applies row(text) to each text; texts go by in Arrow batches, a few MB of rows at a time."""
+def _mapped(docs: DataFrame, path: str, row, schema: str, columns: list[str]) -> DataFrame:
+    """Applies row(model)(text) to each text; texts go by in Arrow batches, a few MB of rows at a time.
+
+    A Python worker serves other operators afterwards, so what a task kept of its words goes
+    with the task; the model stays.
+    """
     fields = pa.schema([("doc_id", pa.int64()), *columns])
 
     def over(batches):
-        f = row()
-        for b in batches:
-            out = [f(t.as_py() or "") for t in b.column(1)]
-            cols = list(zip(*out)) if out else [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, fields.field(k + 1).type) for k, c in enumerate(cols))], schema=fields)
+        model = load(path)
+        f = row(model)
+        try:
+            for b in batches:
+                out = [f(t.as_py() or "") for t in b.column(1)]
+                cols = list(zip(*out)) if out else [[] for _ in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, fields.field(k + 1).type) for k, c in enumerate(cols))], schema=fields)
+        finally:
+            model.forget()
 
     return docs.select("doc_id", "text").mapInArrow(over, f"doc_id bigint, {schema}")
 
@@ -324,9 +361,8 @@ def _runs(model: WordBPE, text: str) -> list[str]:
     return [s for special, part in model.segments(text) for s in ([part] if special else model.tok.normalizer.normalize_str(part).split(" ")) if s]
 
 
-@lru_cache(maxsize=4)
-def _counter(path: str):
-    model = load(path)
+def _counter(model: WordBPE):
+    """text -> number of tokens."""
     known = Cached(lambda run: 1 if run in model.special else sum(map(model.count, model.words(run))), COUNTED)
     return lambda text: sum(map(known.__getitem__, _runs(model, text)))
 
@@ -335,12 +371,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row, by prefix counts of its words.
 
     A null text counts as empty and has no tokens; rows are never joined or shuffled, so
-    repeated rows, null ids and other columns have no effect. Each Python worker keeps the
+    repeated rows, null ids and other columns have no effect. A task keeps the
     counts of the words it has met, up to COUNTED of them.
     """
 
-    def row():
-        count = _counter(path)
+    def row(model: WordBPE):
+        count = _counter(model)
 
         def one(text: str):
             n = count(text)
@@ -348,15 +384,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
         return one
 
-    return _mapped(docs, row, "n_bytes bigint, n_tokens bigint, over_limit boolean", [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+    return _mapped(docs, path, row, "n_bytes bigint, n_tokens bigint, over_limit boolean", [("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
 def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
     """(doc_id, n_tokens, text): the longest prefix of each normalised text within a budget of tokens."""
 
-    def row():
-        model = load(path)
-
+    def row(model: WordBPE):
         def one(text: str):
             p = PrefixCounts(model, text)
             cut = p.longest(budget)
@@ -364,28 +398,33 @@ def truncated(docs: DataFrame, path: str, budget: int) -> DataFrame:
 
         return one
 
-    return _mapped(docs, row, "n_tokens bigint, text string", [("n_tokens", pa.int64()), ("text", pa.string())])
-
+    return _mapped(docs, path, row, "n_tokens bigint, text string", [("n_tokens", pa.int64()), ("text", pa.string())])
 
-@lru_cache(maxsize=4)
-def _coder(path: str):
-    model = load(path)
 
+def _coder(model: WordBPE):
+    """text -> (its ids as bytes, their decoding)."""
     four = {t: i.to_bytes(4, "little") for t, i in (model.vocab | model.special).items()}
 
-    def made(run: str) -> bytes:
-        tokens = [run] if run in model.special else [t for w in model.words(run) for t in model.merge(model.symbols(w)) if t in four]
-        if len(run) <= CACHED:
-            said[run] = " ".join(tokens)
-        return b"".join([four[t] for t in tokens])
+    def of_word(word: str) -> tuple[bytes, str]:
+        tokens = model.merge(model.symbols(word))
+        if not four.keys() >= set(tokens):
+            tokens = [t for t in tokens if t in four]
+        return b"".join([four[t] for t in tokens]), " ".join(tokens)
+
+    by_word = Cached(of_word, CODED)
+
+    def of_run(run: str) -> tuple[bytes, str]:
+        if run in model.special:
+            return four[run], run
+        found = [by_word[w] for w in model.words(run)]
+        return found[0] if len(found) == 1 else (b"".join([i for i, _ in found]), " ".join([d for _, d in found if d]))
 
-    ids = Cached(made, CODED)
-    said = Cached(lambda run: model.decode(np.frombuffer(ids[run], "<u4").tolist()), CODED)
+    known = Cached(of_run, CODED)
     gaps = not all(c in model.vocab and c + model.end in model.vocab for c in model.letters)
 
     def coded(text: str) -> tuple[bytes, str]:
-        runs = _runs(model, text)
-        return b"".join(map(ids.__getitem__, runs)), " ".join(filter(None, map(said.__getitem__, runs)) if gaps else map(said.__getitem__, runs))
+        runs = list(map(known.__getitem__, _runs(model, text)))
+        return b"".join([i for i, _ in runs]), " ".join([d for _, d in runs if d] if gaps else [d for _, d in runs])
 
     return coded
 
@@ -396,14 +435,14 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     A null text counts as empty: no ids, an empty decoding. Rows are never shuffled;
     repeated rows, null ids and other columns have no effect.
     """
-    return _mapped(docs, lambda: _coder(path), "ids binary, decoded string", [("ids", pa.binary()), ("decoded", pa.string())])
+    return _mapped(docs, path, _coder, "ids binary, decoded string", [("ids", pa.binary()), ("decoded", pa.string())])
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the same, digested where it is made."""
 
-    def row():
-        coded = _coder(path)
+    def row(model: WordBPE):
+        coded = _coder(model)
 
         def one(text: str):
             ids, decoded = coded(text)
@@ -411,4 +450,4 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
 
         return one
 
-    return _mapped(docs, row, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    return _mapped(docs, path, row, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

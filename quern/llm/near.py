@@ -8,7 +8,6 @@ lost from the components.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,23 +16,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialise
-from .shingles import Prepared, distance, jaccard_distance
+from .shingles import Prepared, common_counts, distance, jaccard_distance, prepared
 
 #: Ids that are broadcast at most (16 bytes each in the executors); more are shuffled.
 BROADCAST_IDS = 1 << 20
 #: Members that one task compares exhaustively at once; larger sets are dealt to pairs of blocks.
 BLOCK = 256
+#: Characters of texts that are prepared together.
+PIECE = 1 << 20
 
 
-def with_leader(rows: DataFrame, keys: list[str], node: str = "node", salts: int = 32) -> DataFrame:
-    """rows whose key several have, with the key's least node as `leader`.
+def with_leader(rows: DataFrame, keys: list[str], value: str = "node") -> DataFrame:
+    """rows whose key several have, with the key's least value as `leader` and its number of rows as `members`.
 
-    Minima combine by task, then by salt, then by key, and meet the rows by (key, salt).
+    Counts and minima combine by task before their shuffle, and are written; so both sides
+    of the join are plain exchanges, and AQE splits the rows of a hot key.
     """
-    salted = rows.withColumn("_s", F.pmod(F.xxhash64(node), F.lit(salts)).cast("int"))
-    parts = salted.groupBy(*keys, "_s").agg(F.min(node).alias("_m"), F.count("*").alias("_c"))
-    least = parts.groupBy(*keys).agg(F.min("_m").alias("leader"), F.sum("_c").alias("_n"), F.collect_set("_s").alias("_ss")).where("_n > 1")
-    return salted.join(least.select(*keys, F.explode("_ss").alias("_s"), "leader"), [*keys, "_s"]).drop("_s")
+    least = rows.groupBy(*keys).agg(F.min(value).alias("leader"), F.count("*").alias("members")).where("members > 1")
+    return rows.join(materialise(least, "leaders"), keys)
 
 
 def rows_of(rows: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
@@ -42,17 +42,6 @@ def rows_of(rows: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), node, "left_semi")
 
 
-class _Recent(OrderedDict):
-    """Prepared texts by node, the last few of them."""
-
-    def get_or(self, node: int, text: str, k: int) -> Prepared:
-        got = self.pop(node, None) or Prepared(text, k)
-        self[node] = got
-        if len(self) > 64:
-            self.popitem(last=False)
-        return got
-
-
 def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame:
     """(u, v, d, j) of rows (u, v, tu, tv).
 
@@ -62,31 +51,51 @@ def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent = _Recent()
         for b in batches:
+            at, d, j = 0, [], []
             u, v = b.column(0).to_pylist(), b.column(1).to_pylist()
-            d, j = [], []
-            for x, y, tx, ty in zip(u, v, b.column(2), b.column(3)):
-                px, py = recent.get_or(x, tx.as_py(), k), recent.get_or(y, ty.as_py(), k)
-                j.append(jaccard_distance(px, py))
-                d.append(min(upto, distance(px, py, True, upto) if ordered and j[-1] <= upto else j[-1]))
+            while at < len(b):
+                # A leader stands in many rows, its text is prepared once in a piece of the batch.
+                texts: dict[int, str] = {}
+                to, size = at, 0
+                while to < len(b) and (to == at or size < PIECE):
+                    for node, column in ((u[to], 2), (v[to], 3)):
+                        if node not in texts:
+                            texts[node] = b.column(column)[to].as_py() or ""
+                            size += len(texts[node])
+                    to += 1
+                ready = dict(zip(texts, prepared(list(texts.values()), k)))
+                for x, y in zip(u[at:to], v[at:to]):
+                    px, py = ready[x], ready[y]
+                    j.append(jaccard_distance(px, py))
+                    d.append(min(upto, distance(px, py, True, upto) if ordered and j[-1] <= upto else j[-1]))
+                at = to
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(j, pa.float64())], names=["u", "v", "d", "j"])
 
     return pairs.select("u", "v", "tu", "tv").mapInArrow(over, "u bigint, v bigint, d double, j double")
 
 
 def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
-    """Compares members of a block, or of two blocks, until they are connected or all pairs are seen.
+    """Links between the members of a block, or of two blocks, that aren't connected otherwise.
 
-    A pair is passed over if its members are connected already, if neither is open, or if
-    their distances to their common leader, clamped or of Jaccard, differ by more than a link may have.
+    The Jaccard indices of all pairs come from one product of matrices; only pairs near enough by
+    it are aligned, unless they are connected already, none of them is open, or their
+    distances to their common leader, clamped or of Jaccard, differ by more than a link may have.
     """
     far = 1 - least
 
-    def over(key, pdf):
-        pdf = pdf.sort_values("node").reset_index(drop=True)
-        nodes, comps, dist, jac, is_open, block = (pdf[c].tolist() for c in ("node", "comp", "d", "j", "open", "block"))
-        ready = [Prepared(t, k) for t in pdf["text"]]
+    def links(rows: list[tuple], ready: dict[int, Prepared]) -> list[tuple[int, int]]:
+        nodes, comps, dist, jac, is_open, block = (list(c) for c in zip(*(r[3:9] for r in rows)))
+        one, other = rows[0][1:3]
+        sides = [range(len(rows))] * 2 if one == other else [[i for i, x in enumerate(block) if x == s] for s in (one, other)]
+        dist, jac, is_open = np.array(dist), np.array(jac), np.array(is_open)
+        texts = [[ready[nodes[i]] for i in side] for side in sides]
+        same = common_counts(texts[0], texts[0] if one == other else texts[1])
+        n = np.array([ready[x].n for x in nodes], np.float64)
+        a, b = np.array(sides[0], np.int64)[:, None], np.array(sides[1], np.int64)[None, :]
+        near = (1 - same / np.maximum(1, n[a] + n[b] - same) <= far + 1e-9) & (is_open[a] | is_open[b]) & (np.abs(dist[a] - dist[b]) <= far + 1e-9) & (np.abs(jac[a] - jac[b]) <= far + 1e-9)
+        if one == other:
+            near &= a < b
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -95,17 +104,40 @@ def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
             return x
 
         out = []
-        for i in range(len(nodes)):
-            for j in range(i):
-                if not (is_open[i] or is_open[j]) or (key[-1] != key[-2] and block[i] == block[j]) or max(abs(dist[i] - dist[j]), abs(jac[i] - jac[j])) > far + 1e-9:
-                    continue
-                a, b = find(comps[i]), find(comps[j])
-                if a != b and distance(ready[i], ready[j], ordered, far) <= far + 1e-12:
-                    root[max(a, b)] = min(a, b)
-                    out.append((nodes[i], nodes[j]))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+        for x, y in zip(*np.nonzero(near)):
+            i, j = sides[0][x], sides[1][y]
+            x, y = find(comps[i]), find(comps[j])
+            if x != y and distance(ready[nodes[i]], ready[nodes[j]], ordered, far) <= far + 1e-12:
+                root[max(x, y)] = min(x, y)
+                out.append((nodes[i], nodes[j]))
+        return out
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (key, b1, b2); groups of few texts are prepared together."""
+        groups: list[list[tuple]] = []
+        texts: dict[int, str] = {}
+        last, size = None, 0
+
+        def flush() -> pa.RecordBatch:
+            ready = dict(zip(texts, prepared(list(texts.values()), k)))
+            found = [x for g in groups if len(g) > 1 for x in links(g, ready)]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(9)]
+            for row, text in zip(zip(*columns), b.column(9)):
+                if row[:3] != last:
+                    if size >= PIECE:
+                        yield flush()
+                        groups, texts, size = [], {}, 0
+                    groups.append([])
+                    last = row[:3]
+                groups[-1].append(row)
+                if row[3] not in texts:
+                    texts[row[3]] = text.as_py() or ""
+                    size += len(texts[row[3]])
+        if groups:
+            yield flush()
 
     return over
 
@@ -117,7 +149,7 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     are already certain, (u, v). A link is looked for between any two nodes that share a key.
     """
     far = 1 - least
-    led = materialise(with_leader(members, ["key"]).select("key", "node", "leader", "n"), "buckets")
+    led = materialise(with_leader(members, ["key"]).select("key", "node", "leader"), "buckets")
     pairs = led.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
@@ -147,7 +179,8 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")
     dealt = dealt.select("key", "node", "comp", "d", "j", "open", "block", other).select("*", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"))
     with_text = dealt.join(part, "node")
-    more = with_text.groupBy("key", "b1", "b2").applyInPandas(_exhaustive(k, ordered, least), "u bigint, v bigint")
+    with_text = with_text.select("key", "b1", "b2", "node", "comp", "d", "j", "open", "block", "text").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
+    more = with_text.mapInArrow(_exhaustive(k, ordered, least), "u bigint, v bigint")
     more = materialise(more, "more-links")
     if more.isEmpty():
         return roots

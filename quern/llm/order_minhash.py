@@ -88,10 +88,8 @@ def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     members = alone.select("node", "n", F.explode("keys").alias("key"))
     roots = similar(members, docs.select(F.col("doc_id").alias("node"), "text"), k, True, least, same)
     label = roots.groupBy("node").agg(F.min("root").alias("root"))
-    sizes = label.groupBy("root").agg(F.count("*").alias("_size"))
     # Rows of one class meet its size by (class, salt): the class of a third of all rows is dealt out.
-    salt = F.pmod(F.xxhash64("node"), F.lit(32)).cast("int")
-    sized = label.withColumn("_s", salt).join(sizes.select("root", "_size", F.explode(F.sequence(F.lit(0), F.least(F.lit(31), F.col("_size").cast("int") * 0 + 31))).alias("_s")), ["root", "_s"]).drop("_s")
+    sized = with_leader(label, ["root"]).select("node", "root", F.col("members").alias("_size"))
     out = table.select("node").join(sized, "node", "left")
     return out.select(F.col("node").alias("doc_id"), F.coalesce("root", "node").alias("class_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("class_size"), (F.coalesce("root", F.lit(None).cast("long")).isNull() | (F.col("root") == F.col("node"))).alias("kept"))
 

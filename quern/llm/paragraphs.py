@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 from .near import key_of, similar, with_leader
-from .passages import cut, repeated_spans
+from .passages import blocks, cut, repeated_spans
 from .shingles import U, labelled, mix, shingles, word_hashes
 
 #: A pair of Jaccard index s agrees in a band with 1 - (1 - s**ROWS)**BANDS: 0.997 at 0.8. Recall is bought with candidates, which are verified.
 BANDS, ROWS = 8, 3
-BLOCK = 1 << 20
-#: A paragraph is named doc_id << PLACE | place; ids lie within 39 bits and a sign, places within PLACE bits.
-PLACE = 24
+#: Paragraphs that one task may number.
+ROW_BITS = 36
 
 
 def banded(paragraphs: list[str], k: int, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,81 +39,108 @@ def banded(paragraphs: list[str], k: int, bands: int = BANDS, rows: int = ROWS)
     return counts, n, signature, keys
 
 
+def units(counts: list[int], least: int) -> list[tuple[int, int]]:
+    """Ranges [a, b) of lines that are paragraphs, from the number of words of each line.
+
+    A paragraph ends with the line by which it has `least` words; lines that are left at the end
+    belong to the last one. So every line is in one paragraph, and only a whole text can
+    have fewer words.
+    """
+    out, start, words = [], 0, 0
+    for i, n in enumerate(counts):
+        words += n
+        if words >= least:
+            out.append((start, i + 1))
+            start, words = i + 1, 0
+    if start < len(counts) and out:
+        out[-1] = (out[-1][0], len(counts))
+    elif words:
+        out.append((0, len(counts)))
+    return out
+
+
 def _table(docs: DataFrame, k: int, least_words: int) -> DataFrame:
-    fields = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sig", pa.string()), ("keys", pa.list_(pa.int64()))])
+    """(node, doc_id, version, a, b, n, s1, s2, keys, text) of all paragraphs.
+
+    node numbers the rows of a task, below the number of the task; written once and read from
+    there, it is unique whatever doc_id is.
+    """
+    kinds = {"node": pa.int64(), "doc_id": pa.int64(), "version": pa.int64(), "a": pa.int32(), "b": pa.int32(), "n": pa.int32(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "text": pa.string()}
+    fields = pa.schema(list(kinds.items()))
 
     def over(batches):
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            at = 0
-            while at < len(ids):
-                size, found = 0, []
-                while at < len(ids) and size < BLOCK:
-                    text = texts[at].as_py()
-                    if ids[at] is not None and text:
-                        if not -1 << 63 - PLACE <= ids[at] < 1 << 63 - PLACE or text.count("\n") >= 1 << PLACE:
-                            raise ValueError(f"doc_id {ids[at]} is beyond {63 - PLACE} bits or has over {1 << PLACE} lines")
-                        found += [(ids[at] << PLACE | i, p) for i, p in enumerate(text.split("\n")) if len(p) >= 2 * least_words - 1 and len(p.split()) >= least_words]
-                        size += len(text)
-                    at += 1
-                if not found:
-                    continue
-                # The hashing parts words at fewer characters than split() does; what then has too few is left out.
-                h_counts = word_hashes([p.lower().encode() for _, p in found])[1]
-                found = [f for f, c in zip(found, h_counts.tolist()) if c >= least_words]
-                if not found:
-                    continue
-                _, n, sig, keys = banded([p for _, p in found], k)
-                hexed = [s.tobytes().hex() for s in sig]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(n.astype(np.int32)), pa.array(hexed), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(key_of(keys).ravel()))], schema=fields)
-
-    return docs.select("doc_id", "text").mapInArrow(over, "node bigint, n int, sig string, keys array<bigint>")
+        from pyspark import TaskContext
+
+        context, number = TaskContext.get(), 0
+        base = (context.partitionId() if context else 0) << ROW_BITS
+        for block in blocks(batches):
+            found = []
+            for i, version, text in block:
+                lines = text.split("\n")
+                found += [(i, version, a, b, "\n".join(lines[a:b])) for a, b in units([len(x.encode().split()) for x in lines], least_words)]
+            if not found:
+                continue
+            ids, versions, a, b, texts = zip(*found)
+            _, n, sig, keys = banded(list(texts), k)
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(key_of(keys).ravel()))
+            columns = (np.arange(number, number + len(found)) + base, ids, versions, a, b, n.astype(np.int32), key_of(sig[:, 0].copy()), key_of(sig[:, 1].copy()), listed, texts)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values())], schema=fields)
+            number += len(found)
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return rows.mapInArrow(over, "node long, doc_id long, version long, a int, b int, n int, s1 long, s2 long, keys array<long>, text string")
 
 
 def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 20) -> DataFrame:
-    """(doc_id, place, kept_doc_id, kept_place): paragraphs that repeat an earlier one, and the one that stays.
-
-    Paragraphs are lines of at least least_words words. Two are linked if their k-word
-    shingles have a Jaccard index of `least` or more; of each component the paragraph of
-    least (doc_id, place) stays. Rows without doc_id are passed over. Rows that repeat a
-    doc_id count as one document, its places taken together.
+    """(doc_id, version, a, b, kept_doc_id, kept_version, kept_a): lines [a, b) that repeat an earlier paragraph, and that one.
+
+    Paragraphs are lines of least_words words or more, with the shorter ones before them (see
+    `units`). Two are linked if their k-word shingles have a Jaccard index of `least` or
+    more; of each component the paragraph of least (doc_id, version, a) stays.
+    version is the hash of the text: rows of equal doc_id and text are
+    one document, others of equal doc_id are documents of their own. Rows without doc_id or
+    text are passed over.
     """
     table = materialise(_table(docs, k, least_words), "paragraphs")
-    same = materialise(with_leader(table.select("node", "sig"), ["sig"]).where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")), "same")
-    alone = table.join(same.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
-    members = alone.select("node", "n", F.explode("keys").alias("key"))
-    lines = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
-    lines = lines.select((F.shiftleft("doc_id", PLACE) + F.col("place")).alias("node"), "text")
-    roots = similar(members, lines, k, False, least, same)
-    gone = roots.groupBy("node").agg(F.min("root").alias("root")).where("node <> root")
-    part = lambda c: (F.shiftright(c, PLACE), F.col(c).bitwiseAND((1 << PLACE) - 1).cast("int"))
-    (d, p), (kd, kp) = part("node"), part("root")
-    return gone.select(d.alias("doc_id"), p.alias("place"), kd.alias("kept_doc_id"), kp.alias("kept_place"))
+    same = with_leader(table.select("node", "s1", "s2"), ["s1", "s2"]).where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    same = materialise(same, "same")
+    alone = table.select("node", "keys").join(same.select(F.col("u").alias("node")), "node", "left_anti")
+    members = alone.select("node", F.explode("keys").alias("key"))
+    roots = similar(members, table.select("node", "text"), k, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
+    placed = table.select("node", "b", F.struct("doc_id", "version", "a").alias("place")).join(roots, "node").select("root", "place", "b")
+    met = with_leader(placed, ["root"], "place").where("place <> leader")
+    return met.select("place.*", "b", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")])
 
 
 def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 20) -> DataFrame:
-    """docs, all columns, text without what repeats, with n_paragraphs, n_removed and removed_words.
+    """docs, all columns, text without what repeats, with n_removed, removed_words and removed_bytes.
 
     Paragraphs go that `removals` names, and of all lines the words of passages that repeat an
     earlier one of passages.LENGTH words, wherever its lines end. n_removed counts lines that
-    are removed or cut. A null text counts as empty; an empty text has one empty paragraph, as
-    split at line feeds. Columns of docs named like the added ones are replaced.
+    are removed or cut. A null text counts as empty. Columns of docs named like the added
+    ones are replaced, other names don't matter.
     """
-    gone = removals(docs, k, least, least_words).groupBy("doc_id").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    spans = repeated_spans(docs).groupBy("doc_id", "version").agg(F.collect_set(F.struct("a", "b")).alias("_spans")).withColumnRenamed("doc_id", "_sid")
-    made = ("n_paragraphs", "n_removed", "removed_words")
-    rows = docs.drop(*made).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.join(gone, F.col("doc_id") == F.col("_id"), "left").join(spans, (F.col("doc_id") == F.col("_sid")) & (F.xxhash64("text") == F.col("version")), "left")
+    made = ("n_removed", "removed_words", "removed_bytes")
     rest = [c for c in docs.columns if c not in made]
-    rows = rows.select(*rest, "_gone", "_spans")
     at = rest.index("text")
+    part = lambda rows, lines: rows.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), F.lit(lines).alias("lines"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    gone = part(removals(docs, k, least, least_words), True).union(part(repeated_spans(docs), False))
+    gone = gone.groupBy("gone_id", "gone_version").agg(F.collect_set(F.struct("lines", "a", "b")).alias("gone"))
+    rows = docs.select(*[(F.coalesce(F.col(c), F.lit("")) if c == "text" else F.col(c)).alias(f"c{i}") for i, c in enumerate(rest)])
+    rows = rows.join(gone, (F.col(f"c{rest.index('doc_id')}") == F.col("gone_id")) & (F.xxhash64(f"c{at}") == F.col("gone_version")), "left")
+    rows = rows.select(*[f"c{i}" for i in range(len(rest))], "gone")
 
     def over(batches):
         for b in batches:
-            got = [cut(t.as_py(), set(g or ()), [(s["a"], s["b"]) for s in w or ()]) for t, g, w in zip(b.column(at), b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist())]
-            text, n, hit, lost = zip(*got) if got else ((), (), (), ())
+            got = []
+            for t, found in zip(b.column(at), b.column(len(rest)).to_pylist()):
+                found = found or ()
+                got.append(cut(t.as_py(), {x for r in found if r["lines"] for x in range(r["a"], r["b"])}, [(r["a"], r["b"]) for r in found if not r["lines"]]))
+            text, hit, words, size = zip(*got) if got else ((), (), (), ())
             columns = [pa.array(text, pa.string()) if i == at else b.column(i) for i in range(len(rest))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int32()), pa.array(hit, pa.int32()), pa.array(lost, pa.int64())], names=[*rest, *made])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hit, pa.int64()), pa.array(words, pa.int64()), pa.array(size, pa.int64())], names=[*rest, *made])
 
-    schema = rows.select(*rest).withColumns({"n_paragraphs": F.lit(0), "n_removed": F.lit(0), "removed_words": F.lit(0).cast("bigint")}).schema
+    schema = docs.select(*rest).schema
+    for name in made:
+        schema = schema.add(name, "long")
     return rows.mapInArrow(over, schema)

@@ -1,9 +1,10 @@
 """Passages of LENGTH words that repeat, wherever their lines end.
 
-Each window of LENGTH words has one anchor, the least hash of its 5-word shingles. Windows that
-follow each other and share an anchor are a run, and its words are its context. A run whose
-anchor occurs once holds nothing that repeats; runs with equal contexts repeat as a whole; of
-different contexts around one anchor every window is looked up by its own hash.
+Every window of LENGTH words is a paragraph of its own here, and its MinHash, the least hash of
+its 5-word shingles, the band in which it collides with others. Windows that follow each other
+and have their MinHash at one place are a run, and its words are its context. Runs whose
+MinHash occurs once hold nothing that repeats; runs with equal contexts repeat as a whole; of
+other runs that share half a window around the MinHash every window is compared by its own hash.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -19,7 +19,9 @@ from .near import key_of, rows_of
 from .shingles import _SPACE, U, _power, mix, shingles, word_hashes
 
 LENGTH, K = 50, 5
-BATCH = 1 << 18
+#: Words beside the MinHash's shingle that a window has at least on one of its sides.
+HALF = (LENGTH - K + 1) // 2
+BLOCK = 1 << 20
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -28,10 +30,6 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def _words(text: str) -> np.ndarray:
-    return word_hashes([text.lower().encode()])[0]
-
-
 def _hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the words from start to stop, the same wherever they stand."""
     p, q = _power(len(h) + 1)
@@ -42,43 +40,85 @@ def _hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return out[0], out[1]
 
 
-def runs(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor, first window, windows) of the runs of windows with one anchor."""
-    least, width = shingles(h, np.array([len(h)]), K)[0], LENGTH - K + 1
+def runs(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, place of the MinHash) of the runs of texts of counts words, places within all of h.
+
+    The MinHash is the least of a window's shingle hashes, the leftmost of equals: both follow
+    from the window alone.
+    """
+    none = np.zeros(0, np.int64)
+    if not len(counts) or counts.max() < LENGTH:
+        return none, none, none, none
+    s = shingles(h, np.array([len(h)]), K)[0]
+    bits = U(max(24, int(len(s)).bit_length()))
+    least, width = s >> bits << bits | np.arange(len(s), dtype=np.uint64), LENGTH - K + 1
     done = 1
     while done < width:
         step = min(done, width - done)
         least, done = np.minimum(least[:-step], least[step:]), done + step
-    start = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return key_of(least[start]), start, np.diff(np.append(start, len(least)))
+    ends = np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(least)]
+    valid = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[owner])
+    at, own = (least[valid] & ((U(1) << bits) - U(1))).astype(np.int64), owner[valid]
+    new = np.ones(len(valid), bool)
+    new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(new)
+    return own[first], valid[first], np.diff(np.append(first, len(valid))), at[first]
+
+
+def blocks(batches):
+    """(doc_id, version, text, rest of the columns) of rows, some MB of texts at a time."""
+    block, size = [], 0
+    for b in batches:
+        rest = [b.column(i).to_pylist() for i in range(3, b.num_columns)]
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), *rest):
+            text = row[2].as_py()
+            block.append((*row[:2], text, *row[3:]))
+            size += len(text)
+            if size >= BLOCK:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block
 
 
 def _found(batches):
-    names = ["anchor", "c1", "c2", "doc_id", "version", "start", "number"]
-    for b in batches:
-        held, size = [], 0
-        for i, version, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            h = _words(text.as_py())
-            if len(h) >= LENGTH:
-                anchor, start, number = runs(h)
-                c1, c2 = _hashes(h, start, start + number + LENGTH - 1)
-                held.append((anchor, c1, c2, np.full(len(start), i), np.full(len(start), version), start, number))
-                size += len(start)
-            if size >= BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], names=names)
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*held)], names=names)
+    """(context, left, right, doc_id, version, start, number) of the runs; left and right hash half a window with the MinHash, 0 where the text has none."""
+    for block in blocks(batches):
+        h, counts = word_hashes([t.lower().encode() for _, _, t in block])
+        own, start, number, at = runs(h, counts)
+        if not len(own):
+            continue
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        sums = _hashes(h, np.concatenate([start, np.maximum(at - HALF, 0), at]), np.concatenate([start + number + LENGTH - 1, at + K, np.minimum(at + K + HALF, len(h))]))
+        n = len(at)
+        # A context's hash has the place of the MinHash in it.
+        whole, second = (x[:n].view(np.uint64) for x in sums)
+        context = key_of(mix(whole ^ mix(second + (at - start).astype(np.uint64))))
+        left = np.where(at - HALF >= begins[own], sums[0][n : 2 * n] | 1, 0)
+        right = np.where(at + K + HALF <= ends[own], sums[0][2 * n :] & ~1, 0)
+        ids, versions = np.array([i for i, _, _ in block], np.int64), np.array([v for _, v, _ in block], np.int64)
+        columns = (context, left, right, ids[own], versions[own], start - begins[own], number)
+        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["context", "left", "right", "doc_id", "version", "start", "number"])
 
 
 def _windows(batches):
-    """(h1, h2, doc_id, version, start) of each window of the open runs."""
-    for b in batches:
-        for i, version, text, open_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-            h = _words(text.as_py())
-            at = np.concatenate([np.arange(r["start"], r["start"] + r["number"]) for r in open_])
-            h1, h2 = _hashes(h, at, at + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(np.full(len(at), i)), pa.array(np.full(len(at), version)), pa.array(at)], names=["h1", "h2", "doc_id", "version", "start"])
+    """(h1, h2, doc_id, version, start, inner) of each window of the open runs; inner are those that repeat one of the same text."""
+    for block in blocks(batches):
+        h, counts = word_hashes([t.lower().encode() for _, _, t, _ in block])
+        begins = np.cumsum(counts) - counts
+        spans = [(begins[k], k, r["start"], r["number"]) for k, row in enumerate(block) for r in row[3]]
+        base, own, start, number = (np.array(c, np.int64) for c in zip(*spans))
+        at = np.repeat(start - np.cumsum(number) + number, number) + np.arange(number.sum())
+        h1, h2 = _hashes(h, at + np.repeat(base, number), at + np.repeat(base, number) + LENGTH)
+        own = np.repeat(own, number)
+        ids, versions = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
+        order = np.lexsort((at, h2, h1, own))
+        o, x, y = own[order], h1[order], h2[order]
+        inner = np.zeros(len(at), bool)
+        inner[order[1:]] = (o[1:] == o[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, ids[own], versions[own], at, inner)], names=["h1", "h2", "doc_id", "version", "start", "inner"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -87,31 +127,42 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Earlier is of smaller (doc_id, version, place); version is the hash of the text, so that
     rows that repeat a doc_id have spans of their own texts, and equal rows are one. Case and
     amounts of white space don't count. Rows without doc_id are passed over.
+
+    Hot passages: least places combine before their shuffle, and runs meet them in joins of
+    plain exchanges, which AQE splits.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    found = rows.mapInArrow(_found, "anchor long, c1 long, c2 long, doc_id long, version long, start long, number long").distinct()
-    place = ["doc_id", "version", "start"]
-    same = W.partitionBy("anchor", "c1", "c2").orderBy(*place)
-    whole = W.partitionBy("anchor").orderBy("c1", "c2", *place).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    kind = F.struct("c1", "c2")
-    found = found.repartition("anchor").withColumn("_nth", F.row_number().over(same)).withColumn("_kinds", F.first(kind).over(whole) != F.last(kind).over(whole))
-    found = materialise(found.where("_nth > 1 or _kinds").select(*place, "number", (F.col("_nth") > 1).alias("sure")), "passage-runs")
-    open_ = found.where("not sure").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "number")).alias("_runs"))
-    ids = materialise(found.where("not sure").select("doc_id").distinct(), "passage-ids")
-    texts = rows_of(rows, ids, "doc_id").dropDuplicates(["doc_id", "version"]).join(open_, ["doc_id", "version"])
-    windows = materialise(texts.select("doc_id", "version", "text", "_runs").mapInArrow(_windows, "h1 long, h2 long, doc_id long, version long, start long"), "windows")
-    least = windows.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = windows.join(least, ["h1", "h2"]).where(F.struct(*place) > F.col("_first"))
+    kinds = "context long, left long, right long, doc_id long, version long, start long, number long"
+    found = materialise(rows.mapInArrow(_found, kinds), "passage-runs")
+    # A window that repeats has HALF words on one side of its MinHash, so its run shares that half.
+    # A run may come twice from here on, by either half; nothing that follows counts runs.
+    sides = found.select("context", "doc_id", "version", "start", "number", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    # Runs of one context need no look at their windows, unless others share a half with them.
+    common = sides.groupBy("side").agg(F.count("*").alias("_n"), (F.min("context") < F.max("context")).alias("kinds")).where("_n > 1").drop("_n")
+    shared = materialise(sides.join(common, "side").drop("side"), "shared-runs")
+    place = F.struct("doc_id", "version", "start")
+    again = shared.groupBy("context").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first < _last").drop("_last")
+    told = shared.join(again, "context", "left").withColumn("sure", F.coalesce(place > F.col("_first"), F.lit(False)))
+    told = materialise(told.where("sure or kinds").select("doc_id", "version", "start", "number", "sure"), "told-runs")
+    open_ = told.where("not sure").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "number")).alias("_runs"))
+    open_ = materialise(open_, "open-runs")
+    texts = rows_of(rows, open_.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "version"]).join(open_, ["doc_id", "version"])
+    windows = materialise(texts.select("doc_id", "version", "text", "_runs").mapInArrow(_windows, "h1 long, h2 long, doc_id long, version long, start long, inner boolean"), "windows")
+    outer, text = windows.where("not inner"), F.struct("doc_id", "version")
+    least = outer.groupBy("h1", "h2").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first < _last").drop("_last")
+    later = outer.join(least, ["h1", "h2"]).where(text > F.col("_first")).union(windows.where("inner").withColumn("_first", F.lit(None)))
     span = lambda n: (F.col("start").alias("a"), (F.col("start") + n + LENGTH - 1).alias("b"))
-    return found.where("sure").select("doc_id", "version", *span(F.col("number"))).union(later.select("doc_id", "version", *span(F.lit(1))))
+    return told.where("sure").select("doc_id", "version", *span(F.col("number"))).union(later.select("doc_id", "version", *span(F.lit(1))))
 
 
 def cut(text: str, gone: set[int], spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
-    """(text left, lines, lines removed or cut, words removed) without the lines `gone` and the words of spans.
+    """(text left, lines removed or cut, words removed, bytes removed) without the lines `gone` and the words of spans.
 
     A line goes with its line feed if all its words go; of other lines what is left stays, and
     of white space what lies between removed words goes too.
     """
+    if not gone and not spans:
+        return text, 0, 0, 0
     lines = text.split("\n")
     kept, hit, lost, at = [], 0, 0, 0
     total = sum(len(word_bounds(x.encode())[0]) for x in lines) if spans else 0
@@ -135,4 +186,5 @@ def cut(text: str, gone: set[int], spans: list[tuple[int, int]]) -> tuple[str, i
                 place = ends[b - 1]
             kept.append(b"".join([*left, raw[place:]]).decode())
             hit, lost = hit + 1, lost + int(mine.sum())
-    return "\n".join(kept), len(lines), hit, lost
+    left = "\n".join(kept)
+    return left, hit, lost, len(text.encode()) - len(left.encode())

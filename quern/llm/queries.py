@@ -50,7 +50,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", "n_paragraphs", "n_removed", "removed_words", F.sha2("text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_removed", "removed_words", "removed_bytes", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,15 +77,55 @@ def labelled(s: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Prepared:
     """A text's labelled shingles, sorted, with their places."""
 
-    def __init__(self, text: str | None, k: int) -> None:
-        h, counts = word_hashes([(text or "").lower().encode()])
-        s, n = shingles(h, counts, k)
-        x = labelled(s, n)
+    def __init__(self, text: str | None, k: int, x: np.ndarray | None = None) -> None:
+        if x is None:
+            x = labelled(*shingles(*word_hashes([(text or "").lower().encode()]), k))
         self.n = len(x)
         self.place = np.argsort(x)
         self.sorted = x[self.place]
 
 
+def prepared(texts: list[str | None], k: int) -> list[Prepared]:
+    """Prepared of each text, hashed together."""
+    s, n = shingles(*word_hashes([(t or "").lower().encode() for t in texts]), k)
+    x, ends = labelled(s, n), np.cumsum(n).tolist()
+    return [Prepared(t, k, x[e - m : e]) for t, e, m in zip(texts, ends, n.tolist())]
+
+
+def common_counts(one: list[Prepared], other: list[Prepared], columns: int = 8192) -> np.ndarray:
+    """How many labelled shingles each of one has in common with each of other.
+
+    Shingles that stand on both sides are numbered and multiplied as 0/1 matrices, `columns` of them at a time.
+    """
+    sides = []
+    for ready in (one, other):
+        x = np.concatenate([p.sorted for p in ready] or [np.zeros(0, np.uint64)])
+        sides.append((x, np.repeat(np.arange(len(ready)), [p.n for p in ready])))
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(one), len(other)), np.float32)
+    if not len(both):
+        return out
+    if one is other:
+        # What stands in a single text is common to none.
+        names, times = np.unique(sides[0][0], return_counts=True)
+        both = names[times > 1]
+    placed = []
+    for x, owner in sides:
+        at = np.searchsorted(both, x)
+        hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == x) if len(both) else np.zeros(len(x), bool)
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((at[hit][order], owner[hit][order]))
+    for lo in range(0, len(both), columns):
+        parts = []
+        for (at, owner), ready in zip(placed, (one, other)):
+            a, b = np.searchsorted(at, [lo, lo + columns])
+            m = np.zeros((len(ready), columns), np.float32)
+            m[owner[a:b], at[a:b] - lo] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
 def _rising(places: np.ndarray) -> int:
     """Length of the longest rising run of distinct numbers, in any gaps."""
     if len(places) < 2 or (np.diff(places) > 0).all():

@@ -22,11 +22,15 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "π": "n", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ø": "o", "ł": "i", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "l": "i",
 }
-#: Lexicon words inside these phrases don't count.
+#: Phrases in which lexicon words don't count, besides those that `learn` finds in any language.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "class clown", "clown fish", "pond scum", "loser bracket", "stupid simple")
 STEMS = (4, 5, 6)
 #: The least log odds of an entry.
 LEAST_W = 2.0
+#: Clean sampled documents that a phrase needs at least to be an exception.
+LEAST_CLEAN = 5
+#: Features that a task counts before it hands them on.
+FLUSH = 1 << 17
 
 
 class Fold(dict):
@@ -127,19 +131,45 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, k: int = 5) -
     return first.select("_r.doc_id", "_r.text", "toxic", F.pmod(F.xxhash64("_g", F.lit(7)), F.lit(2)).cast("int").alias("half"))
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Of each task: in how many toxic and clean documents of each half every word and stem occurs."""
+def _counted(batches: Iterable[pa.RecordBatch], features) -> Iterable[pa.RecordBatch]:
+    """(feature, n, toxic, half): in how many documents of each label and half a task meets each of features(words).
+
+    Counts are handed on whenever FLUSH of them are held, so a task's memory doesn't grow with its documents.
+    """
     found: dict[tuple[int, int], Counter] = {}
+
+    def flush():
+        for (toxic, half), c in found.items():
+            keys = list(c)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(list(c.values()), pa.int64()), pa.array([toxic] * len(keys), pa.int32()), pa.array([half] * len(keys), pa.int32())], names=["feature", "n", "toxic", "half"])
+        found.clear()
+
     for b in batches:
-        for text, toxic, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            words = set(folded(text))
-            found.setdefault((toxic, half), Counter()).update({"=" + w for w in words if len(w) > 2} | {"^" + w[:n] for w in words for n in STEMS if len(w) > n})
-    for (toxic, half), c in found.items():
-        keys = list(c)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([c[k] for k in keys], pa.int64()), pa.array([toxic] * len(keys), pa.int32()), pa.array([half] * len(keys), pa.int32())], names=["feature", "n", "toxic", "half"])
+        for text, toxic, half in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            found.setdefault((toxic, half), Counter()).update(features(folded(text.as_py())))
+            if sum(map(len, found.values())) >= FLUSH:
+                yield from flush()
+    yield from flush()
+
+
+def _features(words: list[str]) -> set[str]:
+    """The words of a text as =word and the stems of its words as ^stem."""
+    words = set(words)
+    return {"=" + w for w in words if len(w) > 2} | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+
 
+def _phrases(lexicon: Lexicon):
+    """words of a text -> the pairs of neighbouring words of which an entry matches one."""
+    whole, stems = {w for w, _ in lexicon.words}, {w for w, _ in lexicon.stems}
 
-def _lexicon(counts: list, totals: dict[int, int], size: int, least_z: float) -> Lexicon:
+    def of(words: list[str]) -> set[str]:
+        hit = [w in whole or any(w[:n] in stems for n in STEMS) for w in words]
+        return {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
+
+    return of
+
+
+def _lexicon(counts: list, totals: dict[int, int], least_z: float) -> Lexicon:
     """The words and stems that toxic documents have significantly more often, weighted by log odds."""
     scored = {}
     for feature, a, b in counts:
@@ -149,11 +179,24 @@ def _lexicon(counts: list, totals: dict[int, int], size: int, least_z: float) ->
             scored[feature] = (z, w)
     kept: dict[str, float] = {}
     # A stem speaks for the longer stems and words that begin with it, if they weigh no more.
-    for feature, (_, w) in sorted(scored.items(), key=lambda x: (-x[1][0], len(x[0]), x[0]))[: 4 * size]:
+    for feature, (_, w) in sorted(scored.items(), key=lambda x: (-x[1][0], len(x[0]), x[0])):
         if not any(kept.get("^" + feature[1 : 1 + n], -9.0) >= w - 0.2 for n in STEMS if n < len(feature) - (feature[0] == "^")):
             kept[feature] = w
-    best = list(kept.items())[:size]
-    return Lexicon(tuple((f[1:], w) for f, w in best if f[0] == "="), tuple((f[1:], w) for f, w in best if f[0] == "^"))
+    return Lexicon(tuple((f[1:], w) for f, w in kept.items() if f[0] == "="), tuple((f[1:], w) for f, w in kept.items() if f[0] == "^"))
+
+
+def _exceptions(sample: DataFrame, lexicon: Lexicon, number: dict[int, int]) -> tuple[str, ...]:
+    """Phrases with a lexicon word that clean documents of the sample have no less often than toxic ones.
+
+    Only those that hold are collected; like the entries they are bounded by the sample.
+    """
+    if not lexicon.words and not lexicon.stems:
+        return ()
+    of = _phrases(lexicon)
+    n = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias("ab"[1 - t])
+    seen = sample.select("text", "toxic", "half").mapInArrow(lambda b: _counted(b, of), "feature string, n bigint, toxic int, half int").groupBy("feature").agg(n(1), n(0))
+    clean = seen.where((F.col("b") >= LEAST_CLEAN) & ((F.col("a") + 0.5) / (number[1] + 1) <= (F.col("b") + 0.5) / (number[0] + 1)))
+    return tuple(sorted(r.feature for r in clean.select("feature").collect()))
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
@@ -171,14 +214,15 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return tuple(float(v) for v in b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 2000, least_z: tuple[float, ...] = (2.6, 3.3, 4.2, 5.5)) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, least_z: tuple[float, ...] = (2.6, 3.3, 4.2, 5.5)) -> Lexicon:
     """A lexicon from labelled documents that aren't held out.
 
-    most: the bound of the sample, in documents of each label; size: the most entries. Document
+    most: the bound of the sample, in documents of each label. Document
     frequencies of words and stems are counted on the executors; the driver gets those of
     candidates and two numbers of each sampled document, both bounded by the sample. The curve
     is fitted crosswise: each half of the sample is matched with a lexicon from the other, and
-    of the significance levels least_z that is taken whose crosswise fit is best.
+    of the significance levels least_z that is taken whose crosswise fit is best. Pairs of
+    words with an entry in them that are no sign of toxicity become exception phrases.
     Null labels are ignored. Without toxic or without clean samples every score is 0 or 1.
     """
     sample = materialise(labelled_sample(docs, labels, most), "toxic-sample")
@@ -192,13 +236,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 2000
     n = lambda t, h: F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("n")).otherwise(0))
     seen = (
         sample.select("text", "toxic", "half")
-        .mapInArrow(_features, "feature string, n bigint, toxic int, half int")
+        .mapInArrow(lambda b: _counted(b, _features), "feature string, n bigint, toxic int, half int")
         .groupBy("feature")
         .agg(n(1, 0).alias("a0"), n(1, 1).alias("a1"), n(0, 0).alias("b0"), n(0, 1).alias("b1"))
         .where(" or ".join(f"({a} >= 3 and ln(({a} + 0.5) / ({b} + 0.5)) >= {LEAST_W + math.log((t + 1) / (c + 1)) - 1e-9!r})" for a, b, t, c in counted))
         .collect()
     )
-    halves = [[_lexicon([(r.feature, r[f"a{1 - h}"], r[f"b{1 - h}"]) for r in seen], {t: total[t, 1 - h] for t in (0, 1)}, size, z) for z in least_z] for h in (0, 1)]
+    halves = [[_lexicon([(r.feature, r[f"a{1 - h}"], r[f"b{1 - h}"]) for r in seen], {t: total[t, 1 - h] for t in (0, 1)}, z) for z in least_z] for h in (0, 1)]
     crossed = [r for h in (0, 1) for r in _weighed(sample.where(F.col("half") == h), halves[h]).select("weights", "n_words", "toxic").collect()]
     prior = {t: c for t, c in _known(labels).groupBy("toxic").count().collect()}
     each = {t: prior.get(t, 0) / max(1, sum(prior.values())) / number[t] * sum(number.values()) for t in (0, 1)}
@@ -212,8 +256,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, size: int = 2000
         loss = -(share * np.log(np.where(y == 1, p, 1 - p))).sum()
         if best is None or loss < best[0]:
             best = (loss, z, curve)
-    whole = _lexicon([(r.feature, r.a0 + r.a1, r.b0 + r.b1) for r in seen], number, size, best[1])
-    return Lexicon(whole.words, whole.stems, best[2])
+    whole = _lexicon([(r.feature, r.a0 + r.a1, r.b0 + r.b1) for r in seen], number, best[1])
+    return Lexicon(whole.words, whole.stems, best[2], (*EXCEPTIONS, *_exceptions(sample, whole, number)))
 
 
 def _weighed(docs: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
