@@ -26,15 +26,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/quern-{label}-{uuid.uuid4().hex}"
 
 
+#: Setting under which Spark removes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back.
 
     The committed files cut the lineage: what reads them needs no shuffle file of a lost
-    executor and is not computed twice.
+    executor and is not computed twice. So the write's own shuffle files can go when it has ended.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more: what was made of them is written itself."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 40) -> DataFrame:
@@ -59,11 +78,13 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 40) -
         both = now.union(now.select("b", "a"))
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "large")
         large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(large.distinct(), "edges")
+        old, now = (now, least), materialise(large.distinct(), "edges")
+        drop(*old)
         # Small star: a node and its lesser neighbours are linked to the least of them.
         least = materialise(now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "small")
         small = now.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        old, now = (now, least), materialise(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        drop(*old)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, drop, materialise
 from .shingles import Prepared, common_counts, distance, jaccard_distance, prepared
 
 #: Ids that are broadcast at most (16 bytes each in the executors); more are shuffled.
@@ -153,7 +153,8 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     pairs = led.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    part = materialise(rows_of(texts.select("node", "text"), materialise(ids, "ids")), "texts")
+    ids = materialise(ids, "ids")
+    part = materialise(rows_of(texts.select("node", "text"), ids), "texts")
     with_u = pairs.join(part.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
     both = with_u.join(part.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
     # Distances are exact up to twice a link's and clamped there, Jaccard distances exact throughout.
@@ -161,7 +162,7 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     links = met.where(F.col("d") <= far + 1e-12).select("u", "v")
     if known is not None:
         links = links.union(known.select("u", "v"))
-    roots = materialise(components(links), "components")
+    roots = components(links)
     # What remains: members that are not connected to their bucket's leader.
     label = roots.select("node", F.col("root").alias("comp"))
     seen = led.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -172,8 +173,10 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     left = seen.where("node <> leader").join(rest, "key").where(F.col("open") | ((F.col("d") >= F.col("_least") - far - 1e-9) & (F.col("j") >= F.col("_least_j") - far - 1e-9)))
     left = materialise(left.select("key", "node", "comp", "d", "j", "open"), "left")
     # An open member far from all others' leader and alone in its bucket has nothing to meet.
+    drop(led, pairs, ids, seen)
     size = left.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").withColumn("_nb", F.ceil(F.col("_m") / BLOCK).cast("int"))
     if size.isEmpty():
+        drop(part, left, met)
         return roots
     dealt = left.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")
@@ -182,9 +185,9 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     with_text = with_text.select("key", "b1", "b2", "node", "comp", "d", "j", "open", "block", "text").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
     more = with_text.mapInArrow(_exhaustive(k, ordered, least), "u bigint, v bigint")
     more = materialise(more, "more-links")
-    if more.isEmpty():
-        return roots
-    return components(links.union(more))
+    drop(part, left)
+    # Links among the components so far, and the new ones, have the same components as all links.
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)) if not more.isEmpty() else roots
 
 
 def key_of(parts: np.ndarray) -> np.ndarray:

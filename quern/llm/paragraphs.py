@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 from .near import key_of, similar, with_leader
 from .passages import blocks, cut, repeated_spans
 from .shingles import U, labelled, mix, shingles, word_hashes
@@ -109,7 +109,9 @@ def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int =
     roots = similar(members, table.select("node", "text"), k, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
     placed = table.select("node", "b", F.struct("doc_id", "version", "a").alias("place")).join(roots, "node").select("root", "place", "b")
     met = with_leader(placed, ["root"], "place").where("place <> leader")
-    return met.select("place.*", "b", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")])
+    out = materialise(met.select("place.*", "b", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")]), "removals")
+    drop(table, same)
+    return out
 
 
 def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 20) -> DataFrame:

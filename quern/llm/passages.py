@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 from .near import key_of, rows_of
 from .shingles import _SPACE, U, _power, mix, shingles, word_hashes
 
@@ -82,8 +82,20 @@ def blocks(batches):
         yield block
 
 
+def _again(own: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which entries have the key of an earlier one of the same text."""
+    order = np.lexsort((at, key, own))
+    out = np.zeros(len(at), bool)
+    out[order[1:]] = (own[order][1:] == own[order][:-1]) & (key[order][1:] == key[order][:-1])
+    return out
+
+
 def _found(batches):
-    """(context, left, right, doc_id, version, start, number) of the runs; left and right hash half a window with the MinHash, 0 where the text has none."""
+    """(context, left, right, doc_id, version, start, number, inner) of the runs.
+
+    left and right hash half a window with the MinHash, 0 where the text has none; inner runs
+    repeat one of the same text.
+    """
     for block in blocks(batches):
         h, counts = word_hashes([t.lower().encode() for _, _, t in block])
         own, start, number, at = runs(h, counts)
@@ -99,8 +111,8 @@ def _found(batches):
         left = np.where(at - HALF >= begins[own], sums[0][n : 2 * n] | 1, 0)
         right = np.where(at + K + HALF <= ends[own], sums[0][2 * n :] & ~1, 0)
         ids, versions = np.array([i for i, _, _ in block], np.int64), np.array([v for _, v, _ in block], np.int64)
-        columns = (context, left, right, ids[own], versions[own], start - begins[own], number)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["context", "left", "right", "doc_id", "version", "start", "number"])
+        columns = (context, left, right, ids[own], versions[own], (start - begins[own]).astype(np.int32), number.astype(np.int32), _again(own, context, start))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "left", "right", "doc_id", "version", "start", "number", "inner"])
 
 
 def _windows(batches):
@@ -114,45 +126,43 @@ def _windows(batches):
         h1, h2 = _hashes(h, at + np.repeat(base, number), at + np.repeat(base, number) + LENGTH)
         own = np.repeat(own, number)
         ids, versions = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
-        order = np.lexsort((at, h2, h1, own))
-        o, x, y = own[order], h1[order], h2[order]
-        inner = np.zeros(len(at), bool)
-        inner[order[1:]] = (o[1:] == o[:-1]) & (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, ids[own], versions[own], at, inner)], names=["h1", "h2", "doc_id", "version", "start", "inner"])
+        inner = _again(own, h1 ^ key_of(mix(h2.view(np.uint64))), at)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, ids[own], versions[own], at.astype(np.int32), inner)], names=["h1", "h2", "doc_id", "version", "start", "inner"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, a, b): spans of words whose union is what repeats an earlier window of LENGTH words.
 
-    Earlier is of smaller (doc_id, version, place); version is the hash of the text, so that
-    rows that repeat a doc_id have spans of their own texts, and equal rows are one. Case and
-    amounts of white space don't count. Rows without doc_id are passed over.
+    Earlier is before in the same text, or in a text of smaller doc_id; texts of one doc_id don't
+    count as earlier than each other. version is the hash of the text, so that rows that
+    repeat a doc_id have spans of their own texts. Case and amounts of white space don't
+    count. Rows without doc_id are passed over.
 
-    Hot passages: least places combine before their shuffle, and runs meet them in joins of
+    Hot passages: least ids combine before their shuffle, and runs meet them in joins of
     plain exchanges, which AQE splits.
     """
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    kinds = "context long, left long, right long, doc_id long, version long, start long, number long"
-    found = materialise(rows.mapInArrow(_found, kinds), "passage-runs")
+    found = materialise(rows.mapInArrow(_found, "context long, left long, right long, doc_id long, version long, start int, number int, inner boolean"), "passage-runs")
     # A window that repeats has HALF words on one side of its MinHash, so its run shares that half.
     # A run may come twice from here on, by either half; nothing that follows counts runs.
-    sides = found.select("context", "doc_id", "version", "start", "number", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    sides = found.where("not inner").select("context", "doc_id", "version", "start", "number", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
     # Runs of one context need no look at their windows, unless others share a half with them.
-    common = sides.groupBy("side").agg(F.count("*").alias("_n"), (F.min("context") < F.max("context")).alias("kinds")).where("_n > 1").drop("_n")
-    shared = materialise(sides.join(common, "side").drop("side"), "shared-runs")
-    place = F.struct("doc_id", "version", "start")
-    again = shared.groupBy("context").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first < _last").drop("_last")
-    told = shared.join(again, "context", "left").withColumn("sure", F.coalesce(place > F.col("_first"), F.lit(False)))
+    common = sides.groupBy("side").agg(F.count("*").alias("_n"), F.min("context").alias("_lo"), F.max("context").alias("_hi")).where("_n > 1")
+    shared = materialise(sides.join(materialise(common.select("side", (F.col("_lo") < F.col("_hi")).alias("kinds")), "halves"), "side").drop("side"), "shared-runs")
+    again = shared.groupBy("context").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    told = shared.join(again, "context", "left").withColumn("sure", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
     told = materialise(told.where("sure or kinds").select("doc_id", "version", "start", "number", "sure"), "told-runs")
+    drop(shared)
     open_ = told.where("not sure").groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "number")).alias("_runs"))
     open_ = materialise(open_, "open-runs")
     texts = rows_of(rows, open_.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "version"]).join(open_, ["doc_id", "version"])
-    windows = materialise(texts.select("doc_id", "version", "text", "_runs").mapInArrow(_windows, "h1 long, h2 long, doc_id long, version long, start long, inner boolean"), "windows")
-    outer, text = windows.where("not inner"), F.struct("doc_id", "version")
-    least = outer.groupBy("h1", "h2").agg(F.min(text).alias("_first"), F.max(text).alias("_last")).where("_first < _last").drop("_last")
-    later = outer.join(least, ["h1", "h2"]).where(text > F.col("_first")).union(windows.where("inner").withColumn("_first", F.lit(None)))
-    span = lambda n: (F.col("start").alias("a"), (F.col("start") + n + LENGTH - 1).alias("b"))
-    return told.where("sure").select("doc_id", "version", *span(F.col("number"))).union(later.select("doc_id", "version", *span(F.lit(1))))
+    windows = materialise(texts.select("doc_id", "version", "text", "_runs").mapInArrow(_windows, "h1 long, h2 long, doc_id long, version long, start int, inner boolean"), "windows")
+    outer = windows.where("not inner")
+    least = outer.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    later = outer.join(least, ["h1", "h2"]).where("doc_id > _first")
+    span = lambda df, n: df.select("doc_id", "version", F.col("start").alias("a"), (F.col("start") + n + LENGTH - 1).alias("b"))
+    whole = span(found.where("inner"), F.col("number")).union(span(told.where("sure"), F.col("number")))
+    return whole.union(span(later, F.lit(1))).union(span(windows.where("inner"), F.lit(1)))
 
 
 def cut(text: str, gone: set[int], spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
