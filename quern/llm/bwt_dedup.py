@@ -29,8 +29,8 @@ GRAMS = LENGTH - GRAM + 1
 #: Bytes of a super-letter of the transforms; LENGTH is a multiple. A byte alphabet takes LENGTH refinements, this one 2.
 LETTER = 50
 BLOCK = 1 << 20
-#: Rows that one id may have, and the bound of ids, if ids repeat or are null: a key is doc_id * REPEATS + nth.
-REPEATS, IDS = 1 << 21, 1 << 41
+#: Rows that one range of ids may number.
+RANGE_BITS = 36
 SHARD, MERGED = 1 << 16, 1 << 21
 
 
@@ -276,18 +276,26 @@ def _merged_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with a key of each row that sorts as doc_id does, null last; rows that repeat an id follow each other by text.
 
-    If ids repeat or are null, an id may have REPEATS rows and must lie within IDS: beyond, keys
-    would run into each other, and it raises ValueError.
+    Unless ids repeat or are null the key is the id. Otherwise rows are dealt to ranges of (id,
+    text) and numbered there, below the number of the range; written once and read from
+    there, keys stay what they are.
     """
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.where("n > 1 or doc_id is null").isEmpty():
-        return docs.select("doc_id", "text", F.col("doc_id").alias("key"))
-    most, low, high = ids.agg(F.max("n"), F.min("doc_id"), F.max("doc_id")).first()
-    # Null ids come last: their keys have room up to the end of the numbers.
-    if ids.where(F.col("doc_id").isNotNull() & (F.col("n") > REPEATS)).take(1) or most > IDS * REPEATS or (low is not None and not -IDS <= low <= high < IDS):
-        raise ValueError(f"with repeated or null ids, doc_id must lie within -{IDS} and {IDS - 1} and have at most {REPEATS} rows")
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text")) - 1
-    return docs.select("doc_id", "text", (F.coalesce("doc_id", F.lit(IDS)) * REPEATS + nth).alias("key"))
+        return docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("key"))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context, n = TaskContext.get(), 0
+        base = (context.partitionId() if context else 0) << RANGE_BITS
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(np.arange(n, n + len(b), dtype=np.int64) + base)], names=["doc_id", "text", "key"])
+            n += len(b)
+
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    rows = docs.select("doc_id", "text").repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    return materialise(rows.mapInArrow(numbered, "doc_id bigint, text string, key bigint"), "keyed")
 
 
 def removed_spans(keyed: DataFrame) -> DataFrame:

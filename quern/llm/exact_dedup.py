@@ -49,7 +49,10 @@ def with_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
     """
     groups = materialise(text_groups(docs, salts), "groups")
     made = ("keep_id", "group_size", "kept", "text_sha256")
-    rows = _keyed(docs.drop(*made), salts)
+    names = [c for c in docs.columns if c not in made]
+    # Columns of docs go under numbers meanwhile, so that none of them has a name that is used here.
+    numbered = docs.select("doc_id", "text", *[F.col(c).alias(f"c{k}") for k, c in enumerate(names) if c not in ("doc_id", "text")])
+    rows = _keyed(numbered, salts)
     g = groups.select(F.col("_d").alias("_gd"), F.col("_s").alias("_gs"), F.col("_text").alias("_gt"), "_keep", "_n", "_variants")
     same = (F.col("_d") == F.col("_gd")) & (F.col("_s") == F.col("_gs"))
     if groups.where("_variants > 1").isEmpty():
@@ -59,12 +62,13 @@ def with_groups(docs: DataFrame, salts: int = 64) -> DataFrame:
         joined = rows.join(g, same & (F.col("_gt").isNull() | (F.col("_gt") == F.col("_text")))).drop("_text")
     first = F.row_number().over(W.partitionBy("_d", "_s", "_gt", "doc_id").orderBy(F.lit(0)))
     one_salt_of_nulls = F.col("_keep").isNull() | (F.col("doc_id") == F.col("_keep"))
-    return (
-        joined.withColumn("keep_id", F.col("_keep"))
-        .withColumn("group_size", F.col("_n"))
-        .withColumn("kept", F.coalesce(one_salt_of_nulls, F.lit(False)) & (first == 1))
-        .withColumn("text_sha256", F.lower(F.hex("_d")))
-        .drop("_d", "_s", "_gd", "_gs", "_gt", "_keep", "_n", "_variants")
+    joined = joined.withColumn("_kept", F.coalesce(one_salt_of_nulls, F.lit(False)) & (first == 1))
+    return joined.select(
+        *[F.col(c if c in ("doc_id", "text") else f"c{k}").alias(c) for k, c in enumerate(names)],
+        F.col("_keep").alias("keep_id"),
+        F.col("_n").alias("group_size"),
+        F.col("_kept").alias("kept"),
+        F.lower(F.hex("_d")).alias("text_sha256"),
     )
 
 

@@ -98,25 +98,25 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(likeness(a.tolist(), b.tolist()))
 
 
-def _bucketed(docs: DataFrame, buckets: int, cells: int = 1 << 16) -> tuple[DataFrame, dict[int, int]]:
+def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, dict[int, int]]:
     """docs with a bucket _b of neighbouring ids _k, and for each bucket's greatest id the bucket before it.
 
-    Ids are counted in equal cells of their range, and cells are dealt to about equal buckets.
-    The driver holds a count for each cell and an id for each bucket. Null ids come below all
-    others.
+    Buckets end at quantiles of the ids, so they have about equally many rows however ids
+    are spread. The driver holds two ids for each bucket. Null ids come below all others.
     """
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    lo, hi = (-1, -1) if lo is None else (lo - 1, hi)
-    width = (hi - lo + 1) / cells
+    shares = [k / buckets for k in range(1, buckets)]
+    lo, cuts = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 20 * buckets) if shares else F.lit(None)).first()
+    lo = -1 if lo is None else max(lo - 1, -(1 << 63))
+    cuts = sorted(set(cuts or ()))
     keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(lo)))
-    cell = F.least(F.lit(cells - 1), F.floor((F.col("_k") - F.lit(lo)) / F.lit(width))).cast("int")
-    counts = dict(keyed.groupBy(cell.alias("c")).count().collect())
-    total, seen, dealt = sum(counts.values()), 0, []
-    for c in range(cells):
-        dealt.append(seen * buckets // max(1, total))
-        seen += counts.get(c, 0)
-    table = F.split(F.lit(",".join(map(str, dealt))), ",").cast("array<int>")
-    keyed = keyed.withColumn("_b", F.get(table, cell))
+    # The bucket is the number of cuts below an id, found by halving.
+    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+
+    def halved(at, step):
+        return F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) < F.col("_k")), at + step).otherwise(at)
+
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+    keyed = keyed.withColumn("_b", F.aggregate(steps, F.lit(0), halved) if cuts else F.lit(0))
     heads = sorted((b, k) for b, k in keyed.groupBy("_b").agg(F.max("_k")).collect())
     before = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
     return keyed, before

@@ -10,13 +10,22 @@ from .common import materialise
 
 #: Words are the runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
+#: The golden ratio's fraction, and those of it times 2**20 and 2**40: slots are multiplied in three parts, so that large numbers keep their fraction.
+GOLDEN = (0.6180339887498949, 0.607787409740351, 0.2909558982617013)
+PART = 1 << 20
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def point(slot: Column) -> Column:
+    """The fraction of slot times the golden ratio, exact to 30 bits for slots below 2**60."""
+    parts = (F.pmod(slot, F.lit(PART)), F.pmod(F.floor(slot / PART), F.lit(PART)), F.floor(slot / (PART * PART)))
+    x = parts[0] * F.lit(GOLDEN[0]) + parts[1] * F.lit(GOLDEN[1]) + parts[2] * F.lit(GOLDEN[2])
+    return x - F.floor(x)
+
+
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """(source, source_size, target) from rows of (source, size).
 
@@ -72,7 +81,7 @@ def slot_schedule(targets: DataFrame, block: int, chunk: int = 1 << 14) -> DataF
     share = materialise(share, "shares")
     total = share.agg(F.max("_all")).first()[0] or 0.0
     slots = max(1, int(-(-total // block))) if total else 0
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0)).alias("_x"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("_x"))
     # The intervals are cut at a grid of cells, so a point finds its source by an equality join.
     cells = 4096
     grid = share.select("source_rank", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells).cast("long")))).alias("_cell"))
@@ -83,7 +92,8 @@ def slot_schedule(targets: DataFrame, block: int, chunk: int = 1 << 14) -> DataF
     ranked = placed.join(offsets.select("source_rank", "_chunk", "_off"), ["source_rank", "_chunk"]).withColumn("k", F.col("_off") + F.row_number().over(W.partitionBy("source_rank", "_chunk").orderBy("slot")) - 1)
     ranked = materialise(ranked.select("slot", "source_rank", "k"), "slots")
     number = ranked.groupBy("source_rank").agg(F.count("*").alias("_n"))
-    share = share.join(number, "source_rank", "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long")))
+    # Written, it has a known size: a row for each source, which rows meet without a shuffle while it is small.
+    share = materialise(share.join(number, "source_rank", "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("long"))), "shares")
     late = share.join(number.select("source_rank"), "source_rank", "left_anti").select((F.lit(slots) + F.col("source_rank")).cast("long").alias("slot"), "source_rank", F.lit(0).cast("long").alias("k"))
     cut = lambda k: F.floor(k * (F.col("_words") / F.col("_n")) + F.lit(1e-6)).cast("long")
     return (
@@ -113,11 +123,11 @@ def _streams(docs: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, block: int = 512, buckets: int = 1024) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, passes) for every row of docs.
+    """(doc_id, source, size, source_size, target, taken, slots) for every row of docs.
 
     docs needs doc_id, text and source. size counts words, a null text has none. taken is how
-    many words the schedule's blocks take from the row, repeats counted, and passes how many
-    of the passes over its source take any. A source's stream is its rows shuffled by
+    many words the schedule's blocks take from the row, repeats counted, and slots has, for
+    each pass over its source that takes any, the first slot that does. A source's stream is its rows shuffled by
     a hash of doc_id, repeated up to `most` times; its slots' blocks cover the first `target`
     words of it, rounded. So no row is taken more than `most` times. Rows of equal doc_id
     stay rows of their own; null ids and a null source are values like others. Empty tables
@@ -125,10 +135,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     """
     sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sized")
     targets = materialise(source_targets(sized, weights, most), "targets")
-    slots = slot_schedule(targets, block)
+    slots = materialise(slot_schedule(targets, block), "schedule")
     named = targets.select(F.col("source").alias("_tsource"), "source_rank", "source_size", "target")
     rows = materialise(_streams(sized, named, buckets).select("doc_id", "source", "size", "source_size", "target", "source_rank", "_off"), "streams")
-    number = slots.groupBy("source_rank").agg(F.max("_n").alias("_n"), F.max("_words").alias("_words"))
+    number = materialise(slots.groupBy("source_rank").agg(F.max("_n").alias("_n"), F.max("_words").alias("_words")), "blocks")
     # A row's words on pass c are [first, last) of the stream; the blocks that they meet follow from block sizes alone.
     spans = (
         rows.where("size > 0")
@@ -140,47 +150,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
         .withColumn("_each", F.col("_words") / F.col("_n"))
         .withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("_first") / F.col("_each")) - 1), F.least(F.col("_n") - 1, F.floor((F.col("_last") - 1) / F.col("_each")) + 1))))
     )
-    met = spans.join(slots.select("source_rank", "k", "begin", "end"), ["source_rank", "k"]).withColumn("_got", F.least("_last", "end") - F.greatest("_first", "begin")).where("_got > 0")
-    got = met.groupBy("source_rank", "_off").agg(F.sum("_got").alias("taken"), F.count_distinct("_pass").alias("passes"))
-    held = rows.where("size > 0").join(got, ["source_rank", "_off"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("passes", F.lit(0)).cast("int").alias("passes"))
-    return held.union(rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long"), F.lit(0)))
-
-
-def _by_cut(docs: DataFrame, cuts: DataFrame) -> DataFrame:
-    """docs, a row for each pass, by each source's last row of its last pass in stream order."""
-    hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    # Words are counted only where hashes tie; elsewhere it is enough that there is one.
-    before = F.when(F.col("_h") == F.col("_ch"), n_words(F.col("text")) <= F.col("_csize")).otherwise(F.col("_h") < F.col("_ch"))
-    n = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.lit(0)).when(before, F.col("_most")).otherwise(F.col("_most") - 1)
-    # The cuts are a row for each source, joined by broadcast if their written size allows it.
-    met = hashed.join(cuts, F.col("source").eqNullSafe(F.col("_src"))).withColumn("_each", F.when(n > 0, F.sequence(F.lit(1), n)))
-    return met.withColumn("_pass", F.explode("_each")).select(*docs.columns)
-
-
-def _by_rows(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """docs, a row for each pass, by joining the schedule's rows one by one: rows alike in id, source and size are numbered."""
-    taken = taken.where("passes > 0").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy("passes")))
-    rows = docs.withColumn("_sz", n_words(F.col("text")))
-    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "source", "_sz").orderBy(F.xxhash64(*docs.columns))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_sz") == F.col("_size")) & (F.col("_n") == F.col("_nth"))
-    return rows.join(taken, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    met = spans.join(slots.select("source_rank", "k", "slot", "begin", "end"), ["source_rank", "k"]).withColumn("_got", F.least("_last", "end") - F.greatest("_first", "begin")).where("_got > 0")
+    by_pass = met.groupBy("source_rank", "_off", "_pass").agg(F.sum("_got").alias("_got"), F.min("slot").alias("_slot"))
+    got = by_pass.groupBy("source_rank", "_off").agg(F.sum("_got").alias("taken"), F.sort_array(F.collect_list("_slot")).alias("slots"))
+    none = F.array().cast("array<bigint>")
+    held = rows.where("size > 0").join(got, ["source_rank", "_off"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce("slots", none).alias("slots"))
+    return held.union(rows.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long"), none))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """The documents of the mix, with all their columns: a row once for each pass over its source that takes words of it.
-
-    Texts are not cut: the one row at which a source's target ends stands whole. Rows that
-    repeat a doc_id must have different texts or be alike in all columns.
+    """The documents of the mix in the order of the schedule, with all their columns.
 
-    Passes follow the stream's order, so a source's rows up to the last one of its last pass
-    have one pass more than those behind it: that row's hash and size decide, and texts are
-    not shuffled. Only where rows alike in both lie across such a cut are rows numbered and
-    joined with the schedule one by one.
+    A row stands once for each pass over its source that takes words of it, at the first slot
+    that does. Texts are not cut: the one row at which a source's target ends stands whole.
+    Rows alike in doc_id, source and size must have different texts or be alike in all
+    columns; then they are numbered. Names of columns don't matter.
     """
-    taken = mix(docs, weights, most).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "passes")
-    taken = materialise(taken.where("_size > 0").withColumn("_h", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))), "mix")
-    last = F.max(F.struct("passes", "_h", "_size")).alias("_last")
-    cuts = materialise(taken.groupBy("_src").agg(last).select("_src", F.col("_last.passes").alias("_most"), F.col("_last._h").alias("_ch"), F.col("_last._size").alias("_csize")), "cuts")
-    at = cuts.select(F.col("_src").alias("_cs"), "_most", "_ch", "_csize")
-    split = taken.join(at, F.col("_src").eqNullSafe(F.col("_cs")) & (F.col("_h") == F.col("_ch")) & (F.col("_size") == F.col("_csize"))).where("passes < _most")
-    return _by_cut(docs, cuts) if split.isEmpty() else _by_rows(docs, taken)
+    taken = mix(docs, weights, most).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "slots")
+    taken = materialise(taken, "mix")
+    names = docs.columns
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    i, t, w = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text", "source"))
+    rows = rows.withColumn("_words", n_words(t))
+    same = i.eqNullSafe(F.col("_id")) & w.eqNullSafe(F.col("_src")) & (F.col("_words") == F.col("_size"))
+    if not taken.groupBy("_id", "_src", "_size").count().where("count > 1").isEmpty():
+        taken = taken.withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy("slots")))
+        rows = rows.withColumn("_n", F.row_number().over(W.partitionBy(i, w, "_words").orderBy(F.xxhash64(*[f"c{k}" for k in range(len(names))]))))
+        same = same & (F.col("_n") == F.col("_nth"))
+    met = rows.join(taken.where(F.size("slots") > 0), same).withColumn("_slot", F.explode("slots"))
+    ordered = met.select("_slot", *[f"c{k}" for k in range(len(names))]).repartitionByRange("_slot").sortWithinPartitions("_slot")
+    return ordered.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

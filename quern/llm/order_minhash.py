@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .near import key_of, similar, with_leader
+from .near import BROADCAST_IDS, key_of, similar, with_leader
 from .shingles import U, labelled, mix, shingles, word_hashes
 
 #: With a share s of common shingles two texts agree in one of SKETCHES with 1 - (1 - s**LEAST)**SKETCHES: 0.9998 at 0.8.
@@ -96,6 +96,12 @@ def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """The documents, all columns, that stay: of each class the one of least doc_id."""
-    gone = materialise(near_classes(docs, k, least).where("not kept").select(F.col("doc_id").alias("node")).distinct(), "gone")
-    few = gone.count() <= 1 << 20
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("node"), "left_anti")
+    gone = near_classes(docs, k, least).where("not kept").select(F.col("doc_id").alias(_other_name(docs))).distinct()
+    gone = materialise(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+
+
+def _other_name(docs: DataFrame) -> str:
+    """A name that no column of docs has."""
+    return "x" + "_".join(docs.columns)

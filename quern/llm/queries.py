@@ -37,7 +37,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +98,27 @@ ORACLE: dict[str, str] = {
             SELECT l.source, l.rank, l.source_size, CASE WHEN f.rank IS NULL OR (l.ratio, l.rank) < (f.ratio, f.rank) THEN l.cap::DOUBLE ELSE f.level * l.w END AS target
             FROM levels l LEFT JOIN first_open f ON true
         ), streams AS (
-            SELECT s.doc_id, s.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+            SELECT s.doc_id, s.size, t.rank, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
                 CAST(coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY md5(coalesce(CAST(s.doc_id AS VARCHAR), '')), s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
             FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+        ), shares AS (
+            SELECT *, coalesce(lag(hi) OVER (ORDER BY rank), 0.0::DOUBLE) AS lo
+            FROM (SELECT *, CAST(round(target) AS BIGINT) AS words, sum(target) OVER () AS total, sum(target) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS hi FROM targets)
+        ), points AS (
+            SELECT i, x - floor(x) AS x FROM (SELECT range AS i, (range % 1048576) * 0.6180339887498949::DOUBLE + (range // 1048576 % 1048576) * 0.607787409740351::DOUBLE + (range // 1099511627776) * 0.2909558982617013::DOUBLE AS x
+                FROM range((SELECT CAST(ceil(max(total) / 512) AS BIGINT) FROM shares)))
+        ), placed AS (
+            SELECT p.i AS slot, s.rank, s.words, row_number() OVER (PARTITION BY s.rank ORDER BY p.i) - 1 AS k, count(*) OVER (PARTITION BY s.rank) AS n FROM points p JOIN shares s ON p.x >= s.lo AND p.x < s.hi AND s.target > 0
+        ), schedule AS (
+            SELECT * FROM placed UNION ALL SELECT (SELECT count(*) FROM points) + rank, rank, words, 0, 1 FROM shares WHERE target > 0 AND rank NOT IN (SELECT rank FROM placed)
+        ), blocks AS (
+            SELECT rank, slot, CAST(floor(k * (words::DOUBLE / n) + 1e-6::DOUBLE) AS BIGINT) AS block_begin, CASE WHEN k + 1 = n THEN words ELSE CAST(floor((k + 1) * (words::DOUBLE / n) + 1e-6::DOUBLE) AS BIGINT) END AS block_end FROM schedule
+        ), spans AS (SELECT s.rank, s.off, s.off + c * s.source_size AS a, least(s.off + s.size + c * s.source_size, s.words) AS b FROM streams s, (VALUES (0), (1), (2)) AS v(c) WHERE s.size > 0),
+        met AS (
+            SELECT p.rank, p.off, CAST(sum(least(p.b, q.block_end) - greatest(p.a, q.block_begin)) AS BIGINT) AS taken, min(q.slot) AS first_slot
+            FROM spans p JOIN blocks q ON p.rank = q.rank AND p.a < q.block_end AND q.block_begin < p.b WHERE p.a < p.b GROUP BY p.rank, p.off
         )
-        SELECT doc_id, size, source_size, target, CAST(CASE WHEN size = 0 THEN 0 ELSE (SELECT sum(greatest(0, least(off + size, words - c * source_size) - off)) FROM (VALUES (0), (1), (2)) AS v(c)) END AS BIGINT) AS taken
-        FROM streams
+        SELECT s.doc_id, s.size, s.source_size, s.target, coalesce(m.taken, 0) AS taken, m.first_slot FROM streams s LEFT JOIN met m ON s.rank = m.rank AND s.off = m.off AND s.size > 0
     """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -47,7 +47,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
     revisit = refers_to is not None
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
     if url:
-        head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
+        head.append("WARC-Target-URI: " + escaped(url))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{sha}"]
     if revisit:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
@@ -55,6 +55,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refer
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
+def escaped(url: str) -> str:
+    """A URL without white space and control characters, which would end its line or field."""
+    return "".join(c if c > " " and not c.isspace() and c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url)
+
+
 class Package:
     """A ZIP package that is written front to back, so any output stream will do."""
 
@@ -71,7 +76,7 @@ class Package:
         c = zlib.compressobj(6, zlib.DEFLATED, 31)
         packed = c.compress(raw) + c.flush()
         self.data.write(packed)
-        self.lines.append(f"{url or '-'} {date} {json.dumps({'offset': self.at, 'length': len(packed)})}\n")
+        self.lines.append(f"{escaped(url) if url else '-'} {date} {json.dumps({'offset': self.at, 'length': len(packed)})}\n")
         self.at += len(packed)
 
     def close(self) -> tuple[str, int]:
@@ -229,7 +234,7 @@ def read_records(path: str) -> Iterator[tuple]:
         members = {m[0]: m for m in directory(r)}
         start, size = stored_at(r, members[DATA])
         index_at, index_size = stored_at(r, members[INDEX])
-        places = [(e["offset"], e["length"]) for line in r.read(index_at, index_size).splitlines() for e in [json.loads(line[line.index(b"{") :])]]
+        places = [(e["offset"], e["length"]) for line in r.read(index_at, index_size).split(b"\n") if line for e in [json.loads(line.split(b" ", 2)[2])]]
         k = 0
         while k < len(places):
             first, n = k, 0

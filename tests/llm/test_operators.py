@@ -507,11 +507,54 @@ def test_held_out_and_repeated_labels_do_not_move_the_curve(spark):
     assert toxicity.learn(docs, other).curve == pytest.approx(toxicity.learn(docs, labels).curve)
 
 
-def test_ids_beyond_the_packed_bounds_are_refused(spark, monkeypatch):
-    line = prose(3, 30)
-    with pytest.raises(ValueError, match="must lie within"):
-        bwt_dedup.without_repeats(documents(spark, [(1 << 41, line, "s"), (None, line, "s")]))
-    assert bwt_dedup.without_repeats(documents(spark, [((1 << 41) - 1, line, "s"), (None, line, "s")])).count() == 2
-    monkeypatch.setattr(bwt_dedup, "REPEATS", 2)
-    with pytest.raises(ValueError, match="must lie within"):
-        bwt_dedup.without_repeats(documents(spark, [(1, line, "s")] * 3))
+def test_ids_of_any_size(spark):
+    """Ids at both ends of 64 bits, repeated and null ones: null counts as last."""
+    line, lo, hi = prose(3, 30), -(1 << 63), (1 << 63) - 1
+    docs = documents(spark, [(hi, line, "s"), (lo, line, "s"), (None, line, "s"), (5, "other " + line, "s"), (5, "other " + line, "s"), (1 << 42, prose(8, 40), "s")])
+    got = {(r.doc_id, r.n_removed > 0) for r in bwt_dedup.without_repeats(docs).collect()}
+    assert got == {(lo, False), (hi, True), (None, True), (5, True), (1 << 42, False)}
+    gone = {(r.doc_id, r.kept_doc_id) for r in paragraphs.removals(docs).collect()}
+    assert gone == {(hi, lo), (5, lo)}
+    rows = sorted((r.doc_id if r.doc_id is not None else lo, r.n_chars) for r in fingerprints.with_edits(docs).collect())
+    assert len(rows) == 6
+    kept = {(r.doc_id, r.class_id, r.kept) for r in order_minhash.near_classes(docs).collect()}
+    assert kept == {(lo, lo, True), (hi, lo, False), (5, lo, False), (None, None, True), (1 << 42, 1 << 42, True)}
+
+
+def test_buckets_of_ids_are_even(spark):
+    docs = documents(spark, [(i, "t", "s") for i in range(200)] + [(1 << 62, "t", "s")])
+    keyed, _ = fingerprints._bucketed(docs, 8)
+    assert max(r["count"] for r in keyed.groupBy("_b").count().collect()) <= 30
+
+
+def test_private_names_of_columns(spark):
+    names = ["_h", "_d", "_s", "_text", "_keep", "_n", "_id", "_src", "_size", "slots", "node", "root", "gone", "version", "_gone", "c0", "key", "nope"]
+    docs = documents(spark, [(1, prose(1, 30), "a"), (2, prose(1, 30), "a"), (3, None, None)])
+    docs = docs.select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    kept = ["doc_id", "text", "source", *names]
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"))
+    for got, n in ((exact_dedup.with_groups(docs), 3), (exact_dedup.exact_dedup(docs), 2), (mixing.mixed_documents(docs), None), (order_minhash.one_of_each(docs), 2), (paragraphs.without_repeats(docs), 3), (toxicity.without_toxic(docs, labels), 3)):
+        rows = got.select(kept).collect()
+        assert (n is None or len(rows) == n) and all(r[c] == c for r in rows for c in names)
+
+
+def test_urls_that_would_break_an_index(spark):
+    urls = ["http://a/{x}", "http://a/b\nc", "http://a/\r\n\x0b\x1c\x85\u2028 {\"offset\": 0}", "http://ü/漢 字", "", None]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}" * 50) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    packages = warc_zip.write_packages(pages, common.scratch_path(spark, "t"))
+    got = {r.page_id: r for r in warc_zip.read_packages(packages, payloads=True).collect()}
+    assert {i: bytes(r.payload) for i, r in got.items()} == {i: (f"<p>{i}" * 50).encode() for i in range(len(urls))}
+    assert got[0].url == "http://a/{x}" and got[1].url == "http://a/b%0Ac"
+
+
+def test_mix_comes_in_the_order_of_its_slots(spark):
+    docs = documents(spark, [(i, f"w{i} " * (1 + i % 40), f"s{i % 5}") for i in range(300)])
+    rows = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    got = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    want = sorted((slot, i) for i, r in rows.items() for slot in r.slots)
+    assert sorted(got) == sorted(i for _, i in want)
+    at = {s: {i for x, i in want if x == s} for s, _ in want}
+    for slot in sorted(at):
+        n = len([1 for x, _ in want if x == slot])
+        assert set(got[:n]) == at[slot]
+        got = got[n:]
