@@ -47,13 +47,33 @@ def usage_cost(prompt: Column, completion: Column, cached: Column, written: Colu
     return F.coalesce(F.round(cost, 6), F.lit(0.0))
 
 
+def casefold(c: Column) -> Column:
+    """Lower case for comparison: sharp s as two letters, final sigma as any other."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
 def order_key(value: Column) -> Column:
-    """struct(kind, number, text): numbers sort as numbers, other values as folded text; kind is error for NaN and infinities."""
+    """struct(kind, number, text): numbers sort as numbers, other values as folded text; kind is error for NaN and infinities.
+
+    number is (sign, magnitude, digits): where the first digit stands, then the digits from
+    there as text, so numbers of any length compare exactly. Below zero both are turned round.
+    """
     plain = collapse(value)
-    not_finite = plain.rlike(r"(?i)^[+-]?(nan\d*|snan\d*|inf|infinity)$")
-    parsed = plain.try_cast("decimal(38,18)")
-    kind = F.when(not_finite, "error").when(parsed.isNotNull(), "number").otherwise("text")
-    return F.struct(kind.alias("kind"), parsed.alias("number"), F.lower(value).alias("text"))
+    not_finite = plain.rlike(r"(?i)^[+-]?(s?nan\d*|inf|infinity)$")
+    is_number = plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+    mantissa = F.regexp_extract(plain, r"^[+-]?([0-9.]+)", 1)
+    power = F.coalesce(F.regexp_extract(plain, r"[eE]([+-]?[0-9]+)$", 1).try_cast("long"), F.lit(0).cast("long"))
+    whole = F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(1)), "^0+", "")
+    fraction = F.split_part(mantissa, F.lit("."), F.lit(2))
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+|0+$", "")
+    place = F.when(whole != "", F.length(whole)).otherwise(F.length(F.regexp_replace(fraction, "^0+", "")) - F.length(fraction)) + power
+    negative = F.startswith(plain, F.lit("-"))
+    sign = F.when(digits == "", 0).when(negative, -1).otherwise(1)
+    # A shorter run of digits is the lesser number, but the greater one below zero: "~" sorts after all digits.
+    shown = F.when(sign < 0, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit("~"))).otherwise(digits)
+    number = F.struct(sign.alias("sign"), (sign * place).alias("magnitude"), shown.alias("digits"))
+    kind = F.when(not_finite, "error").when(is_number, "number").otherwise("text")
+    return F.struct(kind.alias("kind"), F.when(is_number, number).alias("number"), casefold(value).alias("text"))
 
 
 def price_per_million(value: Column) -> Column:
@@ -80,8 +100,20 @@ def utc_text(ts: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """A number as canonical JSON has it: integral values without a fraction."""
-    return F.when((value == F.floor(value)) & (F.abs(value) < 1e18), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    """A number as canonical JSON has it: integral values without a fraction, others by their shortest digits.
+
+    The exponent of Java's own form is undone from 0.0001 to below 10**16 and has two digits
+    elsewhere.
+    """
+    java = F.abs(value).cast("string")
+    power = F.split_part(java, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(F.replace(F.split_part(java, F.lit("E"), F.lit(1)), F.lit("."), F.lit("")), "0+$", "")
+    first, rest = F.substring(digits, 1, 1), F.substr(digits, F.lit(2))
+    scientific = F.concat(first, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    moved = F.when(power == -4, F.concat(F.lit("0.000"), digits)).when((power >= 7) & (power < 16), F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(scientific)
+    text = F.concat(F.when(value < 0, "-").otherwise(""), F.when(power.isNull(), java).otherwise(moved))
+    integral = (value == F.floor(value)) & (F.abs(value) < 1e21)
+    return F.when(integral, F.floor(value.cast("decimal(38,0)")).cast("string")).otherwise(text)
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:
@@ -93,9 +125,11 @@ def canonical_json(fields: dict[str, Column]) -> Column:
 def json_text(value: Column) -> Column:
     """A string as a JSON string; null stays null."""
     escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, code in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
-        escaped = F.replace(escaped, F.lit(raw), F.lit("\\" + code))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))
+    short = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}
+    plain = escaped
+    for i in range(32):
+        escaped = F.replace(escaped, F.lit(chr(i)), F.lit("\\" + short.get(chr(i), f"u{i:04x}")))
+    return F.concat(F.lit('"'), F.when(value.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
 
 
 def thousands(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,21 +135,33 @@ def without_angles(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """Theme id of a name: Turkish letters to ASCII, other marks dropped, runs of the rest as dashes.
 
-    Decomposition has no native form, so the marked Latin letters, a bounded set made from
-    the Unicode tables, are translated; what is not ASCII then is dropped.
+    Decomposition has no native form. Characters that decompose to one ASCII letter, by the
+    Unicode tables, are translated; those that decompose to several are looked up one by one, in
+    the few texts that have any; what is not ASCII then is dropped.
     """
-    import unicodedata
-
-    marked = {chr(i): unicodedata.normalize("NFKD", chr(i)) for i in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]}
-    single = {a: "".join(x for x in b if x < "\x80") for a, b in marked.items()}
-    one = {a: b for a, b in single.items() if len(b) == 1}
+    one, several = _decomposed()
     lowered = F.translate(turkish_lower(c), LETTERS, ASCII_LETTERS)
     plain = F.translate(lowered, "".join(one), "".join(one.values()))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    plain = F.when(plain.rlike("[" + "".join(several) + "]"), spelled).otherwise(plain)
     plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
     dashed = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.concat(F.lit("t-"), F.when(dashed == "", F.lit("diger")).otherwise(dashed))
 
 
+@cache
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters of the basic plane whose compatibility decomposition has ASCII in it: by one character, and by several."""
+    import unicodedata
+
+    found = {}
+    for i in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]:
+        if ascii_part := "".join(x for x in unicodedata.normalize("NFKD", chr(i)) if x < "\x80"):
+            found[chr(i)] = ascii_part
+    return {a: b for a, b in found.items() if len(b) == 1}, {a: b for a, b in found.items() if len(b) > 1}
+
+
 def formula_guard(c: Column) -> Column:
     """Text that a spreadsheet would run as a formula, prefixed by an apostrophe."""
     return F.when(c.rlike(r"^[ \t\r\n]*[=+\-@]"), F.concat(F.lit("'"), c)).otherwise(c)

@@ -118,8 +118,8 @@ def report(summary: DataFrame, top: DataFrame, theme: DataFrame, text: DataFrame
     )
 
 
-def report_violations(reports: DataFrame) -> DataFrame:
-    """(rule) of each invariant that a report breaks."""
+def report_violations(reports: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule) of each invariant that a report breaks."""
     s, a = F.col("preprocessing_summary"), F.col("preprocessing_summary.analyzed_count")
     ids = lambda c, k: F.transform(c, lambda e: e[k])
     q, t = ids("top_questions", "question_id"), ids("themes", "theme_id")
@@ -132,7 +132,8 @@ def report_violations(reports: DataFrame) -> DataFrame:
         "theme ids": F.size(F.array_distinct(t)) != F.size(t),
         "question shares": wrong("top_questions"),
         "theme shares": wrong("themes"),
+        "theme total": F.aggregate("themes", F.lit(0).cast("long"), lambda n, e: n + e["count"]) > a,
         "related": F.exists("themes", lambda e: (F.size(F.array_except(e["related"], q)) > 0) | (F.size(F.array_distinct(e["related"])) != F.size(e["related"]))),
     }
     hits = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()]))
-    return reports.select(F.explode(hits).alias("rule"))
+    return reports.select(*keys, F.explode(hits).alias("rule"))

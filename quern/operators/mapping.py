@@ -43,14 +43,22 @@ def repaired(mapped: DataFrame, categories: DataFrame, groups: DataFrame) -> tup
     """assign (record_id, category) for every record exactly once, and warnings (code, n).
 
     Known mentions of cataloged categories count, the first of each record; the rest of the
-    records go to the fallback category.
+    records go to the fallback category. Of the other mentions those of unknown records count
+    as hallucinated, those after a record's assignment as duplicates, and those before it, or
+    without one, as hallucinated too: their category isn't in the catalog.
     """
-    known = mapped.join(groups.select("record_id"), "record_id", "left_semi").join(categories.select("category"), "category", "left_semi")
-    first = first_assignments(known).select("record_id", "category")
+    told = mapped.join(groups.select("record_id", F.lit(True).alias("_known")), "record_id", "left").join(categories.select("category", F.lit(True).alias("_listed")).distinct(), "category", "left")
+    at = F.struct("chunk", "pos")
+    good = told.where("_known and _listed")
+    first = first_assignments(good).select("record_id", "category")
     rest = unassigned(groups, first).select("record_id", F.lit(FALLBACK).alias("category"))
+    since = good.groupBy("record_id").agg(F.min(at).alias("_first"))
+    late = told.where("_known").join(since, "record_id", "left").withColumn("_late", F.coalesce(at > F.col("_first"), F.lit(False)))
+    lost = late.where("not _late and _listed is null").agg(F.count("*").alias("n"))
+    unknown = told.where("_known is null").agg(F.count("*").alias("n"))
     counts = {
-        "LLM_HALLUCINATED_IDS": unknown_ids(mapped, groups).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
-        "LLM_DUPLICATE_ASSIGNMENTS": duplicate_assignments(known).agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("n")),
+        "LLM_HALLUCINATED_IDS": unknown.union(lost).agg(F.sum("n").alias("n")),
+        "LLM_DUPLICATE_ASSIGNMENTS": late.where("_late").agg(F.count("*").alias("n")),
         "LLM_UNASSIGNED_RECORDS": rest.agg(F.count("*").alias("n")),
     }
     warnings = None

@@ -395,8 +395,11 @@ def repaired_assignments(spark, d):
 
 
 @query(
-    f"""{_FIRST} SELECT code, CAST(n AS BIGINT) AS n FROM (SELECT 'LLM_HALLUCINATED_IDS' AS code, (SELECT count(*) FROM mapped WHERE record_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents)) AS n
-    UNION ALL SELECT 'LLM_DUPLICATE_ASSIGNMENTS', (SELECT count(*) FROM one WHERE k > 1) UNION ALL SELECT 'LLM_UNASSIGNED_RECORDS', (SELECT count(*) FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT record_id FROM one))) WHERE n > 0"""
+    f"""{_FIRST}, t AS (SELECT m.*, m.record_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AS known, m.category IN ('c0', 'c1', 'c2', 'c3') AS listed, o.chunk AS c1, o.pos AS p1
+        FROM mapped m LEFT JOIN (SELECT * FROM one WHERE k = 1) o ON m.record_id = o.record_id)
+    SELECT code, CAST(n AS BIGINT) AS n FROM (SELECT 'LLM_HALLUCINATED_IDS' AS code, (SELECT count(*) FROM t WHERE NOT known OR (NOT listed AND (c1 IS NULL OR (chunk, pos) <= (c1, p1)))) AS n
+    UNION ALL SELECT 'LLM_DUPLICATE_ASSIGNMENTS', (SELECT count(*) FROM t WHERE known AND c1 IS NOT NULL AND (chunk, pos) > (c1, p1))
+    UNION ALL SELECT 'LLM_UNASSIGNED_RECORDS', (SELECT count(*) FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT record_id FROM one))) WHERE n > 0"""
 )
 def mapping_warnings(spark, d):
     return M.repaired(*_mapping(spark, d))[1]
@@ -556,11 +559,23 @@ def stream_dedupe(spark, d):
     return ST.dedupe_counts(spark, f"{d}/events.parquet", "event_id", "event_type")
 
 
-@query(f"{_CTX} SELECT row_ix, CAST(coalesce(len(ctx), 0) AS INTEGER) AS turns FROM n WHERE role = 'user' AND status = 'analyzed'")
+@query(f"{_CTX} SELECT row_ix, CAST(coalesce(len(ctx), 0) AS INTEGER) AS turns, id AS record_id FROM n WHERE role = 'user' AND status = 'analyzed'")
 def stream_context(spark, d):
-    return ST.context_turns(spark, f"{d}/conversations.parquet")
+    return ST.contextual_ids(spark, f"{d}/conversations.parquet").select("row_ix", F.size("context").alias("turns"), "record_id")
 
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_first_events(spark, d):
+    return ST.first_events(spark, f"{d}/events.parquet")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    c AS (SELECT user_id, event_id, ts, event_type, i FROM e WHERE i = 1 UNION ALL
+        SELECT n.user_id, n.event_id, n.ts, n.event_type, n.i FROM c, LATERAL (SELECT * FROM e WHERE e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 24 HOURS ORDER BY i LIMIT 1) n)
+    SELECT e.event_id, c.event_id AS claim_id, CASE WHEN e.event_id = c.event_id THEN 'claimed' WHEN e.event_type = c.event_type THEN 'replay' ELSE 'conflict' END AS outcome
+    FROM e ASOF JOIN c ON e.user_id = c.user_id AND e.i >= c.i"""
+)
 def stream_idempotency(spark, d):
-    return ST.first_claims(spark, f"{d}/events.parquet")
+    events = ST.read_table(spark, f"{d}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("fingerprint"), "ts")
+    return ST.run_to_end(ST.claims(events), "append")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from ..functions import text as T
+from ..functions.scalars import order_key
 from ..operators import preprocess as P
 from ..operators.filters import Conversation, conversation_rows
 
@@ -64,45 +67,86 @@ def dedupe_counts(spark: SparkSession, path: str, row_ix: str, value: str) -> Da
     return run_to_end(dedupe_stream(rows), "update", ("record_id",))
 
 
-def context_stream(rows: DataFrame, c: Conversation) -> DataFrame:
-    """(row_ix, turns) of targets in a stream of conversation rows with status, fit and target.
+def context_stream(rows: DataFrame, c: Conversation, on_disorder: str = "raise") -> DataFrame:
+    """(row_ix, context, late) of the rows of conversations: the turns before each, up to the bound.
 
-    State of a session: how many turns it has, up to the bound, and its last row. Rows of a
-    batch are taken in order; a row that comes after a later one finds the state as it is, as
-    failing a stream would not help.
+    rows: (session_id, row_ix, who, text, fit, message_order's key as kind, number and folded). State
+    of a session, as JSON: its last turns, and the key of the order of its last row. Rows of
+    a micro-batch are taken by row_ix. A row whose order goes back, is of another kind or
+    isn't finite fails the stream with ConversationOrderError; with on_disorder="mark" it
+    comes out as late, and changes no state.
     """
     most = c.max_turns
 
     def over(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        turns = state.get[0] if state.exists else 0
+        turns, last = json.loads(state.get[0]) if state.exists else ([], None)
         pdf = pd.concat(list(frames)).sort_values("row_ix")
         out = []
-        for ix, target in zip(pdf["row_ix"], pdf["target"]):
-            if target:
-                out.append((ix, turns))
-            turns = min(most, turns + 1)
-        state.update((turns,))
-        yield pd.DataFrame(out, columns=["row_ix", "turns"]).astype({"row_ix": "int64", "turns": "int32"})
-
-    return rows.groupBy("session_id").applyInPandasWithState(over, "row_ix long, turns int", "turns int", "append", "NoTimeout")
+        for ix, who, text, fit, kind, sign, magnitude, digits, folded in pdf[["row_ix", "who", "text", "fit", "kind", "sign", "magnitude", "digits", "folded"]].itertuples(index=False):
+            now = [kind, [int(sign), int(magnitude), digits] if kind == "number" else folded]
+            late = kind == "error" or (last is not None and (last[0] != kind or now[1] < last[1]))
+            if late and on_disorder == "raise":
+                raise P.ConversationOrderError(int(ix))
+            if late:
+                out.append((ix, [], True))
+                continue
+            last = now
+            if fit:
+                out.append((ix, [{"role": r, "text": t} for r, t in turns], False))
+                turns = [*turns, [who, text]][-most:]
+        state.update((json.dumps([turns, last]),))
+        yield pd.DataFrame({"row_ix": pd.Series([r[0] for r in out], dtype="int64"), "context": pd.Series([r[1] for r in out], dtype=object), "late": pd.Series([r[2] for r in out], dtype=bool)})
+
+    return rows.groupBy("session_id").applyInPandasWithState(over, "row_ix long, context array<struct<role:string,text:string>>, late boolean", "state string", "append", "NoTimeout")
+
+
+def ordered_turns(rows: DataFrame, c: Conversation) -> DataFrame:
+    """What context_stream takes, from conversation rows."""
+    rows = P.eligible(rows, c).where("takes_part").withColumn("k", order_key(F.col("message_order")))
+    x = P.message_status(F.col("text"))
+    rows = rows.withColumn("masked", x["masked"]).withColumn("status", x["status"])
+    number = [F.coalesce(f"k.number.{n}", F.lit(0)).cast("long").alias(n) for n in ("sign", "magnitude")]
+    return rows.select("session_id", F.col("source_row").alias("row_ix"), "who", F.col("masked").alias("text"), F.col("status").isin("analyzed", "courtesy").alias("fit"), "k.kind", *number, F.coalesce("k.number.digits", F.lit("")).alias("digits"), F.col("k.text").alias("folded"))
 
 
-def context_turns(spark: SparkSession, path: str) -> DataFrame:
+def contextual_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(row_ix, context, record_id) of the targets of a conversation table, its contexts kept by a stream."""
     c = Conversation("conv_id", "turn", "role", "kind")
-    raw = read_table(spark, path).withColumn("kind", F.lit("text"))
-    rows = P.eligible(conversation_rows(raw, F.col("conv_id") * 1000 + F.col("turn"), "text", c), c).where("takes_part")
+    named = lambda df: conversation_rows(df.withColumn("kind", F.lit("text")), F.col("conv_id") * 1000 + F.col("turn"), "text", c)
+    seen = run_to_end(context_stream(ordered_turns(named(read_table(spark, path)), c), c), "append").where("not late")
     x = P.message_status(F.col("text"))
-    fit = rows.withColumn("status", x["status"]).where(F.col("status").isin("analyzed", "courtesy"))
-    fit = fit.select("session_id", F.col("source_row").alias("row_ix"), ((F.col("who") == "user") & (F.col("status") == "analyzed")).alias("target"))
-    return run_to_end(context_stream(fit, c), "append")
+    targets = P.eligible(named(spark.read.parquet(path)), c).where("takes_part and who = 'user'").withColumn("key", x["key"]).withColumn("status", x["status"]).where("status = 'analyzed'")
+    met = targets.select(F.col("source_row").alias("row_ix"), "key").join(seen, "row_ix").withColumn("context", P.bounded(F.col("context"), c.max_tokens))
+    return met.select("row_ix", "context", T.contextual_id(F.col("key"), F.col("context")).alias("record_id"))
+
+
+def claims(events: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+    """(event_id, claim_id, outcome) of a stream of (event_id, key, fingerprint, ts).
 
+    The first event of a key claims it for the time to live; later ones within it are replays
+    if their fingerprint is the claim's, else conflicts. Neither lengthens the claim: it ends
+    ttl_seconds after the claiming event, and the next event claims anew. Events of a
+    micro-batch are taken by (ts, event_id).
+    """
+
+    def over(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        claim, until, fingerprint = state.get if state.exists else (None, None, None)
+        pdf = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        out = []
+        for event, us, told in pdf[["event_id", "us", "fingerprint"]].itertuples(index=False):
+            if claim is None or us >= until:
+                claim, until, fingerprint = int(event), int(us) + ttl_seconds * 1_000_000, told
+                out.append((event, claim, "claimed"))
+            else:
+                out.append((event, claim, "replay" if told == fingerprint else "conflict"))
+        state.update((claim, until, fingerprint))
+        yield pd.DataFrame(out, columns=["event_id", "claim_id", "outcome"])
 
-def claims(events: DataFrame, key: str, ts: str, ttl: str = "24 hours") -> DataFrame:
-    """The first event of each key within the time to live; replays don't lengthen it."""
-    return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    timed = events.select("event_id", "key", "fingerprint", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return timed.groupBy("key").applyInPandasWithState(over, "event_id long, claim_id long, outcome string", "claim long, until long, fingerprint string", "append", "NoTimeout")
 
 
-def first_claims(spark: SparkSession, path: str) -> DataFrame:
+def first_events(spark: SparkSession, path: str) -> DataFrame:
     """(user_id, event_id): of each user the first event, from running minima."""
     s = read_table(spark, path).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
     return run_to_end(s, "update", ("user_id",))
