@@ -112,8 +112,8 @@ def number_text(value: Column) -> Column:
     scientific = F.concat(first, F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
     moved = F.when(power == -4, F.concat(F.lit("0.000"), digits)).when((power >= 7) & (power < 16), F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2))).otherwise(scientific)
     text = F.concat(F.when(value < 0, "-").otherwise(""), F.when(power.isNull(), java).otherwise(moved))
-    integral = (value == F.floor(value)) & (F.abs(value) < 1e21)
-    return F.when(integral, F.floor(value.cast("decimal(38,0)")).cast("string")).otherwise(text)
+    integral = (value % 1 == 0) & (F.abs(value) < 1e21)
+    return F.when(integral, value.cast("decimal(38,0)").cast("string")).otherwise(text)
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

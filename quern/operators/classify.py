@@ -44,9 +44,15 @@ class Deterministic:
 
     def questions(self, groups: DataFrame) -> DataFrame:
         buckets = signature_buckets(groups)
-        # Numbers run over all questions: a row for each signature goes through one task.
-        order = W.orderBy((F.size("signature") == 0), F.desc("count"), "signature")
-        numbered = buckets.withColumn("position", F.row_number().over(order))
+        # Numbers run over all questions, by falling count. How many have each count is a small
+        # table, one task's; within a count signatures are numbered in tasks of their own.
+        last = F.size("signature") == 0
+        by_count = buckets.groupBy("count", last.alias("last")).agg(F.count("*").alias("n"))
+        before = W.orderBy("last", F.desc("count")).rowsBetween(W.unboundedPreceding, -1)
+        offsets = by_count.select("count", "last", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        within = W.partitionBy("count", "last").orderBy("signature")
+        numbered = buckets.withColumn("last", last).withColumn("k", F.row_number().over(within)).join(offsets, ["count", "last"])
+        numbered = numbered.withColumn("position", (F.col("offset") + F.col("k")).cast("int")).drop("last", "k", "offset")
         words = numbered.select("position", F.explode("signature").alias("token")).join(token_corpus(groups), "token")
         theme = words.groupBy("position").agg(F.max_by("token", F.struct("freq", "token")).alias("token"))
         none = F.size("signature") == 0
