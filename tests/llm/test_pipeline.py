@@ -25,7 +25,7 @@ def test_stages_take_effect(spark):
     assert {r.doc_id for r in near.collect()} == {r.class_id for r in order_minhash.near_classes(single).collect()}
     mixed = P.STAGES[3][1](spark, near, SF)
     assert mixed.columns == docs.columns
-    passes = {r.doc_id: r.passes for r in mixing.mix(near).collect() if r.passes}
+    passes = {r.doc_id: len(r.slots) for r in mixing.mix(near).collect() if r.slots}
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == passes
     last = P.STAGES[4][1](spark, mixed, SF)
