@@ -10,7 +10,17 @@ from ..functions.scalars import percentage, thousands
 from .preprocess import EXAMPLES
 
 #: Fixed value: the closed set of warnings.
-WARNINGS = ("LLM_HALLUCINATED_IDS", "LLM_DUPLICATE_ASSIGNMENTS", "LLM_UNASSIGNED_RECORDS", "LLM_REDUCE_PARTIAL_COVERAGE")
+WARNINGS = (
+    "ROW_LIMIT_TRUNCATED",
+    "CHUNK_PARTIAL_FAILURE",
+    "LOW_CONFIDENCE_THEMES",
+    "PII_REDACTION_INCOMPLETE",
+    "COST_LIMIT_APPROACHED",
+    "LLM_UNKNOWN_RECORD_ID",
+    "LLM_DUPLICATE_ASSIGNMENT",
+    "LLM_UNASSIGNED_RECORDS",
+    "LLM_REDUCE_PARTIAL_COVERAGE",
+)
 NOTHING = "Analiz edilebilecek kayıt bulunamadı."
 
 

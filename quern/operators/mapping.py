@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .cost import chunks
+from .tables import written
 
 FALLBACK = "unassigned"
+PARTIAL = "LLM_REDUCE_PARTIAL_COVERAGE"
 
 
 def first_assignments(mapped: DataFrame) -> DataFrame:
@@ -57,8 +59,8 @@ def repaired(mapped: DataFrame, categories: DataFrame, groups: DataFrame) -> tup
     lost = late.where("not _late and _listed is null").agg(F.count("*").alias("n"))
     unknown = told.where("_known is null").agg(F.count("*").alias("n"))
     counts = {
-        "LLM_HALLUCINATED_IDS": unknown.union(lost).agg(F.sum("n").alias("n")),
-        "LLM_DUPLICATE_ASSIGNMENTS": late.where("_late").agg(F.count("*").alias("n")),
+        "LLM_UNKNOWN_RECORD_ID": unknown.union(lost).agg(F.sum("n").alias("n")),
+        "LLM_DUPLICATE_ASSIGNMENT": late.where("_late").agg(F.count("*").alias("n")),
         "LLM_UNASSIGNED_RECORDS": rest.agg(F.count("*").alias("n")),
     }
     warnings = None
@@ -87,11 +89,15 @@ class ModelClassifier:
     the second gets [(position, question, theme)] and gives groups of positions. Results of
     a chunk carry (chunk, position), so first mentions don't depend on arrival. Tasks may run
     twice; switch speculation off where calls cost money.
+
+    Answers and the catalog of each round of merging are written to tables, so that no call is
+    made again for a lost executor. warnings (code, n) is set by classify.
     """
 
     def __init__(self, identifier: str, call_map: Callable, call_reduce: Callable | None = None, max_records: int = 120, max_tokens: int = 12_000, reduce_tokens: int = 12_000) -> None:
         self.identifier, self.call_map, self.call_reduce = identifier, call_map, call_reduce
         self.max_records, self.max_tokens, self.reduce_tokens = max_records, max_tokens, reduce_tokens
+        self.warnings: DataFrame | None = None
 
     def mapped(self, groups: DataFrame) -> DataFrame:
         """(record_id, chunk, pos, category, question, theme) as the model gave them."""
@@ -107,11 +113,13 @@ class ModelClassifier:
         return chunks(rendered, self.max_records, self.max_tokens).groupBy("chunk").applyInPandas(over, "record_id string, chunk long, pos long, category string, question string, theme string")
 
     def classify(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        mapped = self.mapped(groups).cache()
+        mapped = written(self.mapped(groups), "mapped")
         catalog = mapped.groupBy("category").agg(F.first("question").alias("question"), F.first("theme").alias("theme"))
-        assign, _ = repaired(mapped, catalog, groups)
+        assign, self.warnings = repaired(mapped, catalog, groups)
         named = catalog.unionByName(catalog.sparkSession.createDataFrame([(FALLBACK, "Sınıflandırılamayan kısa mesajlar", "Diğer")], "category string, question string, theme string"))
-        named = self.reduced(named)
+        named, partial = self.reduced(named)
+        if partial:
+            self.warnings = self.warnings.unionByName(named.sparkSession.createDataFrame([(PARTIAL, 1)], "code string, n long"))
         counted = assign.join(groups.select("record_id", "count"), "record_id").join(named, "category")
         sums = counted.groupBy("target").agg(F.sum("count").alias("n"), F.max_by("question", F.struct("count", "question")).alias("question"), F.max_by("theme", F.struct("count", "theme")).alias("theme"))
         q = sums.withColumn("position", F.row_number().over(W.orderBy(F.desc("n"), "target"))).withColumn("question_id", F.concat(F.lit("q"), F.col("position").cast("string")))
@@ -119,23 +127,25 @@ class ModelClassifier:
         out = assign.join(named.select("category", "target"), "category").join(q.select("target", "question_id"), "target").select("record_id", "question_id")
         return out, q.select("question_id", "canonical_question", "theme_id", "position"), q.groupBy("theme_id").agg(F.min_by("theme", "position").alias("name"))
 
-    def reduced(self, catalog: DataFrame) -> DataFrame:
+    def reduced(self, catalog: DataFrame) -> tuple[DataFrame, bool]:
         """catalog with target: categories merged round by round until one batch is left or none shrinks.
 
         The catalog is bounded by categories, not records; a round's batches are called in
-        parallel, and what a batch leaves out stays as it is.
+        parallel, what a batch leaves out stays as it is, and a category that fills a batch
+        alone is passed on without a call. The flag says that merging ended with several
+        batches, so that like categories of different batches stayed apart.
         """
         now = catalog.withColumn("target", F.col("category"))
         if self.call_reduce is None:
-            return now
+            return now, False
         call = self.call_reduce
         before = None
         while True:
             heads = now.groupBy("target").agg(F.min("question").alias("question"), F.min("theme").alias("theme"))
-            cats = heads.withColumn("position", F.row_number().over(W.orderBy("target"))).cache()
+            cats = written(heads.withColumn("position", F.row_number().over(W.orderBy("target"))), "categories")
             n = cats.count()
             if n < 2 or n == before:
-                return now
+                return now, n > 1
             before = n
             sized = cats.withColumn("tokens", F.greatest(F.lit(1), F.floor((F.length("question") + F.length("theme")) / 3) + 12))
             batch = chunks(sized.select(F.col("position"), "tokens"), 1 << 30, self.reduce_tokens, presized=True)
@@ -143,15 +153,15 @@ class ModelClassifier:
 
             def over(key, pdf: pd.DataFrame) -> pd.DataFrame:
                 pdf = pdf.sort_values("position")
-                got = call(list(zip(pdf["position"].tolist(), pdf["question"], pdf["theme"])))
+                got = call(list(zip(pdf["position"].tolist(), pdf["question"], pdf["theme"]))) if len(pdf) > 1 else []
                 return pd.DataFrame([(p, int(key[0]) * 100_000 + g, i) for g, members in enumerate(got) for i, p in enumerate(members)], columns=["position", "group", "pos"])
 
             merges = rows.groupBy("chunk").applyInPandas(over, "position long, group long, pos long")
             target = merged_categories(cats, merges).join(cats.select("position", F.col("target").alias("old")), "position")
             renamed = target.select(F.col("old").alias("target"), F.col("target").alias("new"))
-            now = now.join(renamed, "target").drop("target").withColumnRenamed("new", "target").cache()
+            now = written(now.join(renamed, "target").drop("target").withColumnRenamed("new", "target"), "merged")
             if batch.select("chunk").distinct().count() == 1:
-                return now
+                return now, False
 
 
 def fake_model(theme_words: dict[str, str]) -> tuple[Callable, Callable]:

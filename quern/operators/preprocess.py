@@ -135,8 +135,9 @@ def contextual_messages(rows: DataFrame, c: Conversation, least_length: int = LE
     """(row_ix, status, masked, key, redacted, record_id, context) of conversation rows.
 
     Targets are user messages of target types; status analyzed marks those that count, context
-    the other rows fit to be context. The window runs over fit rows alone, which loses no
-    target. With check, a session whose order goes back is an error.
+    the other rows fit to be context. Only rows that count have a context and an id. Rows pass
+    once: a session's window holds its fit rows, which loses no target, and each other row has
+    one of its own. With check, a session whose order goes back is an error.
     """
     if check and (bad := order_violations(rows, c).agg(F.min("source_row")).first()[0]) is not None:
         raise ConversationOrderError(bad)
@@ -147,9 +148,11 @@ def contextual_messages(rows: DataFrame, c: Conversation, least_length: int = LE
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)) & (F.col("_text") != "")).withColumn("target", F.coalesce(target, F.lit(False)))
     status = F.when(F.col("target") & F.col("fit") & ~T.is_courtesy(F.col("_text")), "analyzed").when(F.col("fit") & ~F.col("target"), "context").otherwise("discarded")
     rows = rows.withColumn("status", status)
-    before = W.partitionBy("session_id").orderBy("source_row").rowsBetween(-c.max_turns, -1)
+    rows = rows.select("source_row", "session_id", "who", "status", "masked", "key", "fit", (F.col("fit") & (F.col("masked") != F.col("_text"))).alias("redacted"))
+    own = F.when(~F.col("fit"), F.col("source_row"))
+    before = W.partitionBy(F.when(F.col("fit"), F.col("session_id")), own).orderBy("source_row").rowsBetween(-c.max_turns, -1)
     turn = F.struct(F.col("who").alias("role"), F.col("masked").alias("text"))
-    kept = rows.where("fit").withColumn("context", bounded(F.collect_list(turn).over(before), c.max_tokens))
-    kept = kept.select(F.col("source_row").alias("row_ix"), "status", "masked", "key", (F.col("masked") != F.col("_text")).alias("redacted"), T.contextual_id(F.col("key"), F.col("context")).alias("record_id"), "context")
-    rest = rows.where("not fit").select(F.col("source_row").alias("row_ix"), "status", "masked", "key", F.lit(False).alias("redacted"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("array<struct<role:string,text:string>>").alias("context"))
-    return kept.unionByName(rest)
+    counts = F.col("status") == "analyzed"
+    rows = rows.withColumn("_turns", F.collect_list(turn).over(before)).withColumn("context", F.when(counts, bounded(F.col("_turns"), c.max_tokens)))
+    record = F.when(counts, T.contextual_id(F.col("key"), F.col("context")))
+    return rows.select(F.col("source_row").alias("row_ix"), "status", "masked", "key", "redacted", record.alias("record_id"), "context")

@@ -11,6 +11,10 @@ from ..functions import text as T
 
 #: The distinct cap, samples a column, sample length, and a sheet's row limit flag.
 DISTINCT_CAP, SAMPLES, SAMPLE_LENGTH, ROW_LIMIT = 200_000, 3, 80, 100_000
+#: Values up to this length are their own grouping key.
+SHORT = 64
+#: The columns that a request's fields are looked for in.
+KNOWN = {"text": "message_text_clean", "session": "session_id", "order": "message_order", "role": "direction", "message_type": "message_type"}
 
 
 def _cells(df: DataFrame, row_ix: Column | None, columns: list[str]) -> DataFrame:
@@ -26,13 +30,16 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, exact_distin
     Counters are sums over one scan, combined before a shuffle of a row a column and task.
     Distinct values are grouped by (column, value), so no column is one task's, and cut at
     DISTINCT_CAP as a lower bound; without exact_distinct they are estimated in the scan.
+    Long values are shuffled as their digest and length, never as texts.
     """
     columns = columns or df.columns
     if exact_distinct:
         cells = _cells(df, None, columns)
-        by_value = cells.groupBy("index", "name", "is_string", "value").agg(F.count("*").alias("n"))
+        size = F.length("value")
+        short = F.when(size > SHORT, F.sha2(F.col("value"), 256)).otherwise(F.col("value"))
+        by_value = cells.groupBy("index", "name", "is_string", short.alias("value"), size.alias("size")).agg(F.count("*").alias("n"))
         some = F.col("value").isNotNull()
-        out = by_value.groupBy("index", "name").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_empty_count"), F.sum(F.when(some, 0).otherwise(F.col("n"))).alias("empty_count"), F.least(F.count("value"), F.lit(DISTINCT_CAP)).alias("unique_count"), F.coalesce(F.sum(F.length("value") * F.col("n")), F.lit(0)).alias("total_length"), F.sum(F.when(some & F.col("is_string"), F.col("n")).otherwise(0)).alias("_strings"))
+        out = by_value.groupBy("index", "name").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_empty_count"), F.sum(F.when(some, 0).otherwise(F.col("n"))).alias("empty_count"), F.least(F.count("value"), F.lit(DISTINCT_CAP)).alias("unique_count"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("total_length"), F.sum(F.when(some & F.col("is_string"), F.col("n")).otherwise(0)).alias("_strings"))
     else:
         kinds = {f.name: isinstance(f.dataType, Y.StringType) for f in df.schema.fields}
         aggs = []
@@ -68,10 +75,17 @@ def sheet_rows(rows: DataFrame, sheet: str = "sheet") -> DataFrame:
     return out.withColumnRenamed(sheet, "sheet")
 
 
-def suggest_text_column(profile: DataFrame, known: tuple[str, ...] = ("mesaj", "message", "text", "icerik")) -> DataFrame:
-    """(name) of the text column to suggest: the first of a known name, else the first likely text, else none."""
-    rank = F.when(F.lower("name").isin(*known), 0).when(F.col("is_likely_text"), 1)
-    return profile.select("name", "index", rank.alias("r")).where("r is not null").orderBy("r", "index").limit(1).select("name")
+def suggested_columns(profile: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """(field, name): the column to suggest for each field of a request, null if there is none.
+
+    A field's column is the one of exactly its known name; text takes the first likely text
+    column if there is no such one.
+    """
+    named = KNOWN | (known or {})
+    found = [F.min_by("name", F.when(F.col("name") == n, F.col("index"))).alias(f) for f, n in named.items()]
+    likely = F.min_by("name", F.when(F.col("is_likely_text"), F.col("index"))).alias("_likely")
+    one = profile.agg(*found, likely).withColumn("text", F.coalesce("text", "_likely"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("name")) for f in named])).alias("s")).select("s.*")
 
 
 def profile_violations(profile: DataFrame, row_count: int) -> DataFrame:

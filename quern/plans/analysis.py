@@ -15,7 +15,7 @@ from ..operators.filters import Request, check_selection, conversation_rows, val
 
 @dataclass
 class Analysis:
-    """Results of an analysis, all lazy: one row of counters, groups, mapping, questions, themes and report."""
+    """Results of an analysis, all lazy: one row of counters, groups, mapping, questions, themes, report and warnings."""
 
     summary: DataFrame
     groups: DataFrame
@@ -23,6 +23,7 @@ class Analysis:
     top: DataFrame
     themes: DataFrame
     report: DataFrame
+    warnings: DataFrame
 
 
 def analyze(df: DataFrame, row_ix: Column, request: Request, classifier: Classifier | None = None) -> Analysis:
@@ -45,4 +46,7 @@ def analyze(df: DataFrame, row_ix: Column, request: Request, classifier: Classif
     top = A.top_questions(assign, question, groups, analyzed, request.top_n)
     themes = A.themes(assign, question, theme, groups, analyzed, top)
     report = A.report(summary, top, themes, A.executive_summary(top, themes, analyzed))
-    return Analysis(summary, groups, assign, top, themes, report)
+    warnings = getattr(classifier, "warnings", None)
+    if warnings is None:
+        warnings = df.sparkSession.createDataFrame([], "code string, n long")
+    return Analysis(summary, groups, assign, top, themes, report, warnings)

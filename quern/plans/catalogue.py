@@ -42,8 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows of a file that can't be split, dealt to all cores before the costly expressions."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Rows of a small file that can't be split, dealt to all cores before the costly expressions.
+
+    A scan with a split for each core keeps its splits: no shuffle of texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -235,9 +239,17 @@ def sheet_rollup(spark, d):
     return PR.sheet_rows(table(spark, d, "events"), "event_type").select("sheet", F.col("row_count").cast("long").alias("row_count"), "exceeds_limit")
 
 
-@query("SELECT 'text' AS name")
-def suggested_column(spark, d):
-    return PR.suggest_text_column(PR.column_profile(_docs(spark, d)))
+_LIKELY = "coalesce(avg(length(nullif(trim({c}, E' \\t\\n\\r\\x0b\\x0c'), ''))) >= 14.995, false)"
+
+
+@query(
+    f"""WITH p AS (SELECT {_LIKELY.format(c="text")} AS body, {_LIKELY.format(c="role")} AS who FROM conversations)
+    SELECT unnest(['text', 'session', 'order', 'role', 'message_type']) AS field, unnest([CASE WHEN who THEN 'direction' WHEN body THEN 'body' END, 'session_id', NULL, 'direction', NULL]) AS name FROM p"""
+)
+def suggested_columns(spark, d):
+    t = table(spark, d, "conversations")
+    named = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("Message_Order"), F.col("role").alias("direction"), F.col("text").alias("body"))
+    return PR.suggested_columns(PR.column_profile(named))
 
 
 # --- conversations ------------------------------------------------------------------------------
@@ -397,8 +409,8 @@ def repaired_assignments(spark, d):
 @query(
     f"""{_FIRST}, t AS (SELECT m.*, m.record_id IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) AS known, m.category IN ('c0', 'c1', 'c2', 'c3') AS listed, o.chunk AS c1, o.pos AS p1
         FROM mapped m LEFT JOIN (SELECT * FROM one WHERE k = 1) o ON m.record_id = o.record_id)
-    SELECT code, CAST(n AS BIGINT) AS n FROM (SELECT 'LLM_HALLUCINATED_IDS' AS code, (SELECT count(*) FROM t WHERE NOT known OR (NOT listed AND (c1 IS NULL OR (chunk, pos) <= (c1, p1)))) AS n
-    UNION ALL SELECT 'LLM_DUPLICATE_ASSIGNMENTS', (SELECT count(*) FROM t WHERE known AND c1 IS NOT NULL AND (chunk, pos) > (c1, p1))
+    SELECT code, CAST(n AS BIGINT) AS n FROM (SELECT 'LLM_UNKNOWN_RECORD_ID' AS code, (SELECT count(*) FROM t WHERE NOT known OR (NOT listed AND (c1 IS NULL OR (chunk, pos) <= (c1, p1)))) AS n
+    UNION ALL SELECT 'LLM_DUPLICATE_ASSIGNMENT', (SELECT count(*) FROM t WHERE known AND c1 IS NOT NULL AND (chunk, pos) > (c1, p1))
     UNION ALL SELECT 'LLM_UNASSIGNED_RECORDS', (SELECT count(*) FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT record_id FROM one))) WHERE n > 0"""
 )
 def mapping_warnings(spark, d):

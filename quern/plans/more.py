@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import aggregate as A
 from ..operators import checks as K
 from ..operators import cost as C
+from ..operators import export as E
 from ..operators import filters as R
 from ..operators import mapping as M
 from ..operators import model_output as O
@@ -72,6 +73,35 @@ def model_classifier(spark, d):
     return question.join(A.question_counts(assign, groups), "question_id").select("canonical_question", "count")
 
 
+@query("SELECT 'LLM_REDUCE_PARTIAL_COVERAGE' AS code, CAST(1 AS BIGINT) AS n WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders) > 2")
+def partial_merges(spark, d):
+    """Merging in batches of two that never merge anything ends with categories apart, and says so."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_ix"), F.col("o_orderpriority").alias("value"))
+    model = M.ModelClassifier("fake/v1", lambda records: [(r, text, "T") for r, text in records], lambda categories: [], reduce_tokens=40)
+    model.classify(P.groups(P.messages(rows)))
+    return model.warnings
+
+
+_SHEET = R.Request("event_type", (R.RowFilter("event_type", ("click", "view", "purchase")),))
+
+
+@query(
+    """WITH e AS (SELECT event_type FROM events WHERE event_type IN ('click', 'view', 'purchase')), s AS (SELECT (SELECT count(*) FROM events) AS total, count(*) AS n, count(DISTINCT event_type) AS u FROM e)
+    SELECT t.label, CAST(t.number AS DOUBLE) AS number, t.text FROM s, LATERAL (VALUES ('Analiz kimliği', NULL, 'a1'), ('Oluşturulma', NULL, ''), ('Dosya', NULL, '''=x.xlsx'), ('Sayfa', NULL, ''), ('Kolon', NULL, 'event_type'),
+    ('Analiz biçimi', NULL, 'Bağımsız mesajlar'), ('Satır filtreleri', NULL, 'event_type = click | view | purchase'), ('Toplam satır', total, NULL), ('Analiz edilen kayıt', n, NULL), ('Bağlam adayı (hedef dışı)', 0, NULL),
+    ('Elenen kayıt', total - n, NULL), ('Tekrar eden kayıt', n - u, NULL), ('Benzersiz kayıt', u, NULL), ('PII maskelenen kayıt', 0, NULL), ('Model', NULL, 'm'), ('Prompt sürümü', NULL, 'v'), ('Prompt özeti', NULL, ''),
+    ('Prompt token', 7, NULL), ('Yanıt token', 0, NULL), ('Cache''den okunan token', 0, NULL), ('Cache''e yazılan token', 0, NULL), ('Toplam token', 7, NULL), ('Maliyet (USD)', 0.25, NULL), ('Maliyet kaynağı', NULL, 'Fiyat snapshot hesabı'),
+    ('Fiyat kataloğu', NULL, 'c'), ('Girdi fiyatı (USD / 1M)', 0.5, NULL), ('Çıktı fiyatı (USD / 1M)', 2, NULL), ('Cache okuma fiyatı (USD / 1M)', NULL, 'Yok'), ('Cache yazma fiyatı (USD / 1M)', NULL, 'Yok'),
+    ('Uyarı kodu', NULL, 'Açıklama'), ('LLM_UNASSIGNED_RECORDS', NULL, 'Model 3 kaydı hiçbir kategoriye eşlemedi; bu kayıtlar «Sınıflandırılamayan kısa mesajlar» başlığında toplandı.'), ('OTHER', NULL, '2')) AS t(label, number, text)"""
+)
+def summary_sheet(spark, d):
+    x = analyze(table(spark, d, "events"), F.col("event_id"), _SHEET)
+    about = E.About(_SHEET, analysis_id="a1", filename="=x.xlsx", model="m", prompt_version="v", tokens={"prompt_tokens": 7, "total_tokens": 7}, cost=0.25, price_catalog="c", prices={"input": 0.5, "output": 2.0})
+    warnings = spark.createDataFrame([("OTHER", 2), ("LLM_UNASSIGNED_RECORDS", 3)], "code string, n long")
+    rows = E.summary_sheet(x.summary, x.report.select("executive_summary"), about, warnings)
+    return rows.where("label <> 'Yönetici özeti'")
+
+
 @query("SELECT CAST(sum(doc_id % 50) AS BIGINT) AS prompt_tokens, CAST(sum(doc_id % 9) AS BIGINT) AS completion_tokens, CAST(sum(doc_id % 50) + sum(doc_id % 9) AS BIGINT) AS total_tokens, doc_id % 2 AS part, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE count(*) * 0.5::DOUBLE END AS cost FROM labels GROUP BY doc_id % 2")
 def usage_totals(spark, d):
     calls = table(spark, d, "labels").select((F.col("doc_id") % 2).alias("part"), (F.col("doc_id") % 50).alias("prompt_tokens"), (F.col("doc_id") % 9).alias("completion_tokens"), F.when(F.col("doc_id") % 2 == 1, 0.5).alias("cost"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,15 +15,7 @@ from ..functions import text as T
 from ..functions.scalars import order_key
 from ..operators import preprocess as P
 from ..operators.filters import Conversation, conversation_rows
-
-
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file:///tmp/quern-streams"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..operators.tables import scratch_path
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +33,7 @@ def run_to_end(stream: DataFrame, mode: str, latest_by: tuple[str, ...] = ()) ->
     update mode the latest row of each key counts.
     """
     spark = stream.sparkSession
-    out = _scratch(spark)
+    out = scratch_path(spark, "stream")
 
     def sink(df: DataFrame, n: int) -> None:
         df.withColumn("_batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/n={n}")

@@ -12,15 +12,17 @@ from quern.functions import locale as L
 from quern.functions import scalars as S
 from quern.functions import text as T
 from quern.operators import checks as K
+from quern.operators import export as E
 from quern.operators import filters as R
 from quern.operators import mapping as M
 from quern.operators import model_output as O
+from quern.operators import profile as PR
 from quern.operators import prompts
 from quern.plans import more
 from quern.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["parsed_outputs", "model_usage", "model_classifier", "usage_totals", "nested_fingerprint", "redacted_columns", "mask_secrets", "storage_keys", "locale_texts", "order_keys", "theme_slugs", "stage_progress", "usage_violations", "job_violations", "upload_violations", "whitelisted_requests", "catalog_prices", "guarded_reports", "broken_reports", "without_blank_rows", "mapping_warnings", "stream_context", "stream_idempotency"]
+NAMES = ["parsed_outputs", "model_usage", "model_classifier", "usage_totals", "nested_fingerprint", "redacted_columns", "mask_secrets", "storage_keys", "locale_texts", "order_keys", "theme_slugs", "stage_progress", "usage_violations", "job_violations", "upload_violations", "whitelisted_requests", "catalog_prices", "guarded_reports", "broken_reports", "without_blank_rows", "mapping_warnings", "partial_merges", "summary_sheet", "stream_context", "stream_idempotency"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -95,7 +97,57 @@ def test_mentions_of_missing_categories_count_as_hallucinated(spark):
     groups = spark.createDataFrame([("a", 1), ("b", 1)], "record_id string, count long")
     assign, warnings = M.repaired(mapped, cats, groups)
     assert {tuple(r) for r in assign.collect()} == {("a", "x"), ("b", M.FALLBACK)}
-    assert {r.code: r.n for r in warnings.collect()} == {"LLM_HALLUCINATED_IDS": 3, "LLM_DUPLICATE_ASSIGNMENTS": 1, "LLM_UNASSIGNED_RECORDS": 1}
+    assert {r.code: r.n for r in warnings.collect()} == {"LLM_UNKNOWN_RECORD_ID": 3, "LLM_DUPLICATE_ASSIGNMENT": 1, "LLM_UNASSIGNED_RECORDS": 1}
+
+
+def test_merging_says_when_batches_stayed_apart(spark):
+    groups = spark.createDataFrame([(f"r{i}", f"k{i}", 1, f"soru {i}", 0, [f"soru {i}"]) for i in range(6)], "record_id string, key string, count long, redacted_text string, redacted_count long, examples array<string>")
+    called = []
+
+    def classified(call_reduce, tokens):
+        model = M.ModelClassifier("fake", lambda records: [(r, f"{t}?", "Tema") for r, t in records], call_reduce, max_records=3, reduce_tokens=tokens)
+        assign, question, _ = model.classify(groups)
+        out = ({r.record_id for r in assign.collect()}, question.count(), {r.code for r in model.warnings.collect()})
+        return out
+
+    every = {f"r{i}" for i in range(6)}
+    assert classified(lambda cats: [], 45) == (every, 6, {M.PARTIAL})
+    assert classified(lambda cats: [], 12_000) == (every, 6, set())
+    assert classified(lambda cats: [[p for p, _, _ in cats]], 45) == (every, 1, set())
+    # A batch of one category is passed on, never sent.
+    def alone(cats):
+        raise AssertionError("sent")
+
+    assert classified(alone, 1) == (every, 6, {M.PARTIAL})
+
+
+def test_summary_sheet_of_a_conversation(spark):
+    c = R.Conversation("s", "o", "r", "k", user_roles=("Kullanıcı", "x"), max_turns=3)
+    about = E.About(R.Request("t", (R.RowFilter("a", ("1", "2")), R.RowFilter("b", ("3",))), c), cost_source="provider")
+    summary = spark.createDataFrame([tuple(range(7))], ", ".join(f"{n} long" for n in E.LABELS))
+    executive = spark.createDataFrame([("=özet",)], "executive_summary string")
+    none = spark.createDataFrame([], "code string, n long")
+    rows = [tuple(r) for r in E.summary_sheet(summary, executive, about, none).collect()]
+    found = {label: number if text is None else text for label, number, text in rows}
+    assert found["Analiz biçimi"] == E.MODES[1] and found["Satır filtreleri"] == "a = 1 | 2; b = 3" and found["Azami geçmiş turn"] == 3
+    assert found["Kullanıcı rol değerleri"] == "Kullanıcı | x" and found["Maliyet kaynağı"] == "OpenRouter usage.cost"
+    assert rows[-2:] == [(None, None, None), ("Yönetici özeti", None, "'=özet")]
+    assert [n for label, n, _ in rows if label in E.LABELS.values()] == list(range(7))
+
+
+def test_columns_are_suggested_by_exact_name(spark):
+    profile = spark.createDataFrame([(0, "Session_id", True), (1, "long", True), (2, "message_text_clean", False), (3, "direction", False)], "index int, name string, is_likely_text boolean")
+    got = lambda df, **k: {r.field: r["name"] for r in PR.suggested_columns(df, k).collect()}
+    assert got(profile) == {"text": "message_text_clean", "session": None, "order": None, "role": "direction", "message_type": None}
+    assert got(profile.where("index < 2"), session="Session_id")["text"] == "Session_id" and got(profile.where("index = 3"))["text"] is None
+    assert got(profile.where("index < 0")) == dict.fromkeys(PR.KNOWN)
+
+
+def test_long_and_repeated_values_are_profiled_exactly(spark):
+    long = "ğ" * 500
+    df = spark.createDataFrame([(long,), (long,), (long + "x",), ("a",), (None,), (" ",)], "v string")
+    row = PR.column_profile(df).first()
+    assert (row.non_empty_count, row.empty_count, row.unique_count, row.total_length) == (4, 2, 3, 1502)
 
 
 # --- JSON, keys, formats -----------------------------------------------------------------------------
