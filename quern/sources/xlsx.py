@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 from xml.etree import ElementTree as X
@@ -32,9 +33,18 @@ class Rejected(ValueError):
 
 
 def validate(path: str, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_RATIO) -> int:
-    """The unpacked bytes of a workbook that passes all rules. Declared sizes can lie, so members are read too, block by block."""
-    with open(path, "rb") as f:
-        head = f.read(8)
+    """The unpacked bytes of a workbook that passes all rules.
+
+    Declared sizes can lie, so members are read too, block by block, which checks their sums. A
+    missing file counts as empty.
+    """
+    try:
+        with open(path, "rb") as f:
+            head = f.read(8)
+    except FileNotFoundError:
+        head = b""
+    except OSError as e:
+        raise Rejected("unreadable_file") from e
     if not head:
         raise Rejected("empty_file")
     for sign, reason in ((OLE2, "encrypted_or_legacy_ole2_container"), (EMPTY_ZIP, "empty_zip_archive")):
@@ -59,14 +69,19 @@ def validate(path: str, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_R
                     raise Rejected(reason)
             total = 0
             for i in z.infolist():
-                with z.open(i) as member:
-                    while piece := member.read(1 << 20):
-                        total += len(piece)
-                        if total > most_bytes:
-                            raise Rejected("actual_uncompressed_size_exceeds_limit")
+                try:
+                    with z.open(i) as member:
+                        while piece := member.read(1 << 20):
+                            total += len(piece)
+                            if total > most_bytes:
+                                raise Rejected("actual_uncompressed_size_exceeds_limit")
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
+                    raise Rejected("member_decompression_failed") from e
             return total
-    except (zipfile.BadZipFile, EOFError, OSError, NotImplementedError) as e:
-        raise Rejected("member_decompression_failed") from e
+    except zipfile.BadZipFile as e:
+        raise Rejected("corrupt_zip_archive") from e
+    except OSError as e:
+        raise Rejected("unreadable_file") from e
 
 
 def accepted_uploads(files: DataFrame) -> DataFrame:

@@ -52,7 +52,16 @@ def test_bad_files_are_rejected(tmp_path, book):
     assert reason("e.xlsx", b"") == "empty_file"
     assert reason("o.xlsx", xlsx.OLE2 + b"x") == "encrypted_or_legacy_ole2_container"
     assert reason("z.xlsx", b"nope") == "not_a_zip_archive"
-    assert reason("c.xlsx", xlsx.ZIP + b"broken") == "member_decompression_failed"
+    assert reason("c.xlsx", xlsx.ZIP + b"broken") == "corrupt_zip_archive"
+    with open(book, "rb") as f:
+        whole = f.read()
+    with zipfile.ZipFile(book) as z:
+        at = next(i for i in z.infolist() if i.filename == "xl/workbook.xml").header_offset + 60
+    assert reason("m.xlsx", whole[:at] + bytes(x ^ 0xFF for x in whole[at : at + 8]) + whole[at + 8 :]) == "member_decompression_failed"
+    with pytest.raises(xlsx.Rejected, match="empty_file"):
+        xlsx.validate(str(tmp_path / "none.xlsx"))
+    with pytest.raises(xlsx.Rejected, match="unreadable_file"):
+        xlsx.validate(str(tmp_path))
     with zipfile.ZipFile(book, "a") as z:
         z.writestr("xl/vbaProject.bin", "x")
     with pytest.raises(xlsx.Rejected, match="macro"):
