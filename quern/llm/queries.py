@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, exact_dedup, fingerprints, mixing, order_minhash, paragraphs, toxicity, warc_zip
+from . import bpe, bwt_dedup, exact_dedup, fingerprints, mixing, order_minhash, paragraphs, prefix_trie, sentence_pieces, toxicity, warc_zip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,16 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with the digest of those that end there."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("preorder", "subtree_end")
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids under a merge-type sentence piece vocabulary, and of their decoding."""
+    return sentence_pieces.encoded_digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zip": op1_warc_zip,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraph_minhash": op8_paragraph_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_order_minhash": op10_order_minhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 ORACLE: dict[str, str] = {
@@ -124,4 +136,34 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    # CRC-32 of a decimal id, by its table; then every prefix as a text of digests, in preorder when sorted.
+    "op11_prefix_trie": """
+        WITH entries AS (SELECT list(t ORDER BY i) AS crcs FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t FROM range(256) AS r(i))),
+        turns AS (
+            SELECT conv_id, octet_length(encode(coalesce(text, ''))) AS bytes, left(d, 30) AS letter, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(d, 30)) AS pos
+            FROM (SELECT *, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL)
+        ), convs AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM turns), entries
+        ), rebuilt AS (
+            SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY own, pos) AS depth, letter, bytes
+            FROM convs c JOIN (SELECT conv_id, pos, letter, bytes, unnest([false, true]) AS own FROM turns) t ON t.conv_id = CASE WHEN own THEN c.conv_id ELSE c.base END AND own = (pos > h)
+        ), paths AS (
+            SELECT conv_id, depth, bytes, string_agg(letter, ' ') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM rebuilt
+            UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+        ), longest AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id), nodes AS (
+            SELECT min(p.conv_id) AS conv_id, depth, path, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+                sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (depth = n), '')) AS ends_sha256
+            FROM paths p JOIN longest l ON p.conv_id = l.conv_id GROUP BY depth, path
+        ), families AS (
+            SELECT c.*, p.conv_id AS parent_conv_id, p.path AS above FROM nodes c LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = rtrim(left(c.path, greatest(len(c.path) - 30, 0)))
+        ), children AS (SELECT above, depth - 1 AS depth, count(*) AS n_children FROM families WHERE depth > 0 GROUP BY above, depth),
+        counted AS (SELECT f.*, coalesce(n_children, 0) AS n_children FROM families f LEFT JOIN children c ON c.above = f.path AND c.depth = f.depth),
+        subtrees AS (
+            SELECT p.path, p.depth, count(*) AS size, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+            FROM counted u JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.path, p.depth
+        )
+        SELECT conv_id, c.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+        FROM counted c JOIN subtrees s ON s.path = c.path AND s.depth = c.depth
+    """,
 }
