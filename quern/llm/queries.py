@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bwt_dedup, exact_dedup, fingerprints, mixing, order_minhash, paragraphs, prefix_trie, sentence_pieces, toxicity, warc_zip
+from . import bpe, bwt_dedup, exact_dedup, fingerprints, hard_negatives, mixing, order_minhash, paragraphs, prefix_trie, sentence_pieces, toxicity, warc_zip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")).drop("preorder", "subtree_end")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every anchor and positive, from all embeddings."""
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids under a merge-type sentence piece vocabulary, and of their decoding."""
     return sentence_pieces.encoded_digests(_documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_order_minhash": op10_order_minhash,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 
@@ -166,4 +172,16 @@ ORACLE: dict[str, str] = {
         SELECT conv_id, c.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
         FROM counted c JOIN subtrees s ON s.path = c.path AND s.depth = c.depth
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT row_number() OVER () AS uid, CAST(vec_id AS BIGINT) AS vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), scored AS (
+            SELECT a.uid AS anchor, a.vec_id AS anchor_id, r.uid, r.vec_id, a.label = r.label AS same, CAST(list_dot_product(a.v, r.v) AS BIGINT) AS score
+            FROM e a, e r WHERE a.vec_id % 100 = 0 AND a.uid <> r.uid
+        ), positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, uid) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same AND 100 * n.score BETWEEN 30 * p.score AND 90 * p.score
+        QUALIFY row_number() OVER best <= 10 WINDOW best AS (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.vec_id NULLS LAST, n.uid)
+    """,
 }
