@@ -30,10 +30,35 @@ def record_tokens(rendered: Column) -> Column:
     return F.floor(F.length(rendered) / CHARS_PER_TOKEN) + RECORD_OVERHEAD
 
 
+def half_even(value: Column, digits: int) -> Column:
+    """A double rounded to decimal digits, halves to even, by its binary value and not by the decimals it prints as.
+
+    5e-7 lies just under the half of a millionth and goes down. value * 10**digits is split into
+    the product that a double holds and its error, which is exact as 10**digits has few bits.
+    """
+    scale, v = F.lit(10.0**digits), value.cast("double")
+    split = v * F.lit(134217729.0)
+    high = split - (split - v)
+    product = v * scale
+    error = (high * scale - product) + (v - high) * scale
+    below = F.floor(product)
+    over = (product - below - 0.5) + error
+    up = F.when((over > 0) | ((over == 0) & (below % 2 != 0)), 1).otherwise(0)
+    # From 2**44 on products of six digits have no halves, and what is not finite stays as it is.
+    return F.when(F.abs(product) < 2.0**50, (below + up) / scale).otherwise(v)
+
+
 def token_cost(prompt: Column, completion: Column, in_rate: Column, out_rate: Column, digits: int = 6) -> Column:
     """USD of tokens at rates a million; 0 where a rate is unknown."""
     cost = prompt / 1_000_000 * in_rate + completion / 1_000_000 * out_rate
-    return F.coalesce(F.round(cost, digits), F.lit(0.0))
+    return F.coalesce(half_even(cost, digits), F.lit(0.0))
+
+
+def catalog_cost(prompt: Column, completion: Column, model: Column, in_rate: Column, out_rate: Column) -> Column:
+    """The same to four digits, at a catalog's rates; a model that the catalog lacks is an error."""
+    missing = F.raise_error(F.concat(F.lit("no price of model "), F.coalesce(model, F.lit("null"))))
+    known = in_rate.isNotNull() & out_rate.isNotNull()
+    return F.when(known, token_cost(prompt, completion, in_rate, out_rate, 4)).otherwise(missing.cast("double"))
 
 
 def usage_cost(prompt: Column, completion: Column, cached: Column, written: Column, in_rate: Column, out_rate: Column, read_rate: Column, write_rate: Column) -> Column:
@@ -44,7 +69,7 @@ def usage_cost(prompt: Column, completion: Column, cached: Column, written: Colu
     w = F.least(F.greatest(zero, written), F.greatest(zero, prompt - c))
     regular = F.greatest(zero, prompt - c - w)
     cost = regular / 1_000_000 * in_rate + c / 1_000_000 * F.coalesce(read_rate, in_rate) + w / 1_000_000 * F.coalesce(write_rate, in_rate) + completion / 1_000_000 * out_rate
-    return F.coalesce(F.round(cost, 6), F.lit(0.0))
+    return F.coalesce(half_even(cost, 6), F.lit(0.0))
 
 
 def casefold(c: Column) -> Column:

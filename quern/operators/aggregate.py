@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percentage, thousands
 from .preprocess import EXAMPLES
+from .tables import numbered
 
 #: Fixed value: the closed set of warnings.
 WARNINGS = (
@@ -77,7 +78,7 @@ def themes(assign: DataFrame, question: DataFrame, theme: DataFrame, groups: Dat
 
 def folded_themes(theme: DataFrame, shown: int = 5) -> DataFrame:
     """(label, count, percentage): beyond six themes the first five, and the rest as one row."""
-    ranked = theme.withColumn("k", F.row_number().over(W.orderBy(F.desc("count"), "theme_id"))).withColumn("n", F.count("*").over(W.partitionBy()))
+    ranked = numbered(theme, [F.desc("count"), F.col("theme_id")], "k").withColumn("n", F.lit(theme.count()))
     label = F.when((F.col("n") <= shown + 1) | (F.col("k") <= shown), F.col("theme_id")).otherwise("other")
     return ranked.groupBy(label.alias("label")).agg(F.sum("count").alias("count"), F.round(F.sum("percentage"), 1).alias("percentage"))
 
@@ -101,10 +102,9 @@ def executive_summary(top: DataFrame, theme: DataFrame, analyzed: int) -> DataFr
     return facts.crossJoin(big).select(F.when(none, F.lit(NOTHING)).otherwise(F.concat_ws(" ", one, three, theme_text)).alias("executive_summary"))
 
 
-def prompt_hash(identifier: str, version: str) -> str:
-    import hashlib
-
-    return "sha256:" + hashlib.sha256(f"{identifier}|{version}".encode()).hexdigest()[:12]
+def prompt_hashed(identifier: Column, version: Column) -> Column:
+    """What a report tells of its prompt: a short digest of classifier and version."""
+    return F.concat(F.lit("sha256:"), F.left(F.sha2(F.concat_ws("|", identifier, version), 256), F.lit(12)))
 
 
 def usage_totals(calls: DataFrame) -> DataFrame:

@@ -40,10 +40,13 @@ def whitelisted(requests: DataFrame, catalog: DataFrame, model: str = "model") -
     return requests.join(catalog.select(F.col("model_id").alias(model)).distinct(), model, "left_semi")
 
 
-def is_fresh(prices: DataFrame, now: Column, ttl: int = PRICE_TTL) -> DataFrame:
-    """One row (fresh): the oldest of the known times of prices lies within ttl seconds; false if none is known."""
+def is_fresh(prices: DataFrame, now: Column, ttl: int = PRICE_TTL, by: tuple[str, ...] = ()) -> DataFrame:
+    """([by,] fresh): the oldest of the known times of prices lies within ttl seconds; false if none is known.
+
+    One row, or one for each of the groups asked for.
+    """
     age = F.unix_timestamp(now) - F.unix_timestamp(F.min("updated_at"))
-    return prices.agg(F.coalesce(age <= ttl, F.lit(False)).alias("fresh"))
+    return prices.groupBy(*by).agg(F.coalesce(age <= ttl, F.lit(False)).alias("fresh"))
 
 
 def guarded_report(jobs: DataFrame, reports: DataFrame) -> DataFrame:

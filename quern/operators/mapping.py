@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import text as T
 from .cost import chunks
-from .tables import written
+from .tables import numbered, written
 
 FALLBACK = "unassigned"
 PARTIAL = "LLM_REDUCE_PARTIAL_COVERAGE"
@@ -81,39 +83,140 @@ def merged_categories(categories: DataFrame, merges: DataFrame) -> DataFrame:
     return known.unionByName(left)
 
 
+@dataclass(frozen=True)
+class Usage:
+    """What calls used; a provider's own cost is null unless every call has one."""
+
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+    cached_tokens: int = 0
+    cache_write_tokens: int = 0
+    cost: float | None = None
+    calls: int = 1
+
+    def __add__(self, other: Usage) -> Usage:
+        own = None if self.cost is None or other.cost is None else self.cost + other.cost
+        return Usage(*(getattr(self, c) + getattr(other, c) for c in COUNTERS[:4]), own, self.calls + other.calls)
+
+    def row(self) -> tuple:
+        return (*(getattr(self, c) for c in COUNTERS[:4]), self.cost, self.calls)
+
+
+COUNTERS = ("prompt_tokens", "completion_tokens", "cached_tokens", "cache_write_tokens", "cost", "calls")
+USAGE = "prompt_tokens long, completion_tokens long, cached_tokens long, cache_write_tokens long, cost double, calls long"
+
+
+class Used(list):
+    """What a map or reduce call gives, with what it used."""
+
+    def __init__(self, rows=(), usage: Usage | None = None) -> None:
+        super().__init__(rows)
+        self.usage = usage
+
+
+@dataclass(frozen=True)
+class Merge:
+    """A group of categories by position, with the question and theme that the model gives it."""
+
+    members: list[int]
+    question: str | None = None
+    theme: str | None = None
+
+
+@dataclass(frozen=True)
+class Rates:
+    """USD a million tokens; cache rates that are not known are the input's."""
+
+    prompt: float = 0.0
+    completion: float = 0.0
+    cache_read: float | None = None
+    cache_write: float | None = None
+
+
+class CostLimitExceeded(RuntimeError):
+    """A run was stopped because of what it had spent; calls that were not made yet are not made."""
+
+    def __init__(self, spent: float, most: float) -> None:
+        super().__init__(f"spent {spent} of {most} USD")
+        self.spent, self.most = spent, most
+
+
 class ModelClassifier:
     """A classifier behind a model: chunks of records are mapped to categories in parallel, then merged in rounds.
 
     call_map(records) and call_reduce(categories) are plain functions, shipped to the
     executors: the first gets [(record_id, text)] and gives [(record_id, question, theme)],
-    the second gets [(position, question, theme)] and gives groups of positions. Results of
-    a chunk carry (chunk, position), so first mentions don't depend on arrival. Tasks may run
+    the second gets [(position, question, theme)] and gives groups of positions, or Merge with
+    titles of their own. Either may give Used, which says what the call used. A call_map with the
+    attribute `rendered` gets each record as the prompt shows it, with the turns before it.
+    Results of a chunk carry (chunk, position), so first mentions don't depend on arrival. Tasks may run
     twice; switch speculation off where calls cost money.
 
     Answers and the catalog of each round of merging are written to tables, so that no call is
-    made again for a lost executor. warnings (code, n) is set by classify.
+    made again for a lost executor. warnings (code, n) and usage (one row of sums) are set by classify.
+
+    With max_cost chunks go in waves of so many calls at once; what a wave used is written before the
+    next is sent, and once the sum is over the limit none is. What merging used counts too.
     """
 
-    def __init__(self, identifier: str, call_map: Callable, call_reduce: Callable | None = None, max_records: int = 120, max_tokens: int = 12_000, reduce_tokens: int = 12_000) -> None:
+    def __init__(self, identifier: str, call_map: Callable, call_reduce: Callable | None = None, max_records: int = 120, max_tokens: int = 12_000, reduce_tokens: int = 12_000, max_cost: float | None = None, rates: Rates = Rates(), wave: int = 8) -> None:
         self.identifier, self.call_map, self.call_reduce = identifier, call_map, call_reduce
         self.max_records, self.max_tokens, self.reduce_tokens = max_records, max_tokens, reduce_tokens
+        self.max_cost, self.rates, self.wave = max_cost, rates, wave
         self.warnings: DataFrame | None = None
+        self._used: list[DataFrame] = []
+
+    @property
+    def usage(self) -> DataFrame:
+        """One row: what all calls so far used, and what they cost: the provider's own figure, else tokens at the rates."""
+        rows = self._used[0]
+        for more in self._used[1:]:
+            rows = rows.unionByName(more)
+        r = self.rates
+        at_rates = S.usage_cost(*(F.col(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "cache_write_tokens")), *(F.lit(x).cast("double") for x in (r.prompt, r.completion, r.cache_read, r.cache_write)))
+        costs = F.coalesce(F.sum(F.coalesce("cost", at_rates)), F.lit(0.0))
+        return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS if c != "cost"), costs.alias("cost"))
+
+    def _check_cost(self) -> None:
+        if self.max_cost is not None and (spent := self.usage.first()["cost"]) > self.max_cost:
+            raise CostLimitExceeded(spent, self.max_cost)
 
     def mapped(self, groups: DataFrame) -> DataFrame:
-        """(record_id, chunk, pos, category, question, theme) as the model gave them."""
+        """(record_id, chunk, pos, category, question, theme) as the model gave them.
+
+        Chunks are sized by what the prompt shows: with their context, if records have one.
+        """
         call = self.call_map
+        context = F.col("context") if "context" in groups.columns else None
+        shown = T.render_record(F.col("record_id"), F.col("redacted_text"), context)
+        text = shown if getattr(call, "rendered", False) else F.col("redacted_text")
+        ready = groups.select("record_id", "count", text.alias("text"), S.record_tokens(shown).alias("tokens"))
+        sent = chunks(ready, self.max_records, self.max_tokens)
+        step = self.wave if self.max_cost is not None else 1 << 40
+        sent = written(sent.withColumn("wave", F.floor(F.col("chunk") / step).cast("long")), "chunks", by="wave")
 
         def over(key, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("position")
             got = call(list(zip(pdf["record_id"], pdf["text"])))
-            rows = [(r, int(key[0]), i, f"{q}\x1f{t}", q, t) for i, (r, q, t) in enumerate(got)]
-            return pd.DataFrame(rows, columns=["record_id", "chunk", "pos", "category", "question", "theme"])
-
-        rendered = groups.select("record_id", "count", F.col("redacted_text").alias("text"))
-        return chunks(rendered, self.max_records, self.max_tokens).groupBy("chunk").applyInPandas(over, "record_id string, chunk long, pos long, category string, question string, theme string")
+            got = got if isinstance(got, Used) else Used(got)
+            rows = [(r, int(key[0]), i, f"{q}\x1f{t}", q, t, *[None] * 6) for i, (r, q, t) in enumerate(got)]
+            rows.append((None, int(key[0]), None, None, None, None, *(got.usage or Usage()).row()))
+            return pd.DataFrame(rows, columns=["record_id", "chunk", "pos", "category", "question", "theme", *COUNTERS]).astype({"pos": "Int64"} | {c: "Int64" for c in COUNTERS if c != "cost"} | {"cost": "float64"})
+
+        waves, answers = (sent.agg(F.max("wave")).first()[0] or 0) + 1, []
+        for w in range(waves):
+            calls = sent.where(F.col("wave") == w).groupBy("chunk").applyInPandas(over, f"record_id string, chunk long, pos long, category string, question string, theme string, {USAGE}")
+            answers.append(written(calls, "mapped"))
+            self._used.append(answers[-1].where("calls is not null").select(*COUNTERS).withColumn("cost", F.nanvl("cost", F.lit(None).cast("double"))))
+            self._check_cost()
+        out = answers[0]
+        for more in answers[1:]:
+            out = out.unionByName(more)
+        return out.where("calls is null").select("record_id", "chunk", "pos", "category", "question", "theme")
 
     def classify(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        mapped = written(self.mapped(groups), "mapped")
+        self._used = []
+        mapped = self.mapped(groups)
         catalog = mapped.groupBy("category").agg(F.first("question").alias("question"), F.first("theme").alias("theme"))
         assign, self.warnings = repaired(mapped, catalog, groups)
         named = catalog.unionByName(catalog.sparkSession.createDataFrame([(FALLBACK, "Sınıflandırılamayan kısa mesajlar", "Diğer")], "category string, question string, theme string"))
@@ -121,28 +224,31 @@ class ModelClassifier:
         if partial:
             self.warnings = self.warnings.unionByName(named.sparkSession.createDataFrame([(PARTIAL, 1)], "code string, n long"))
         counted = assign.join(groups.select("record_id", "count"), "record_id").join(named, "category")
-        sums = counted.groupBy("target").agg(F.sum("count").alias("n"), F.max_by("question", F.struct("count", "question")).alias("question"), F.max_by("theme", F.struct("count", "theme")).alias("theme"))
-        q = sums.withColumn("position", F.row_number().over(W.orderBy(F.desc("n"), "target"))).withColumn("question_id", F.concat(F.lit("q"), F.col("position").cast("string")))
+        largest = F.struct("count", "question")
+        sums = counted.groupBy("target").agg(F.sum("count").alias("n"), F.coalesce(F.max("title"), F.max_by("question", largest)).alias("question"), F.coalesce(F.max("topic"), F.max_by("theme", F.struct("count", "theme"))).alias("theme"))
+        q = numbered(sums, [F.desc("n"), F.col("target")], "position").withColumn("question_id", F.concat(F.lit("q"), F.col("position").cast("string")))
         q = q.select("target", "position", "question_id", T.trim_title(F.col("question")).alias("canonical_question"), T.slug(F.col("theme")).alias("theme_id"), "theme")
         out = assign.join(named.select("category", "target"), "category").join(q.select("target", "question_id"), "target").select("record_id", "question_id")
         return out, q.select("question_id", "canonical_question", "theme_id", "position"), q.groupBy("theme_id").agg(F.min_by("theme", "position").alias("name"))
 
     def reduced(self, catalog: DataFrame) -> tuple[DataFrame, bool]:
-        """catalog with target: categories merged round by round until one batch is left or none shrinks.
+        """catalog with target, title and topic: categories merged round by round until one batch is left or none shrinks.
 
         The catalog is bounded by categories, not records; a round's batches are called in
         parallel, what a batch leaves out stays as it is, and a category that fills a batch
-        alone is passed on without a call. The flag says that merging ended with several
+        alone is passed on without a call. title and topic are what the model named a merged
+        category, null where it named none. The flag says that merging ended with several
         batches, so that like categories of different batches stayed apart.
         """
-        now = catalog.withColumn("target", F.col("category"))
+        null = F.lit(None).cast("string")
+        now = catalog.withColumns({"target": F.col("category"), "title": null, "topic": null})
         if self.call_reduce is None:
             return now, False
         call = self.call_reduce
         before = None
         while True:
-            heads = now.groupBy("target").agg(F.min("question").alias("question"), F.min("theme").alias("theme"))
-            cats = written(heads.withColumn("position", F.row_number().over(W.orderBy("target"))), "categories")
+            heads = now.groupBy("target").agg(F.coalesce(F.max("title"), F.min("question")).alias("question"), F.coalesce(F.max("topic"), F.min("theme")).alias("theme"))
+            cats = written(numbered(heads, [F.col("target")], "position"), "categories")
             n = cats.count()
             if n < 2 or n == before:
                 return now, n > 1
@@ -153,13 +259,25 @@ class ModelClassifier:
 
             def over(key, pdf: pd.DataFrame) -> pd.DataFrame:
                 pdf = pdf.sort_values("position")
-                got = call(list(zip(pdf["position"].tolist(), pdf["question"], pdf["theme"]))) if len(pdf) > 1 else []
-                return pd.DataFrame([(p, int(key[0]) * 100_000 + g, i) for g, members in enumerate(got) for i, p in enumerate(members)], columns=["position", "group", "pos"])
-
-            merges = rows.groupBy("chunk").applyInPandas(over, "position long, group long, pos long")
+                got = call(list(zip(pdf["position"].tolist(), pdf["question"], pdf["theme"]))) if len(pdf) > 1 else Used(usage=Usage(cost=0.0, calls=0))
+                got = got if isinstance(got, Used) else Used(got)
+                out = []
+                for g, m in enumerate(got):
+                    m = m if isinstance(m, Merge) else Merge(m)
+                    # Batches have 32 bits of groups each.
+                    out += [(p, int(key[0]) << 32 | g, i, m.question, m.theme, *[None] * 6) for i, p in enumerate(m.members)]
+                out.append((None, None, None, None, None, *(got.usage or Usage()).row()))
+                return pd.DataFrame(out, columns=["position", "group", "pos", "title", "topic", *COUNTERS]).astype({c: "Int64" for c in ("position", "group", "pos", *COUNTERS) if c != "cost"} | {"cost": "float64"})
+
+            answers = written(rows.groupBy("chunk").applyInPandas(over, f"position long, group long, pos long, title string, topic string, {USAGE}"), "merges")
+            self._used.append(answers.where("calls is not null").select(*COUNTERS).withColumn("cost", F.nanvl("cost", F.lit(None).cast("double"))))
+            self._check_cost()
+            merges = answers.where("calls is null")
             target = merged_categories(cats, merges).join(cats.select("position", F.col("target").alias("old")), "position")
-            renamed = target.select(F.col("old").alias("target"), F.col("target").alias("new"))
-            now = written(now.join(renamed, "target").drop("target").withColumnRenamed("new", "target"), "merged")
+            titles = merges.groupBy(F.concat(F.lit("g"), F.col("group").cast("string")).alias("new")).agg(F.max("title").alias("named"), F.max("topic").alias("themed"))
+            renamed = target.select(F.col("old").alias("target"), F.col("target").alias("new")).join(titles, "new", "left")
+            now = now.join(renamed, "target").drop("target").withColumns({"title": F.coalesce("named", "title"), "topic": F.coalesce("themed", "topic")})
+            now = written(now.drop("named", "themed").withColumnRenamed("new", "target"), "merged")
             if batch.select("chunk").distinct().count() == 1:
                 return now, False
 

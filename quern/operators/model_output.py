@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import text as T
-from .prompts import Prompt
+from .mapping import Merge, ModelClassifier, Usage, Used
+from .prompts import CONTEXTUAL, DEFAULT, Prompt, prompt_for
 
 #: Fixed value: how often a model is told what was wrong with its answer.
 MAX_REPAIRS = 2
@@ -37,30 +38,40 @@ def unfenced(raw: Column) -> Column:
     return F.when(F.startswith(text, F.lit("```")), T.strip(named)).otherwise(text)
 
 
-def _complete(value: Column, kind: Y.DataType) -> Column:
-    """Whether every field of a value is there, at any depth."""
+#: How the type of a JSON value is told that fits a column's type.
+FITS = {
+    "string": "^STRING$",
+    "boolean": "^BOOLEAN$",
+    "bigint": "^(BIGINT|INT|SMALLINT|TINYINT)$",
+    "int": "^(BIGINT|INT|SMALLINT|TINYINT)$",
+    "double": r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$",
+}
+
+
+def _typed(value: Column, kind: Y.DataType) -> Column:
+    """Whether a JSON value, at any depth, has the types asked for; a missing field has none."""
+    told = F.schema_of_variant(value)
     if isinstance(kind, Y.StructType):
-        out = value.isNotNull()
+        out = told.startswith("OBJECT")
         for f in kind.fields:
-            out = out & _complete(value.getField(f.name), f.dataType)
+            out = out & F.coalesce(_typed(F.try_variant_get(value, f"$.{f.name}", "variant"), f.dataType), F.lit(False))
         return out
     if isinstance(kind, Y.ArrayType):
-        return value.isNotNull() & F.forall(value, lambda x: F.coalesce(_complete(x, kind.elementType), F.lit(False)))
-    return value.isNotNull()
+        return told.startswith("ARRAY") & F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.coalesce(_typed(x, kind.elementType), F.lit(False)))
+    return told.rlike(FITS[kind.simpleString()])
 
 
 def parsed(raw: Column, kind: Y.StructType) -> Column:
     """struct(status, data) of a model's text: status is ok, empty, invalid_json or schema; data only if ok.
 
-    Every field of kind is required. Other fields are passed over, numbers are taken where
-    texts are asked for.
+    Every field of kind is required and must have its JSON type, as a call's answer must:
+    neither numbers, flags nor objects are taken where texts are asked for. Other fields are passed over.
     """
     text = unfenced(F.coalesce(raw, F.lit("")))
     value = F.try_parse_json(text)
-    data = F.try_variant_get(value, "$", kind.simpleString())
-    ok = F.coalesce(_complete(data, kind), F.lit(False))
+    ok = F.coalesce(_typed(value, kind), F.lit(False))
     status = F.when(text == "", "empty").when(value.isNull(), "invalid_json").when(~ok, "schema").otherwise("ok")
-    return F.struct(status.alias("status"), F.when(status == "ok", data).alias("data"))
+    return F.struct(status.alias("status"), F.when(status == "ok", F.try_variant_get(value, "$", kind.simpleString())).alias("data"))
 
 
 def _counter(value: Column, path: str) -> Column:
@@ -97,10 +108,19 @@ class BadResponse(RuntimeError):
     """No usable answer after all repairs."""
 
 
+@dataclass(frozen=True)
+class Answer:
+    """A model's text with what the call used."""
+
+    text: str
+    usage: Usage = Usage()
+
+
 @dataclass(frozen=True)
 class Completion:
     data: Any
     calls: int
+    usage: Usage
 
 
 def _wrong(value: Any, shape: Any, path: str) -> Iterator[str]:
@@ -141,44 +161,76 @@ def read_answer(raw: str, shape: Any) -> Any:
     return value
 
 
-def complete(call: Callable[[list[tuple[str, str]]], str], system: str, user: str, shape: Any, max_repairs: int = MAX_REPAIRS) -> Completion:
-    """call(messages) -> text until an answer has the shape; each repair shows the model its answer and the problem."""
-    messages = [("system", system), ("user", user)]
+def complete(call: Callable[[list[tuple[str, str]]], str | Answer], system: str, user: str, shape: Any, max_repairs: int = MAX_REPAIRS) -> Completion:
+    """call(messages) -> text until an answer has the shape; each repair shows the model its answer and the problem.
+
+    What all attempts used is summed.
+    """
+    messages, used = [("system", system), ("user", user)], None
     for attempt in range(max_repairs + 1):
-        raw = call(messages)
+        answer = call(messages)
+        answer = answer if isinstance(answer, Answer) else Answer(answer)
+        raw, used = answer.text, answer.usage if used is None else used + answer.usage
         try:
-            return Completion(read_answer(raw, shape), attempt + 1)
+            return Completion(read_answer(raw, shape), attempt + 1, used)
         except SchemaViolation as e:
             messages = [*messages, ("assistant", raw), ("user", f"The answer did not have the JSON schema: {e}. Return valid JSON of the schema alone, without any text or code fence around it.")]
     raise BadResponse("the model gave no usable answer")
 
 
-def map_call(call: Callable, prompt: Prompt, max_repairs: int = MAX_REPAIRS) -> Callable[[list[tuple[str, str]]], Iterator[tuple[str, str, str]]]:
-    """A map call for ModelClassifier from a model's text completion."""
+def map_call(call: Callable, prompt: Prompt, max_repairs: int = MAX_REPAIRS) -> Callable[[list[tuple[str, str]]], Used]:
+    """A map call for ModelClassifier from a model's text completion; it gets records as the prompt shows them."""
 
-    def over(records: list[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
-        rendered = "\n".join(f'<kayit id="{r}">{t.replace("<", " ").replace(">", " ")}</kayit>' for r, t in records)
-        data = complete(call, prompt.map_system, prompt.map_user.format(records=rendered), MAP_SHAPE, max_repairs).data
-        catalog = {c["category_id"]: c for c in data["categories"]}
-        for a in data["assignments"]:
-            # An assignment to a category that the answer doesn't list assigns nothing.
-            if c := catalog.get(a["category_id"]):
-                yield a["record_id"], c["canonical_question"], c["theme"]
+    def over(records: list[tuple[str, str]]) -> Used:
+        done = complete(call, prompt.map_system, prompt.map_user.format(records="\n".join(t for _, t in records)), MAP_SHAPE, max_repairs)
+        catalog = {c["category_id"]: c for c in done.data["categories"]}
+        # An assignment to a category that the answer doesn't list assigns nothing.
+        found = ((a["record_id"], catalog.get(a["category_id"])) for a in done.data["assignments"])
+        return Used(((r, c["canonical_question"], c["theme"]) for r, c in found if c), done.usage)
 
+    over.rendered = True
     return over
 
 
-def reduce_call(call: Callable, prompt: Prompt, max_repairs: int = MAX_REPAIRS) -> Callable[[list[tuple[int, str, str]]], list[list[int]]]:
-    """A reduce call for ModelClassifier from a model's text completion; ids that are no positions are passed over."""
+def _unangled(text: str) -> str:
+    return text.replace("<", " ").replace(">", " ")
+
 
-    def over(categories: list[tuple[int, str, str]]) -> list[list[int]]:
-        rendered = "\n".join(f"{p}: {q} [{t}]" for p, q, t in categories)
-        data = complete(call, prompt.reduce_system, prompt.reduce_user.format(categories=rendered), REDUCE_SHAPE, max_repairs).data
-        return [[int(m) for m in g["member_category_ids"] if m.isdecimal()] for g in data["groups"]]
+def reduce_call(call: Callable, prompt: Prompt, max_repairs: int = MAX_REPAIRS) -> Callable[[list[tuple[int, str, str]]], Used]:
+    """A reduce call for ModelClassifier from a model's text completion.
+
+    Categories are shown by their place in the batch, so nothing that a model wrote can pass for
+    an id or a tag; ids that are no places are passed over.
+    """
+
+    def over(categories: list[tuple[int, str, str]]) -> Used:
+        places = {f"c{i}": p for i, (p, _, _) in enumerate(categories)}
+        rendered = "\n".join(f'<kategori id="c{i}" tema="{_unangled(t)}">{_unangled(q)}</kategori>' for i, (_, q, t) in enumerate(categories))
+        done = complete(call, prompt.reduce_system, prompt.reduce_user.format(categories=rendered), REDUCE_SHAPE, max_repairs)
+        return Used((Merge([places[m] for m in g["member_category_ids"] if m in places], g["canonical_question"], g["theme"]) for g in done.data["groups"]), done.usage)
 
     return over
 
 
+class TextClassifier(ModelClassifier):
+    """ModelClassifier from a model's text completion, with the prompt that goes with what is analysed.
+
+    Conversations, whose groups have a context, take the prompt of conversations; another
+    version with them, or that one with messages, is an error.
+    """
+
+    def __init__(self, identifier: str, call: Callable, version: str | None = None, merge: bool = True, max_repairs: int = MAX_REPAIRS, **options) -> None:
+        super().__init__(identifier, call, None, **options)
+        self.call, self.version, self.merge, self.max_repairs = call, version, merge, max_repairs
+
+    def classify(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        contextual = "context" in groups.columns
+        prompt = prompt_for(self.version or (CONTEXTUAL if contextual else DEFAULT), contextual)
+        self.call_map = map_call(self.call, prompt, self.max_repairs)
+        self.call_reduce = reduce_call(self.call, prompt, self.max_repairs) if self.merge else None
+        return super().classify(groups)
+
+
 def fake_text_model(theme_words: dict[str, str], bad_first: int = 0, drop_every: int = 0) -> Callable[[list[tuple[str, str]]], str]:
     """A completion for tests: records by the first theme word they have; the first bad_first answers of a
     conversation are no JSON, and each drop_every-th record is left out."""
@@ -188,7 +240,7 @@ def fake_text_model(theme_words: dict[str, str], bad_first: int = 0, drop_every:
         if (len(messages) - 2) // 2 < bad_first:
             return "```json\n{broken"
         user, used, assigned = messages[1][1], {}, []
-        for k, (record, text) in enumerate(re.findall(r'<kayit id="([^"]*)">(.*?)</kayit>', user)):
+        for k, (record, text) in enumerate(re.findall(r'<kayit id="([^"]*)">(.*?)</kayit>', user, re.DOTALL)):
             theme = next((t for w, t in theme_words.items() if w in text.lower()), "Diğer")
             used[theme] = {"category_id": theme, "canonical_question": f"{theme} nedir?", "theme": theme}
             if not drop_every or (k + 1) % drop_every:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import text as T
+from .tables import written
 
 #: The distinct cap, samples a column, sample length, and a sheet's row limit flag.
 DISTINCT_CAP, SAMPLES, SAMPLE_LENGTH, ROW_LIMIT = 200_000, 3, 80, 100_000
@@ -56,6 +59,72 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, exact_distin
     return out.withColumn("is_likely_text", likely).drop("_strings")
 
 
+class _Least:
+    """The least distinct 128-bit digests of a column so far: all of them below the cap, else so many as the cap."""
+
+    def __init__(self, cap: int) -> None:
+        self.cap, self.kept, self.new, self.waiting = cap, np.zeros(0, _DIGEST), [], 0
+
+    def add(self, digests: np.ndarray) -> None:
+        if len(self.kept) == self.cap:
+            digests = digests[digests["a"] <= self.kept[-1]["a"]]
+        self.new.append(digests)
+        self.waiting += len(digests)
+        if self.waiting > self.cap:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        self.kept = np.unique(np.concatenate([self.kept, *self.new]))[: self.cap]
+        self.new, self.waiting = [], 0
+        return self.kept
+
+
+_DIGEST = np.dtype([("a", "<u8"), ("b", "<u8")])
+
+
+def capped_distinct(df: DataFrame, columns: list[str] | None = None, cap: int = DISTINCT_CAP) -> DataFrame:
+    """(index, name, unique_count, is_lower_bound, estimate) of the values of columns that aren't blank.
+
+    unique_count is exact up to the cap, and the cap beyond it, as a lower bound; estimate is then
+    reckoned from how near to zero the least digests are. Each task keeps the least `cap` digests
+    of a column and no more, and such sets merge: what is shuffled is bounded by tasks and the cap, not by how
+    many values there are. A set that is full also tells the others what can't be among the least.
+    """
+    columns = columns or df.columns
+    value = lambda c: F.nullif(T.strip(F.col(f"`{c}`").cast("string")), F.lit(""))
+    # Two hashes of 64 bits with different seeds; a null value has none.
+    pairs = [h for i, c in enumerate(columns) for v in [value(c)] for h in (F.when(v.isNotNull(), F.xxhash64(v)).alias(f"a{i}"), F.when(v.isNotNull(), F.xxhash64(F.lit(7), v)).alias(f"b{i}"))]
+
+    def over(batches):
+        sets = [_Least(cap) for _ in columns]
+        for b in batches:
+            for i, s in enumerate(sets):
+                a, c = b.column(2 * i).drop_null(), b.column(2 * i + 1).drop_null()
+                d = np.empty(len(a), _DIGEST)
+                d["a"], d["b"] = a.to_numpy(zero_copy_only=False).view("u8"), c.to_numpy(zero_copy_only=False).view("u8")
+                s.add(np.unique(d))
+        for i, s in enumerate(sets):
+            kept = s.settle()
+            for k in range(0, len(kept), 10_000):
+                part = kept[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int32)), pa.array((part["a"] ^ _SIGN).view("i8")), pa.array(part["b"].view("i8")), pa.array(np.full(len(part), len(kept) == cap))], names=["index", "a", "b", "full"])
+
+    sets = written(df.select(*pairs).mapInArrow(over, "index int, a bigint, b bigint, full boolean"), "least")
+    # What is above the last digest of any full set is not among the least of all.
+    tasks = sets.where("full").groupBy("index", F.input_file_name()).agg(F.max("a").alias("last")).groupBy("index").agg(F.min("last").alias("last"))
+    near = sets.join(F.broadcast(tasks), "index", "left").where("last is null or a <= last")
+    counted = near.select("index", "a", "b", "last").distinct().groupBy("index").agg(F.count("*").alias("n"), F.max("a").alias("largest"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "index int, name string")
+    out = names.join(counted, "index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    share = (F.col("largest").cast("double") + 2.0**63) / 2.0**64
+    full = F.col("n") >= cap
+    return out.select("index", "name", F.least("n", F.lit(cap)).cast("long").alias("unique_count"), full.alias("is_lower_bound"), F.when(full, F.round((F.col("n") - 1) / share).cast("long")).otherwise(F.col("n")).alias("estimate"))
+
+
+#: Signed order of a digest's first half is its unsigned order.
+_SIGN = np.uint64(1 << 63)
+
+
 def sample_values(df: DataFrame, row_ix: Column, columns: list[str] | None = None) -> DataFrame:
     """(index, name, samples): of each column the first distinct sanitized values in row order."""
     cells = _cells(df, row_ix, columns or df.columns).where("value is not null").withColumn("sample", T.sanitize_sample(F.col("value"), SAMPLE_LENGTH))

@@ -34,14 +34,24 @@ def orphan_objects(objects: DataFrame, uploads: DataFrame, now: Column, hours: i
 
 
 def sweep(jobs: DataFrame, uploads: DataFrame, objects: DataFrame, now: Column, upload_hours: int = 24, report_hours: int = 24, object_hours: int = 24) -> dict[str, DataFrame]:
-    """The tables after a sweep, and its counts: jobs first, as their going unprotects uploads; jobs of gone uploads go too."""
+    """The tables after a sweep, its counts, and what went: jobs first, as their going unprotects uploads.
+
+    Jobs of gone uploads go too, but are not among the counted jobs; cascaded has them.
+    """
     gone_jobs = expired_jobs(jobs, now, report_hours).select("job_id")
     jobs1 = jobs.join(gone_jobs, "job_id", "left_anti")
     gone_uploads = expired_uploads(uploads, jobs1, now, upload_hours, report_hours).select("upload_id", "storage_key")
     uploads1 = uploads.join(gone_uploads.select("upload_id"), "upload_id", "left_anti")
     gone_objects = orphan_objects(objects, uploads1, now, object_hours).select("key").union(gone_uploads.select("storage_key")).distinct()
+    cascaded = jobs1.join(gone_uploads.select("upload_id"), "upload_id", "left_semi").select("job_id", "upload_id")
     counts = None
     for name, df in (("jobs", gone_jobs), ("uploads", gone_uploads), ("objects", gone_objects)):
         one = df.agg(F.count("*").alias("removed")).select(F.lit(name).alias("kind"), "removed")
         counts = one if counts is None else counts.unionByName(one)
-    return {"jobs": jobs1.join(gone_uploads.select("upload_id"), "upload_id", "left_anti"), "uploads": uploads1, "objects": objects.join(gone_objects, "key", "left_anti"), "counts": counts}
+    left = jobs1.join(gone_uploads.select("upload_id"), "upload_id", "left_anti")
+    return {"jobs": left, "uploads": uploads1, "objects": objects.join(gone_objects, "key", "left_anti"), "counts": counts, "cascaded": cascaded, "gone_objects": gone_objects}
+
+
+def cascade_counts(swept: dict[str, DataFrame]) -> DataFrame:
+    """The counts of a sweep, with the jobs that went because their upload did as a kind of their own."""
+    return swept["counts"].unionByName(swept["cascaded"].agg(F.count("*").alias("removed")).select(F.lit("cascaded jobs").alias("kind"), "removed"))

@@ -128,7 +128,7 @@ def formula_guard(spark, d):
     return table(spark, d, "part").select("p_partkey", T.formula_guard(v).alias("guarded"))
 
 
-@query()
+@query("SELECT p_partkey, 't-' || CASE WHEN s = '' THEN 'diger' ELSE s END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)")
 def slug(spark, d):
     return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
 
@@ -468,14 +468,29 @@ def chunks(spark, d):
     return C.chunk_sizes(C.chunks(C.sized(_groups(spark, d))))
 
 
-@query()
+_SIZES = ORACLE["chunks"].replace("SELECT CAST(chunk AS BIGINT) AS chunk, count(*) AS records, CAST(sum(tokens) AS BIGINT) AS tokens FROM walk GROUP BY chunk", "")
+
+
+@query(
+    f"""{_SIZES}, sizes AS (SELECT chunk, count(*) AS records, sum(tokens) AS tokens FROM walk GROUP BY chunk),
+    map_calls AS (SELECT count(*) AS chunks, coalesce(sum(tokens), 0) + count(*) * 900 AS prompt, count(*) * 200 + coalesce(sum(records), 0) * 60 AS completion FROM sizes),
+    rounds AS (
+        SELECT retain, CASE WHEN chunks > 1 THEN 20 * chunks ELSE 0 END AS left_, CAST(prompt AS DOUBLE) AS prompt, CAST(completion AS DOUBLE) AS completion FROM map_calls, (VALUES (0.5::DOUBLE), (0.8::DOUBLE)) AS t(retain)
+        UNION ALL
+        SELECT retain, CASE WHEN left_ <= 500 OR greatest((left_ + 499) // 500, CAST(floor(left_ * retain + 0.999) AS BIGINT)) >= left_ THEN 1 ELSE greatest((left_ + 499) // 500, CAST(floor(left_ * retain + 0.999) AS BIGINT)) END,
+            prompt + 700 * (left_ // 500 + CASE WHEN left_ % 500 > 1 THEN 1 ELSE 0 END) + 24 * (left_ - CASE WHEN left_ % 500 = 1 THEN 1 ELSE 0 END),
+            completion + 200 * (left_ // 500 + CASE WHEN left_ % 500 > 1 THEN 1 ELSE 0 END) + 50 * (left_ - CASE WHEN left_ % 500 = 1 THEN 1 ELSE 0 END)
+        FROM rounds WHERE left_ > 1
+    ), costs AS (SELECT retain, CAST(format('{{:.6f}}', max(prompt) / 1000000 * 0.15::DOUBLE + max(completion) / 1000000 * 0.6::DOUBLE) AS DOUBLE) AS cost FROM rounds GROUP BY retain)
+    SELECT min(cost) FILTER (retain = 0.5) AS expected_cost, min(cost) FILTER (retain = 0.8) AS upper_cost, min(cost) FILTER (retain = 0.5) > 5.0 AS exceeds FROM costs"""
+)
 def cost_estimate(spark, d):
     sizes = C.chunk_sizes(C.chunks(C.sized(_groups(spark, d))))
     return C.cost_decision(C.map_estimate(sizes, 900), 0.15, 0.6, 5.0, 700)
 
 
 @query(
-    """SELECT conv_id, round((p - c - w) / 1000000 * 0.15 + c / 1000000 * 0.075 + w / 1000000 * 0.15 + o / 1000000 * 0.6, 6) AS cost FROM (SELECT conv_id, p, o, least(p // 2, p)::DOUBLE AS c, least(p // 4, p - least(p // 2, p))::DOUBLE AS w
+    """SELECT conv_id, CAST(format('{:.6f}', (p - c - w) / 1000000.0::DOUBLE * 0.15::DOUBLE + c / 1000000.0::DOUBLE * 0.075::DOUBLE + w / 1000000.0::DOUBLE * 0.15::DOUBLE + o / 1000000.0::DOUBLE * 0.6::DOUBLE) AS DOUBLE) AS cost FROM (SELECT conv_id, p, o, least(p // 2, p)::DOUBLE AS c, least(p // 4, p - least(p // 2, p))::DOUBLE AS w
     FROM (SELECT conv_id, sum(length(text)) FILTER (role <> 'assistant') AS p, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS o FROM conversations GROUP BY conv_id) WHERE p IS NOT NULL)"""
 )
 def usage_cost(spark, d):
@@ -486,12 +501,15 @@ def usage_cost(spark, d):
 
 
 @query(
-    """WITH m(model_id, in_rate, out_rate) AS (VALUES ('a', 0.1::DOUBLE, 0.4::DOUBLE), ('b', 0.2::DOUBLE, 0.8::DOUBLE), ('c', 1.0::DOUBLE, 2.0::DOUBLE))
-    SELECT model_id, CASE WHEN model_id = 'a' THEN 0.25::DOUBLE ELSE in_rate END AS in_rate, CASE WHEN model_id = 'a' THEN 1.5::DOUBLE ELSE out_rate END AS out_rate, CASE WHEN model_id = 'a' THEN 'live' ELSE 'fallback' END AS price_source FROM m"""
+    """WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS model_id, p_size / 10.0::DOUBLE AS in_rate, p_size / 5.0::DOUBLE AS out_rate, p_partkey % 4 AS k FROM part)
+    SELECT model_id, CASE WHEN k = 0 THEN 0.25::DOUBLE ELSE in_rate END AS in_rate, CASE WHEN k = 0 THEN 1.5::DOUBLE ELSE out_rate END AS out_rate, CASE WHEN k = 0 THEN 'live' ELSE 'fallback' END AS price_source FROM m"""
 )
 def price_fallback_join(spark, d):
-    models = spark.createDataFrame([("a", 0.1, 0.4), ("b", 0.2, 0.8), ("c", 1.0, 2.0)], "model_id string, in_rate double, out_rate double")
-    live = spark.createDataFrame([("a", "0.00000025", "0.0000015"), ("b", "-1", "0.1"), ("z", "1", "1")], "model_id string, prompt string, completion string")
+    """Every part a model: a quarter have a live price, a quarter a negative one, a quarter one that is no number, a quarter none."""
+    p = table(spark, d, "part")
+    k, ident = F.col("p_partkey") % 4, F.col("p_partkey").cast("string").alias("model_id")
+    models = p.select(ident, (F.col("p_size") / 10.0).alias("in_rate"), (F.col("p_size") / 5.0).alias("out_rate"))
+    live = p.where(k < 3).select(ident, F.when(k == 0, "0.00000025").when(k == 1, "-1").otherwise("x").alias("prompt"), F.lit("0.0000015").alias("completion"))
     return C.prices(models, live)
 
 

@@ -179,14 +179,14 @@ def order_keys(spark, d):
     return rows.select("p_partkey", "k.kind", F.dense_rank().over(W.orderBy("k.number")).alias("place"))
 
 
-@query(f"SELECT doc_id, 't-' || CASE WHEN s = '' THEN 'diger' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(translate(lower(translate(left(text, 40), '{T.CAPITALS}', '{T.SMALL}')), '{T.LETTERS}', '{T.ASCII_LETTERS}')), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents WHERE text IS NOT NULL)")
+@query(f"SELECT doc_id, 't-' || CASE WHEN s = '' THEN 'diger' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(translate(lower(translate(text, '{T.CAPITALS}', '{T.SMALL}')), '{T.LETTERS}', '{T.ASCII_LETTERS}')), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents WHERE text IS NOT NULL)")
 def theme_slugs(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", T.slug(F.left("text", F.lit(40))).alias("slug"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT 'sha256:' || left(sha256('deterministic-proxy/v1|' || p_partkey), 12) AS hash FROM part WHERE p_partkey BETWEEN 1 AND 3")
+@query("SELECT p_partkey, 'sha256:' || left(sha256('deterministic-proxy/v1|' || p_name), 12) AS hash FROM part")
 def prompt_hashes(spark, d):
-    return spark.createDataFrame([(A.prompt_hash("deterministic-proxy/v1", str(i)),) for i in (1, 2, 3)], "hash string")
+    return table(spark, d, "part").select("p_partkey", A.prompt_hashed(F.lit("deterministic-proxy/v1"), F.col("p_name")).alias("hash"))
 
 
 # --- progress and cost ---------------------------------------------------------------------------------
@@ -198,16 +198,17 @@ def stage_progress(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.stage_progress(stage, (F.col("o_orderkey") % 130) / 100.0).alias("progress"))
 
 
-@query("SELECT o_orderkey AS call, CAST(sum(o_orderkey % 16 / 16.0::DOUBLE) OVER (ORDER BY o_orderkey) AS DOUBLE) AS so_far FROM orders WHERE o_custkey % 50 = 0")
+@query("SELECT o_orderkey AS call, CAST(sum(o_orderkey % 16 / 16.0::DOUBLE) OVER (ORDER BY o_orderkey) AS DOUBLE) AS so_far FROM orders")
 def running_cost(spark, d):
-    calls = table(spark, d, "orders").where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("call"), (F.col("o_orderkey") % 16 / 16.0).alias("cost"))
+    calls = table(spark, d, "orders").select(F.col("o_orderkey").alias("call"), (F.col("o_orderkey") % 16 / 16.0).alias("cost"))
     return C.running_cost(calls).select("call", "so_far")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0.0::DOUBLE ELSE round(o_orderkey / 1000000.0::DOUBLE * 0.25::DOUBLE + 500 / 1000000.0::DOUBLE * 0.5::DOUBLE, 8) END AS cost FROM orders")
+# Prices of quarters of a millionth: rounding to six digits meets halves, which the printed form rounds by the binary value.
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0.0::DOUBLE ELSE CAST(format('{:.6f}', o_orderkey / 1000000.0::DOUBLE * 0.25::DOUBLE + 500 / 1000000.0::DOUBLE * 0.5::DOUBLE) AS DOUBLE) END AS cost FROM orders")
 def token_cost(spark, d):
     rate = F.when(F.col("o_orderkey") % 4 != 0, 0.25)
-    return table(spark, d, "orders").select("o_orderkey", S.token_cost(F.col("o_orderkey"), F.lit(500), rate, F.lit(0.5), 8).alias("cost"))
+    return table(spark, d, "orders").select("o_orderkey", S.token_cost(F.col("o_orderkey"), F.lit(500), rate, F.lit(0.5)).alias("cost"))
 
 
 # --- checks of stored rows -----------------------------------------------------------------------------
@@ -248,12 +249,8 @@ def whitelisted_requests(spark, d):
 
 @query(f"SELECT event_type, coalesce(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts))) <= 86400 * 180, false) AS fresh FROM events GROUP BY event_type")
 def price_freshness(spark, d):
-    e = table(spark, d, "events")
-    out = None
-    for kind in sorted(r[0] for r in e.select("event_type").distinct().collect()):
-        one = K.is_fresh(e.where(F.col("event_type") == kind).select(F.col("ts").alias("updated_at")), F.lit(NOW).cast("timestamp"), 86400 * 180).select(F.lit(kind).alias("event_type"), "fresh")
-        out = one if out is None else out.union(one)
-    return out
+    prices = table(spark, d, "events").select("event_type", F.col("ts").alias("updated_at"))
+    return K.is_fresh(prices, F.lit(NOW).cast("timestamp"), 86400 * 180, ("event_type",))
 
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import date, datetime
+from decimal import Decimal
+from itertools import chain
 from pathlib import PurePosixPath
 from xml.etree import ElementTree as X
 from xml.sax.saxutils import escape
@@ -15,15 +19,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import text as T
+from .cells import EPOCHS, MAIN, ROOT, Styles, cell, prefixed_rows, row_elements, shared_texts
+
 #: Signatures, members and limits of the format check.
 OLE2, ZIP, EMPTY_ZIP = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", b"PK\x03\x04", b"PK\x05\x06"
 ENCRYPTED, MACROS, REQUIRED, WORKBOOKS = ("EncryptedPackage", "EncryptionInfo"), ("xl/vbaProject.bin",), ("[Content_Types].xml",), ("xl/workbook.xml", "xl/workbook.bin")
 MOST_BYTES, MOST_RATIO, RATIO_FROM, UPLOAD_BYTES = 4 << 30, 200, 1 << 20, 150 << 20
-MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+#: Unpacked bytes of a sheet that a task parses.
+SPLIT_BYTES = 64 << 20
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 SCHEMA = "sheet string, sheet_ix int, source_row bigint, cells array<struct<text:string,is_string:boolean>>"
 
 
+#: The reasons that files are rejected for.
+REASONS = (
+    "unreadable_file",
+    "empty_file",
+    "encrypted_or_legacy_ole2_container",
+    "empty_zip_archive",
+    "not_a_zip_archive",
+    "encrypted_ooxml_package",
+    "macro_enabled_workbook",
+    "missing_ooxml_content_types",
+    "missing_workbook_part",
+    "unsafe_member_path",
+    "declared_uncompressed_size_exceeds_limit",
+    "compression_ratio_exceeds_limit",
+    "actual_uncompressed_size_exceeds_limit",
+    "member_decompression_failed",
+    "corrupt_zip_archive",
+)
+UNREADABLE, EMPTY, LEGACY, NO_MEMBERS, NO_ZIP, LOCKED, MACRO, NO_TYPES, NO_WORKBOOK, UNSAFE, DECLARED, RATIO, ACTUAL, BROKEN, CORRUPT = REASONS
+
+
 class Rejected(ValueError):
     """A file that is not taken; reason names the rule."""
 
@@ -39,30 +68,30 @@ def validate(path: str, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_R
     missing file counts as empty.
     """
     try:
-        with open(path, "rb") as f:
+        with opened(path) as f:
             head = f.read(8)
     except FileNotFoundError:
         head = b""
     except OSError as e:
-        raise Rejected("unreadable_file") from e
+        raise Rejected(UNREADABLE) from e
     if not head:
-        raise Rejected("empty_file")
-    for sign, reason in ((OLE2, "encrypted_or_legacy_ole2_container"), (EMPTY_ZIP, "empty_zip_archive")):
+        raise Rejected(EMPTY)
+    for sign, reason in ((OLE2, LEGACY), (EMPTY_ZIP, NO_MEMBERS)):
         if head.startswith(sign):
             raise Rejected(reason)
     if not head.startswith(ZIP):
-        raise Rejected("not_a_zip_archive")
+        raise Rejected(NO_ZIP)
     try:
-        with zipfile.ZipFile(path) as z:
+        with opened(path) as file, zipfile.ZipFile(file) as z:
             names = set(z.namelist())
             tests = (
-                (names & set(ENCRYPTED), "encrypted_ooxml_package"),
-                (names & set(MACROS), "macro_enabled_workbook"),
-                (set(REQUIRED) - names, "missing_ooxml_content_types"),
-                (not names & set(WORKBOOKS), "missing_workbook_part"),
-                (any(n.startswith("/") or ".." in PurePosixPath(n).parts for n in names), "unsafe_member_path"),
-                (sum(i.file_size for i in z.infolist()) > most_bytes, "declared_uncompressed_size_exceeds_limit"),
-                (any(i.file_size >= RATIO_FROM and i.file_size > most_ratio * i.compress_size > 0 for i in z.infolist()), "compression_ratio_exceeds_limit"),
+                (names & set(ENCRYPTED), LOCKED),
+                (names & set(MACROS), MACRO),
+                (set(REQUIRED) - names, NO_TYPES),
+                (not names & set(WORKBOOKS), NO_WORKBOOK),
+                (any(n.startswith("/") or ".." in PurePosixPath(n).parts for n in names), UNSAFE),
+                (sum(i.file_size for i in z.infolist()) > most_bytes, DECLARED),
+                (any(i.file_size >= RATIO_FROM and i.file_size > most_ratio * i.compress_size > 0 for i in z.infolist()), RATIO),
             )
             for hit, reason in tests:
                 if hit:
@@ -74,14 +103,14 @@ def validate(path: str, most_bytes: int = MOST_BYTES, most_ratio: float = MOST_R
                         while piece := member.read(1 << 20):
                             total += len(piece)
                             if total > most_bytes:
-                                raise Rejected("actual_uncompressed_size_exceeds_limit")
+                                raise Rejected(ACTUAL)
                 except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError, RuntimeError) as e:
-                    raise Rejected("member_decompression_failed") from e
+                    raise Rejected(BROKEN) from e
             return total
     except zipfile.BadZipFile as e:
-        raise Rejected("corrupt_zip_archive") from e
+        raise Rejected(CORRUPT) from e
     except OSError as e:
-        raise Rejected("unreadable_file") from e
+        raise Rejected(UNREADABLE) from e
 
 
 def accepted_uploads(files: DataFrame) -> DataFrame:
@@ -97,6 +126,16 @@ def file_ages(spark: SparkSession, path: str) -> DataFrame:
 # --- reading --------------------------------------------------------------------------------------
 
 
+def opened(path: str):
+    """A seekable file: a local path, or what pyarrow's file systems (HDFS, S3, GCS) reach by its URI, from any executor."""
+    if "://" not in path and not path.startswith("file:"):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    files, inner = fs.FileSystem.from_uri(path if path.startswith("file://") else path.replace("file:", "file://", 1))
+    return files.open_input_file(inner)
+
+
 def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(name, member) in workbook order."""
     targets = {r.get("Id"): r.get("Target") for r in X.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
@@ -107,18 +146,6 @@ def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
-def _shared(z: zipfile.ZipFile) -> list[str]:
-    if "xl/sharedStrings.xml" not in z.namelist():
-        return []
-    with z.open("xl/sharedStrings.xml") as f:
-        out = []
-        for _, e in X.iterparse(f):
-            if e.tag == f"{MAIN}si":
-                out.append("".join(t.text or "" for t in e.iter(f"{MAIN}t")))
-                e.clear()
-        return out
-
-
 def _column(ref: str) -> int:
     n = 0
     for c in re.match("[A-Z]+", ref)[0]:
@@ -126,68 +153,79 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _cell(c: X.Element, shared: list[str]) -> tuple[str | None, bool]:
-    kind = c.get("t")
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iter(f"{MAIN}t")), True
-    v = c.find(f"{MAIN}v")
-    if v is None or v.text is None:
-        return None, False
-    if kind == "s":
-        return shared[int(v.text)], True
-    if kind == "b":
-        return ("True" if v.text == "1" else "False"), False
-    return v.text, kind in ("str", "e")
-
-
-def sheet_rows(path: str, member: str) -> Iterator[tuple[int, list[tuple[str | None, bool]]]]:
-    """(sheet row, cells) of every row that has any; the file is parsed as it streams."""
-    with zipfile.ZipFile(path) as z:
-        shared = _shared(z)
+def sheet_rows(path: str, member: str, begin: int = 0, end: int = 1 << 62) -> Iterator[tuple[int, list[tuple[str | None, bool]]]]:
+    """(sheet row, cells) of every row that has any, of those that start in a range of the sheet's unpacked bytes."""
+    with opened(path) as file, zipfile.ZipFile(file) as z:
+        shared = shared_texts(z)
+        styles = Styles(z.read("xl/styles.xml") if "xl/styles.xml" in z.namelist() else None, z.read("xl/workbook.xml"))
+        plain = _splits(z, member)
+        if not plain and begin:
+            return
         with z.open(member) as f:
-            at = 0
-            for _, e in X.iterparse(f):
-                if e.tag != f"{MAIN}row":
-                    continue
-                at = int(e.get("r") or at + 1)
+            ahead = None
+            for before, e in row_elements(f, begin, end) if plain else prefixed_rows(f):
+                # A row without a number follows the one before it; the rows that were passed over have numbers if this one's first sibling has.
+                at = int(e.get("r")) if e.get("r") else (before + 1 if ahead is None else ahead + 1)
+                ahead = at
                 cells: list[tuple[str | None, bool]] = []
                 for c in e.iter(f"{MAIN}c"):
                     i = _column(c.get("r")) if c.get("r") else len(cells)
                     cells += [(None, False)] * (i - len(cells))
-                    cells.append(_cell(c, shared))
+                    cells.append(cell(c, shared, styles))
                 yield at, cells
-                e.clear()
+
+
+def _splits(z: zipfile.ZipFile, member: str) -> bool:
+    """Whether ranges of the sheet can be read: its tags have no prefix."""
+    with z.open(member) as f:
+        return bool(ROOT.search(f.read(1 << 16)))
+
+
+def blank(cells: list[tuple[str | None, bool]]) -> bool:
+    return not any(t is not None and t.strip() for t, _ in cells)
 
 
 class SheetPartition(InputPartition):
-    def __init__(self, index: int, name: str, member: str) -> None:
-        self.index, self.name, self.member = index, name, member
+    def __init__(self, index: int, name: str, member: str, begin: int, end: int) -> None:
+        self.index, self.name, self.member, self.begin, self.end = index, name, member, begin, end
 
 
 class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: str | None, most_bytes: int) -> None:
-        self.path, self.sheet, self.most_bytes = path.removeprefix("file://"), sheet, most_bytes
+    def __init__(self, path: str, sheet: str | None, most_bytes: int, split_bytes: int, most_rows: int | None) -> None:
+        self.path, self.sheet, self.most_bytes, self.split_bytes, self.most_rows = path, sheet, most_bytes, split_bytes, most_rows
 
     def partitions(self):
         validate(self.path, self.most_bytes)
-        with zipfile.ZipFile(self.path) as z:
-            sheets = [SheetPartition(i, n, m) for i, (n, m) in enumerate(_sheets(z)) if self.sheet in (None, n)]
-        if not sheets:
+        out = []
+        with opened(self.path) as file, zipfile.ZipFile(file) as z:
+            for i, (name, member) in enumerate(_sheets(z)):
+                if self.sheet in (None, name):
+                    # A scan that ends at a row reads on from the first, so it has one range.
+                    step = self.split_bytes if self.most_rows is None and _splits(z, member) else 1 << 62
+                    size = max(1, z.getinfo(member).file_size)
+                    out += [SheetPartition(i, name, member, k, k + step if k + step < size else 1 << 62) for k in range(0, size, step)]
+        if not out:
             raise ValueError(f"SHEET_NOT_FOUND: {self.sheet}")
-        return sheets
+        return out
 
     def read(self, partition):
         names = ["sheet", "sheet_ix", "source_row", "cells"]
         kind = pa.list_(pa.struct([("text", pa.string()), ("is_string", pa.bool_())]))
-        held: list[tuple[int, list]] = []
+        held: list[tuple[int, list | None]] = []
 
         def batch():
             n = len(held)
-            cells = [[{"text": t, "is_string": s} for t, s in c] for _, c in held]
+            cells = [c and [{"text": t, "is_string": s} for t, s in c] for _, c in held]
             return pa.RecordBatch.from_arrays([pa.array([partition.name] * n), pa.array([partition.index] * n, pa.int32()), pa.array([r for r, _ in held], pa.int64()), pa.array(cells, kind)], names=names)
 
-        for row in sheet_rows(self.path, partition.member):
-            held.append(row)
+        seen = 0
+        for at, cells in sheet_rows(self.path, partition.member, partition.begin, partition.end):
+            if self.most_rows is not None and at > 1 and not blank(cells):
+                if seen == self.most_rows:
+                    held.append((at, None))
+                    break
+                seen += 1
+            held.append((at, cells))
             if len(held) == 5000:
                 yield batch()
                 held = []
@@ -196,7 +234,12 @@ class XlsxReader(DataSourceReader):
 
 
 class XlsxSource(DataSource):
-    """spark.read.format("xlsx").option("path", …)[.option("sheet", …)]: raw rows with their cells, the header row first."""
+    """spark.read.format("xlsx").option("path", …)[.option("sheet", …)]: raw rows with their cells, the header row first.
+
+    splitbytes is the size of the ranges of unpacked sheet that tasks parse; maxrows ends the
+    scan of each sheet after so many rows that aren't blank, and a row without cells (null) then
+    stands for the first row that was not read. df.write.format("xlsx") writes one sheet.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -206,17 +249,23 @@ class XlsxSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return XlsxReader(self.options["path"], self.options.get("sheet"), int(self.options.get("maxbytes", MOST_BYTES)))
+        o = self.options
+        return XlsxReader(o["path"], o.get("sheet"), int(o.get("maxbytes", MOST_BYTES)), int(o.get("splitbytes", SPLIT_BYTES)), int(o["maxrows"]) if "maxrows" in o else None)
+
+    def writer(self, schema, overwrite: bool):
+        from .xlsx_writer import XlsxWriter
+
+        return XlsxWriter(self.options["path"], self.options.get("sheet", "Sayfa1"), schema.names, overwrite)
 
 
-def raw(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+def raw(spark: SparkSession, path: str, sheet: str | None = None, **options) -> DataFrame:
     spark.dataSource.register(XlsxSource)
-    reader = spark.read.format("xlsx").option("path", path)
+    reader = spark.read.format("xlsx").option("path", path).options(**options)
     return (reader.option("sheet", sheet) if sheet is not None else reader).load()
 
 
 def sheet_names(path: str) -> list[str]:
-    with zipfile.ZipFile(path) as z:
+    with opened(path) as file, zipfile.ZipFile(file) as z:
         return [n for n, _ in _sheets(z)]
 
 
@@ -225,18 +274,24 @@ def headers(cells: list) -> list[str]:
     return [(c["text"] or "").strip() or f"Kolon {i}" for i, c in enumerate(cells, 1)]
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str, with_kinds: bool = False) -> DataFrame:
+def scan_end(rows: DataFrame) -> DataFrame:
+    """(sheet, source_row): of each sheet whose scan ended at its cap, the first row that was not read."""
+    return rows.where(F.col("cells").isNull()).select("sheet", "source_row")
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, with_kinds: bool = False, **options) -> DataFrame:
     """A sheet as a table of text columns with source_row; wholly blank rows are no rows.
 
     Columns are named by the first row, the first of equal names having it alone. Rows are
-    padded to the widest, so a missing cell is an empty one. with_kinds adds the raw cells.
+    padded to the widest, so a missing cell is an empty one. with_kinds adds the raw cells;
+    options are the source's.
     """
-    rows = raw(spark, path, sheet)
+    rows = raw(spark, path, sheet, **options).where(F.col("cells").isNotNull())
     head = rows.where("source_row = 1").select("cells").first()
     width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
     names = headers(head.cells if head else [])
     names += [f"Kolon {i}" for i in range(len(names) + 1, width + 1)]
-    body = rows.where("source_row > 1").where(F.exists("cells", lambda c: F.trim(c["text"]) != ""))
+    body = rows.where("source_row > 1").where(F.exists("cells", lambda c: T.strip(c["text"]) != ""))
     seen: set[str] = set()
     cols = []
     for i, n in enumerate(names):
@@ -257,35 +312,63 @@ def _ref(i: int) -> str:
     return out
 
 
-def _xml_cell(value, ref: str) -> str:
+#: The style of dates in workbooks that are written here, by its place among the cell styles.
+DATE_STYLE = 1
+STYLES = f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{MAIN[1:-1]}"><numFmts count="1"><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd\\ hh:mm:ss"/></numFmts><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf numFmtId="164" applyNumberFormat="1"/></cellXfs></styleSheet>'
+
+
+def _serial(value: date) -> str:
+    """A moment as days since the calendar's first, to the millisecond."""
+    since = (value if isinstance(value, datetime) else datetime(value.year, value.month, value.day)) - EPOCHS[False]
+    return repr(since.days + (since.seconds * 1000 + since.microseconds // 1000) / 86_400_000)
+
+
+def _xml_cell(value, ref: str = "") -> str:
+    """A cell; without a reference it stands next to the one before it."""
+    at = f' r="{ref}"' if ref else ""
     if value is None:
-        return ""
+        return "" if ref else "<c/>"
     if isinstance(value, bool):
-        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
-    if isinstance(value, int | float):
-        return f'<c r="{ref}"><v>{value}</v></c>'
+        return f'<c{at} t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, date):
+        return f'<c{at} s="{DATE_STYLE}"><v>{_serial(value)}</v></c>'
+    if isinstance(value, int | float | Decimal) and math.isfinite(value):
+        return f"<c{at}><v>{value}</v></c>"
     clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", str(value))
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+    return f'<c{at} t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+
+def row_xml(values, number: int | None = None) -> str:
+    """A row; without a number it follows the one before it."""
+    if number is None:
+        return "<row>" + "".join(map(_xml_cell, values)) + "</row>"
+    return f'<row r="{number}">' + "".join(_xml_cell(v, f"{_ref(c)}{number}") for c, v in enumerate(values)) + "</row>"
+
+
+def package_members(sheets: list[str]) -> list[tuple[str, str]]:
+    """(name, text) of all members of a workbook but its sheets."""
+    head, office = '<?xml version="1.0" encoding="UTF-8"?>', REL[1:-1]
+    package, kinds = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    types = "".join(f'<Override PartName="/xl/{n}" ContentType="{kinds}.{k}+xml"/>' for n, k in [("workbook.xml", "sheet.main"), ("styles.xml", "styles"), *((f"worksheets/sheet{i}.xml", "worksheet") for i in range(1, len(sheets) + 1))])
+    listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
+    rels = "".join(f'<Relationship Id="rId{i}" Type="{office}/{k}" Target="{t}"/>' for i, (k, t) in enumerate([*(("worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)), ("styles", "styles.xml")], 1))
+    return [
+        ("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{types}</Types>'),
+        ("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>'),
+        ("xl/workbook.xml", f'{head}<workbook xmlns="{MAIN[1:-1]}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>'),
+        ("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{rels}</Relationships>'),
+        ("xl/styles.xml", STYLES),
+    ]
 
 
 def write_workbook(path: str, sheets: list[tuple[str, list[str], Iterator[tuple]]]) -> None:
-    """Writes sheets (name, header, rows); rows stream, numbers stay numbers. Text that a spreadsheet would run is the caller's to guard."""
-    types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+    """Writes sheets (name, header, rows); rows stream, numbers and dates stay such. Text that a spreadsheet would run is the caller's to guard."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _, _) in enumerate(sheets, 1))
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{MAIN[1:-1]}" xmlns:r="{REL[1:-1]}"><sheets>{listed}</sheets></workbook>')
-        rels = "".join(f'<Relationship Id="rId{i}" Type="{REL[1:-1]}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
+        for name, text in package_members([n for n, _, _ in sheets]):
+            z.writestr(name, text)
         for i, (_, header, rows) in enumerate(sheets, 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as f:
                 f.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN[1:-1]}"><sheetData>'.encode())
-                for r, row in enumerate(_chain(header, rows), 1):
-                    f.write((f'<row r="{r}">' + "".join(_xml_cell(v, f"{_ref(c)}{r}") for c, v in enumerate(row)) + "</row>").encode())
+                for r, row in enumerate(chain([header], rows), 1):
+                    f.write(row_xml(row, r).encode())
                 f.write(b"</sheetData></worksheet>")
-
-
-def _chain(header: list[str], rows: Iterator[tuple]) -> Iterator[tuple]:
-    yield tuple(header)
-    yield from rows

@@ -58,22 +58,32 @@ def dedupe_counts(spark: SparkSession, path: str, row_ix: str, value: str) -> Da
     return run_to_end(dedupe_stream(rows), "update", ("record_id",))
 
 
-def context_stream(rows: DataFrame, c: Conversation, on_disorder: str = "raise") -> DataFrame:
+def context_stream(rows: DataFrame, c: Conversation, on_disorder: str = "raise", idle_seconds: int | None = None, lateness: str = "1 hour") -> DataFrame:
     """(row_ix, context, late) of the rows of conversations: the turns before each, up to the bound.
 
     rows: (session_id, row_ix, who, text, fit, message_order's key as kind, number and folded). State
     of a session, as JSON: its last turns, and the key of the order of its last row. Rows of
     a micro-batch are taken by row_ix. A row whose order goes back, is of another kind or
     isn't finite fails the stream with ConversationOrderError; with on_disorder="mark" it
-    comes out as late, and changes no state.
+    comes out as late, and changes no state. With idle_seconds rows have a time `ts`, and
+    a session that had no row for so long has ended: a row that comes later begins it anew, and
+    once the watermark has passed that time its state is dropped.
     """
     most = c.max_turns
+    times = ["us"] if idle_seconds is not None else []
 
     def over(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        turns, last = json.loads(state.get[0]) if state.exists else ([], None)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turns, last, newest = json.loads(state.get[0]) if state.exists else ([], None, 0)
         pdf = pd.concat(list(frames)).sort_values("row_ix")
         out = []
-        for ix, who, text, fit, kind, sign, magnitude, digits, folded in pdf[["row_ix", "who", "text", "fit", "kind", "sign", "magnitude", "digits", "folded"]].itertuples(index=False):
+        for ix, who, text, fit, kind, sign, magnitude, digits, folded, *us in pdf[["row_ix", "who", "text", "fit", "kind", "sign", "magnitude", "digits", "folded", *times]].itertuples(index=False):
+            if us:
+                if newest and us[0] - newest >= idle_seconds * 1_000_000:
+                    turns, last = [], None
+                newest = max(newest, int(us[0]))
             now = [kind, [int(sign), int(magnitude), digits] if kind == "number" else folded]
             late = kind == "error" or (last is not None and (last[0] != kind or now[1] < last[1]))
             if late and on_disorder == "raise":
@@ -85,10 +95,14 @@ def context_stream(rows: DataFrame, c: Conversation, on_disorder: str = "raise")
             if fit:
                 out.append((ix, [{"role": r, "text": t} for r, t in turns], False))
                 turns = [*turns, [who, text]][-most:]
-        state.update((json.dumps([turns, last]),))
+        if times:
+            state.setTimeoutTimestamp(max(newest // 1000 + idle_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((json.dumps([turns, last, newest]),))
         yield pd.DataFrame({"row_ix": pd.Series([r[0] for r in out], dtype="int64"), "context": pd.Series([r[1] for r in out], dtype=object), "late": pd.Series([r[2] for r in out], dtype=bool)})
 
-    return rows.groupBy("session_id").applyInPandasWithState(over, "row_ix long, context array<struct<role:string,text:string>>, late boolean", "state string", "append", "NoTimeout")
+    if times:
+        rows = rows.withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    return rows.groupBy("session_id").applyInPandasWithState(over, "row_ix long, context array<struct<role:string,text:string>>, late boolean", "state string", "append", "EventTimeTimeout" if times else "NoTimeout")
 
 
 def ordered_turns(rows: DataFrame, c: Conversation) -> DataFrame:
@@ -111,16 +125,20 @@ def contextual_ids(spark: SparkSession, path: str) -> DataFrame:
     return met.select("row_ix", "context", T.contextual_id(F.col("key"), F.col("context")).alias("record_id"))
 
 
-def claims(events: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+def claims(events: DataFrame, ttl_seconds: int = 86_400, lateness: str = "1 hour") -> DataFrame:
     """(event_id, claim_id, outcome) of a stream of (event_id, key, fingerprint, ts).
 
     The first event of a key claims it for the time to live; later ones within it are replays
     if their fingerprint is the claim's, else conflicts. Neither lengthens the claim: it ends
     ttl_seconds after the claiming event, and the next event claims anew. Events of a
-    micro-batch are taken by (ts, event_id).
+    micro-batch are taken by (ts, event_id). Once the watermark, `lateness` behind the latest
+    event, has passed the end of a claim its state is dropped; events before the watermark are too late to count.
     """
 
     def over(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         claim, until, fingerprint = state.get if state.exists else (None, None, None)
         pdf = pd.concat(list(frames)).sort_values(["us", "event_id"])
         out = []
@@ -131,10 +149,11 @@ def claims(events: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
             else:
                 out.append((event, claim, "replay" if told == fingerprint else "conflict"))
         state.update((claim, until, fingerprint))
+        state.setTimeoutTimestamp(max(-(-until // 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["event_id", "claim_id", "outcome"])
 
-    timed = events.select("event_id", "key", "fingerprint", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy("key").applyInPandasWithState(over, "event_id long, claim_id long, outcome string", "claim long, until long, fingerprint string", "append", "NoTimeout")
+    timed = events.select("event_id", "key", "fingerprint", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("key").applyInPandasWithState(over, "event_id long, claim_id long, outcome string", "claim long, until long, fingerprint string", "append", "EventTimeTimeout")
 
 
 def first_events(spark: SparkSession, path: str) -> DataFrame:

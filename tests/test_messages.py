@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,26 @@ def test_retention(spark):
     assert {r.upload_id for r in out["uploads"].collect()} == {2, 3}
     assert {r.job_id for r in out["jobs"].collect()} == {2, 3}
     assert {r.key for r in out["objects"].collect()} == {"k2", "new"}
+
+
+@pytest.mark.parametrize(("most", "tokens"), [(3, 10), (120, 400), (1, 5), (7, 10_000), (1 << 30, 60)])
+def test_chunks_of_many_ranges_are_one_fold(spark, most, tokens):
+    """Ranges that are shorter than a chunk, records larger than a chunk, and ties of count."""
+    r = random.Random(most)
+    rows = [(f"r{i}", r.randrange(4), r.choice([1, 2, 3, 5, 9, 30, 90])) for i in range(500)]
+    want, chunk, records, used = {}, 0, 0, 0
+    for place, (i, _, n) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0]))):
+        if records and (records >= most or used + n > tokens):
+            chunk, records, used = chunk + 1, 0, 0
+        records, used = records + 1, used + n
+        want[i] = (chunk, place)
+    df = spark.createDataFrame(rows, "record_id string, count long, tokens long")
+    for parts in ("1", "4", "60"):
+        before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {x.record_id: (x.chunk, x.position) for x in chunks(df, most, tokens).collect()} == want
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
