@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialise
 from .near import key_of, similar, with_leader
-from .passages import blocks, cut, repeated_spans
+from .passages import blocks, cut, near_spans, passage_rows, passage_runs, repeated_spans
 from .shingles import U, labelled, mix, shingles, word_hashes
 
 #: A pair of Jaccard index s agrees in a band with 1 - (1 - s**ROWS)**BANDS: 0.997 at 0.8. Recall is bought with candidates, which are verified.
@@ -118,7 +118,7 @@ def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words
     """docs, all columns, text without what repeats, with n_removed, removed_words and removed_bytes.
 
     Paragraphs go that `removals` names, and of all lines the words of passages that repeat an
-    earlier one of passages.LENGTH words, wherever its lines end. n_removed counts lines that
+    earlier one of passages.LENGTH words, or are near one, wherever its lines end. n_removed counts lines that
     are removed or cut. A null text counts as empty. Columns of docs named like the added
     ones are replaced, other names don't matter.
     """
@@ -126,7 +126,9 @@ def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words
     rest = [c for c in docs.columns if c not in made]
     at = rest.index("text")
     part = lambda rows, lines: rows.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), F.lit(lines).alias("lines"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    gone = part(removals(docs, k, least, least_words), True).union(part(repeated_spans(docs), False))
+    removed = removals(docs, k, least, least_words)
+    found = materialise(passage_runs(passage_rows(docs)), "passage-runs")
+    gone = part(removed, True).union(part(repeated_spans(docs, found), False)).union(part(near_spans(docs, found, least), False))
     gone = gone.groupBy("gone_id", "gone_version").agg(F.collect_set(F.struct("lines", "a", "b")).alias("gone"))
     rows = docs.select(*[(F.coalesce(F.col(c), F.lit("")) if c == "text" else F.col(c)).alias(f"c{i}") for i, c in enumerate(rest)])
     rows = rows.join(gone, (F.col(f"c{rest.index('doc_id')}") == F.col("gone_id")) & (F.xxhash64(f"c{at}") == F.col("gone_version")), "left")

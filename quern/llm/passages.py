@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, materialise
-from .near import key_of, rows_of
+from .near import key_of, rows_of, similar, with_leader
 from .shingles import _SPACE, U, _power, mix, shingles, word_hashes
 
 LENGTH, K = 50, 5
+#: Words beside the MinHash's shingle that must be equal on one side for windows around it to be compared.
+SIDE = 12
+#: Where the MinHash stands in the windows around it that are compared.
+PLACES = (0, 11, 22, 33, 45)
 #: Words beside the MinHash's shingle that a window has at least on one of its sides.
 HALF = (LENGTH - K + 1) // 2
 BLOCK = 1 << 20
@@ -91,10 +95,10 @@ def _again(own: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _found(batches):
-    """(context, left, right, doc_id, version, start, number, inner) of the runs.
+    """(context, left, right, before, after, doc_id, version, start, number, at, inner) of the runs.
 
-    left and right hash half a window with the MinHash, 0 where the text has none; inner runs
-    repeat one of the same text.
+    left and right hash half a window with the MinHash, before and after SIDE words with it, 0 where
+    the text has none; at is its place; inner runs repeat one of the same text.
     """
     for block in blocks(batches):
         h, counts = word_hashes([t.lower().encode() for _, _, t in block])
@@ -103,16 +107,18 @@ def _found(batches):
             continue
         ends = np.cumsum(counts)
         begins = ends - counts
-        sums = _hashes(h, np.concatenate([start, np.maximum(at - HALF, 0), at]), np.concatenate([start + number + LENGTH - 1, at + K, np.minimum(at + K + HALF, len(h))]))
+        sums = _hashes(h, np.concatenate([start, np.maximum(at - HALF, 0), at, np.maximum(at - SIDE, 0), at]), np.concatenate([start + number + LENGTH - 1, at + K, np.minimum(at + K + HALF, len(h)), at + K, np.minimum(at + K + SIDE, len(h))]))
         n = len(at)
         # A context's hash has the place of the MinHash in it.
         whole, second = (x[:n].view(np.uint64) for x in sums)
         context = key_of(mix(whole ^ mix(second + (at - start).astype(np.uint64))))
         left = np.where(at - HALF >= begins[own], sums[0][n : 2 * n] | 1, 0)
-        right = np.where(at + K + HALF <= ends[own], sums[0][2 * n :] & ~1, 0)
+        right = np.where(at + K + HALF <= ends[own], sums[0][2 * n : 3 * n] & ~1, 0)
+        before = np.where(at - SIDE >= begins[own], sums[0][3 * n : 4 * n] | 1, 0)
+        after = np.where(at + K + SIDE <= ends[own], sums[0][4 * n :] & ~1, 0)
         ids, versions = np.array([i for i, _, _ in block], np.int64), np.array([v for _, v, _ in block], np.int64)
-        columns = (context, left, right, ids[own], versions[own], (start - begins[own]).astype(np.int32), number.astype(np.int32), _again(own, context, start))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "left", "right", "doc_id", "version", "start", "number", "inner"])
+        columns = (context, left, right, before, after, ids[own], versions[own], (start - begins[own]).astype(np.int32), number.astype(np.int32), (at - begins[own]).astype(np.int32), _again(own, context, start))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "left", "right", "before", "after", "doc_id", "version", "start", "number", "at", "inner"])
 
 
 def _windows(batches):
@@ -130,7 +136,99 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, ids[own], versions[own], at.astype(np.int32), inner)], names=["h1", "h2", "doc_id", "version", "start", "inner"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def passage_rows(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+
+
+def passage_runs(rows: DataFrame) -> DataFrame:
+    """The runs of all texts of rows (doc_id, version, text), see `_found`."""
+    return rows.mapInArrow(_found, "context long, left long, right long, before long, after long, doc_id long, version long, start int, number int, at int, inner boolean")
+
+
+def _around(batches):
+    """(node, doc_id, version, a, s1, s2, keys, text) of the windows around the places of each text.
+
+    keys are those by which the MinHash at that place was met, each for windows that have it at the same place alone.
+    """
+    from pyspark import TaskContext
+
+    context, number = TaskContext.get(), 0
+    base = (context.partitionId() if context else 0) << 36
+    names = ["node", "doc_id", "version", "a", "s1", "s2", "keys", "text"]
+    for block in blocks(batches):
+        texts = [t.encode() for _, _, t, _ in block]
+        h, counts = word_hashes([t.lower().encode() for _, _, t, _ in block])
+        begins = np.cumsum(counts) - counts
+        at, own, keys = [], [], []
+        for k, row in enumerate(block):
+            met: dict[int, set[int]] = {}
+            for seed in row[3]:
+                for i, place in enumerate(PLACES):
+                    if 0 <= seed["at"] - place <= counts[k] - LENGTH:
+                        met.setdefault(seed["at"] - place, set()).add((seed["key"] * 8 + i) % (1 << 64))
+            at += met
+            own += [k] * len(met)
+            keys += [list(v) for v in met.values()]
+        if not at:
+            continue
+        start = np.array(at, np.int64) + begins[own]
+        s1, s2 = _hashes(h, start, start + LENGTH)
+        bounds = {k: word_bounds(texts[k]) for k in set(own)}
+        shown = [texts[k][bounds[k][0][a] : bounds[k][1][a + LENGTH - 1]].decode() for k, a in zip(own, at)]
+        listed = pa.array([key_of(mix(np.array(v, np.uint64))).tolist() for v in keys], pa.list_(pa.int64()))
+        ids, versions = np.array([x[0] for x in block], np.int64)[own], np.array([x[1] for x in block], np.int64)[own]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(at)) + base), pa.array(ids), pa.array(versions), pa.array(at, pa.int32()), pa.array(s1), pa.array(s2), listed, pa.array(shown)], names=names)
+        number += len(at)
+
+
+def _framed(batches):
+    """(doc_id, version, a) of windows that begin and end with a shingle that the leader of their cluster has too."""
+    for b in batches:
+        texts = [t.as_py().lower().encode() for column in (3, 4) for t in b.column(column)]
+        s, n = shingles(*word_hashes(texts), K)
+        ends = np.cumsum(n)
+        begins, half = ends - n, b.num_rows
+        keep = [bool(np.isin([s[begins[i]], s[ends[i] - 1]], s[begins[i + half] : ends[i + half]]).all()) for i in range(half)]
+        yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)], names=["doc_id", "version", "a"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+    """(doc_id, version, a, b): windows of LENGTH words that are near an earlier one, by an exact Jaccard index of `least` or more.
+
+    Runs whose MinHash has SIDE equal words on one side are candidates: of two windows that near
+    each other one word in nine shingles differs at most, so words on one side of a
+    MinHash stay the same. Windows around such a MinHash, at each of PLACES, are compared where they
+    have it at one place, and clustered; of each cluster the first stays, and of the others those go that begin and end as
+    some of it does, so that no window reaches over the end of a passage. Runs that repeat as a whole are left out.
+    """
+    rows = passage_rows(docs)
+    found = materialise(passage_runs(rows), "passage-runs") if found is None else found
+    again = found.where("not inner").groupBy("context").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
+    seeds = found.where("not inner").join(materialise(again, "whole-runs"), "context", "left").where("_first is null or doc_id = _first")
+    seeds = seeds.select("doc_id", "version", "at", F.explode(F.array("before", "after")).alias("key")).where("key <> 0")
+    place = F.struct("doc_id", "version", "at")
+    met = seeds.groupBy("key").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo < _hi").select("key")
+    seeds = seeds.join(materialise(met, "seed-keys"), "key").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "key")).alias("_seeds"))
+    seeds = materialise(seeds, "seeds")
+    texts = rows_of(rows, seeds.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "version"]).join(seeds, ["doc_id", "version"])
+    windows = texts.select("doc_id", "version", "text", "_seeds").mapInArrow(_around, "node long, doc_id long, version long, a int, s1 long, s2 long, keys array<long>, text string")
+    windows = materialise(windows, "near-windows")
+    same = with_leader(windows.select("node", "s1", "s2"), ["s1", "s2"]).where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    same = materialise(same, "same-windows")
+    members = windows.select("node", F.explode("keys").alias("key")).join(same.select(F.col("u").alias("node")), "node", "left_anti")
+    roots = similar(members, windows.select("node", "text"), K, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
+    placed = windows.select("node", F.struct("doc_id", "version", "a", "node").alias("place")).join(roots, "node").select("root", "place")
+    later = with_leader(placed, ["root"], "place").where("place.doc_id > leader.doc_id or place.doc_id = leader.doc_id and place.version = leader.version and place.a > leader.a")
+    later = later.select("place.doc_id", "place.version", "place.a", F.col("place.node").alias("node"), F.col("leader.node").alias("leader"))
+    texts = windows.select("node", "text")
+    told = later.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("first")), "leader").select("doc_id", "version", "a", "text", "first")
+    out = told.mapInArrow(_framed, "doc_id long, version long, a int")
+    out = materialise(out.select("doc_id", "version", "a", (F.col("a") + LENGTH).alias("b")), "near-spans")
+    drop(seeds, windows, same)
+    return out
+
+
+def repeated_spans(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, a, b): spans of words whose union is what repeats an earlier window of LENGTH words.
 
     Earlier is before in the same text, or in a text of smaller doc_id; texts of one doc_id don't
@@ -141,8 +239,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Hot passages: least ids combine before their shuffle, and runs meet them in joins of
     plain exchanges, which AQE splits.
     """
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    found = materialise(rows.mapInArrow(_found, "context long, left long, right long, doc_id long, version long, start int, number int, inner boolean"), "passage-runs")
+    rows = passage_rows(docs)
+    found = materialise(passage_runs(rows), "passage-runs") if found is None else found
     # A window that repeats has HALF words on one side of its MinHash, so its run shares that half.
     # A run may come twice from here on, by either half; nothing that follows counts runs.
     sides = found.where("not inner").select("context", "doc_id", "version", "start", "number", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
