@@ -45,6 +45,24 @@ def check_assignment(assign: DataFrame, groups: DataFrame) -> None:
         raise AggregationError(f"{'unknown record' if bad.known is None else 'record assigned twice'}: {bad.record_id}")
 
 
+def check_themes(theme: DataFrame, analyzed: int) -> None:
+    """Themes can't count more records than were analyzed."""
+    total = theme.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    if total > analyzed:
+        raise AggregationError(f"themes count {total} of {analyzed} records")
+
+
+def record_lists(assign: DataFrame, groups: DataFrame) -> DataFrame:
+    """(question_id, place, record_id, count): the records of each question in order, by falling count, then id.
+
+    A row for each record, so that no question's list is one value or one task's; places count from 1.
+    """
+    rows = assign.join(groups.select("record_id", "count"), "record_id").select("question_id", "record_id", "count")
+    ordered = numbered(rows, [F.col("question_id"), F.desc("count"), F.col("record_id")], "_n")
+    first = ordered.groupBy("question_id").agg(F.min("_n").alias("_first"))
+    return ordered.join(first, "question_id").select("question_id", (F.col("_n") - F.col("_first") + 1).alias("place"), "record_id", "count")
+
+
 def question_counts(assign: DataFrame, groups: DataFrame) -> DataFrame:
     return assign.join(groups.select("record_id", "count"), "record_id").groupBy("question_id").agg(F.sum("count").alias("count"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import TERMINAL
+from ..functions.scalars import TERMINAL, eta
 
 #: Fixed value: how long fetched prices count as fresh, in seconds.
 PRICE_TTL = 3600
@@ -75,3 +75,8 @@ def catalog_of(payloads: DataFrame, column: str = "payload", most_bytes: int = 2
     of = lambda path: F.try_variant_get("_i", path, "string")
     named = item.where(F.schema_of_variant(F.try_variant_get("_i", "$.id", "variant")) == "STRING")
     return named.select(of("$.id").alias("model_id"), *[of(f"$.pricing.{c}").alias(c) for c in ("prompt", "completion", "input_cache_read", "input_cache_write")])
+
+
+def job_view(jobs: DataFrame, now: Column) -> DataFrame:
+    """What is shown of a job: seven fields, the time that is left reckoned from its progress."""
+    return jobs.select("analysis_id", "status", "progress", "created_at", "updated_at", eta(F.col("status"), F.col("progress"), F.col("created_at"), now).alias("estimated_seconds_remaining"), "error")

@@ -74,6 +74,14 @@ class Request:
         return self
 
 
+def first_of_names(df: DataFrame) -> DataFrame:
+    """df without the later ones of columns that have one name, as the first has it alone."""
+    if len(set(df.columns)) == len(df.columns):
+        return df
+    first = [df.columns.index(n) for n in dict.fromkeys(df.columns)]
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(df.columns[i]) for i in first))
+
+
 def column(df: DataFrame, name: str, code: str = "COLUMN_NOT_FOUND") -> Column:
     """The first column of that name."""
     if name not in df.columns:
@@ -83,6 +91,7 @@ def column(df: DataFrame, name: str, code: str = "COLUMN_NOT_FOUND") -> Column:
 
 def check_selection(df: DataFrame, request: Request) -> None:
     """Every column that the request names must be there."""
+    df = first_of_names(df)
     column(df, request.text_column)
     for f in request.filters:
         column(df, f.column, "FILTER_COLUMN_NOT_FOUND")
@@ -91,6 +100,34 @@ def check_selection(df: DataFrame, request: Request) -> None:
             column(df, name, "CONVERSATION_COLUMN_NOT_FOUND")
 
 
+#: Fixed value: what a selection is told that names what its file doesn't have.
+NOT_FOUND = "SHEET_OR_COLUMN_NOT_FOUND"
+
+
+def missing_selection(wanted: DataFrame, profile: DataFrame) -> DataFrame:
+    """(request_id, sheet, name, what) of what requests name and the profile of their file doesn't have.
+
+    wanted: (request_id, sheet, name, what), a row for each column that a request names, what being
+    text, filter or conversation; profile: (request_id, sheet, name), a row for each column of
+    each sheet. Of a request whose sheet is not there that alone is told, as what = sheet.
+    """
+    sheets = profile.select("request_id", "sheet").distinct().withColumn("_sheet", F.lit(True))
+    told = wanted.join(sheets, ["request_id", "sheet"], "left").join(profile.select("request_id", "sheet", "name", F.lit(True).alias("_name")).distinct(), ["request_id", "sheet", "name"], "left")
+    lost = told.where("_sheet is null").select("request_id", "sheet", F.lit(None).cast("string").alias("name"), F.lit("sheet").alias("what")).distinct()
+    return lost.unionByName(told.where("_sheet and _name is null").select("request_id", "sheet", "name", "what"))
+
+
+def check_against_profile(profile: DataFrame, sheet: str, request: Request) -> None:
+    """A request's sheet and columns must be in the profile (sheet, name) of its file; the first that isn't is an error."""
+    there = {r["name"] for r in profile.where(F.col("sheet") == sheet).select("name").collect()}
+    if not there:
+        raise RequestError(NOT_FOUND, f"sheet {sheet}")
+    c = request.conversation
+    for name in (request.text_column, *(f.column for f in request.filters), *((c.session, c.order, c.role, c.message_type) if c else ())):
+        if name not in there:
+            raise RequestError(NOT_FOUND, name)
+
+
 def cell(c: Column) -> Column:
     """A cell as text without outer white space; blank is null."""
     return F.nullif(T.strip(c.cast("string")), F.lit(""))
@@ -104,11 +141,13 @@ def passes(df: DataFrame, filters: tuple[RowFilter, ...]) -> Column:
 
 def values_keeping_rows(df: DataFrame, row_ix: Column, text_column: str, filters: tuple[RowFilter, ...] = ()) -> DataFrame:
     """(row_ix, value): the text of rows that pass, null for the others, so that totals stay."""
+    df = first_of_names(df)
     return df.select(row_ix.cast("long").alias("row_ix"), F.when(passes(df, filters), column(df, text_column).cast("string")).alias("value"))
 
 
 def conversation_rows(df: DataFrame, row_ix: Column, text_column: str, c: Conversation, filters: tuple[RowFilter, ...] = ()) -> DataFrame:
     """(source_row, included, session_id, message_order, role, message_type, text)."""
+    df = first_of_names(df)
     named = {"session_id": c.session, "message_order": c.order, "role": c.role, "message_type": c.message_type, "text": text_column}
     return df.select(row_ix.cast("long").alias("source_row"), passes(df, filters).alias("included"), *[cell(column(df, n, "CONVERSATION_COLUMN_NOT_FOUND")).alias(k) for k, n in named.items()])
 

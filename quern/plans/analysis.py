@@ -45,6 +45,7 @@ def analyze(df: DataFrame, row_ix: Column, request: Request, classifier: Classif
     analyzed = groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     top = A.top_questions(assign, question, groups, analyzed, request.top_n)
     themes = A.themes(assign, question, theme, groups, analyzed, top)
+    A.check_themes(themes, analyzed)
     report = A.report(summary, top, themes, A.executive_summary(top, themes, analyzed))
     warnings = getattr(classifier, "warnings", None)
     if warnings is None:

@@ -7,15 +7,19 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
+from ..operators import checks as K
+from ..operators import filters as R
 from ..operators import mapping as M
 from ..operators import model_output as O
 from ..operators import preprocess as P
 from ..operators import profile as PR
 from ..operators import retention as RT
+from ..operators.classify import Deterministic
 from ..operators.tables import scratch_path
 from ..sources import xlsx
 from . import more
-from .catalogue import _CONV, _CTX, ORACLE, QUERIES, _conversation, _tables, query, table
+from .catalogue import _CONV, _CTX, _JOBS, ORACLE, QST, QUERIES, _analysis, _conversation, _groups, _tables, query, table
 
 # --- workbooks ---------------------------------------------------------------------------------------
 
@@ -75,6 +79,59 @@ def cascade_counts(spark, d):
     return RT.cascade_counts(RT.sweep(jobs, uploads, objects, now))
 
 
+# --- selections, jobs and reports -----------------------------------------------------------------------
+
+
+@query(
+    """WITH w AS (SELECT p_partkey AS request_id, CASE WHEN p_partkey % 5 = 0 THEN 'none' ELSE 'S' END AS sheet, unnest([p_brand, 'x' || p_size]) AS name, unnest(['text', 'filter']) AS what FROM part)
+    SELECT DISTINCT request_id, sheet, NULL AS name, 'sheet' AS what FROM w WHERE sheet = 'none' UNION ALL
+    SELECT request_id, sheet, name, what FROM w WHERE sheet = 'S' AND NOT (what = 'text' AND request_id % 3 = 0) AND NOT (what = 'filter' AND TRY_CAST(substr(name, 2) AS INT) % 2 = 0)"""
+)
+def missing_selection(spark, d):
+    """Requests of every part, each against the profile of a file of its own."""
+    p = table(spark, d, "part")
+    ident, size = F.col("p_partkey").alias("request_id"), F.concat(F.lit("x"), F.col("p_size").cast("string"))
+    pairs = F.explode(F.array(F.struct(F.col("p_brand").alias("name"), F.lit("text").alias("what")), F.struct(size.alias("name"), F.lit("filter").alias("what")))).alias("c")
+    wanted = p.select(ident, F.when(F.col("p_partkey") % 5 == 0, "none").otherwise("S").alias("sheet"), pairs).select("request_id", "sheet", "c.*")
+    has = F.explode(F.array_compact(F.array(F.lit("own"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, size)))).alias("name")
+    return R.missing_selection(wanted, p.select(ident, F.lit("S").alias("sheet"), has))
+
+
+_ETA = ORACLE["eta"].split("SELECT job_id, ")[1].split(" AS eta")[0].replace("updated_at", "created_at")
+
+
+@query(f"WITH {_JOBS} SELECT job_id AS analysis_id, status, (job_id % 100)::DOUBLE AS progress, epoch_us(created_at) AS created_us, {_ETA} AS estimated_seconds_remaining, error FROM (SELECT *, updated_at AS created_at, CASE WHEN status = 'failed' THEN 'e' END AS error FROM jobs)")
+def job_views(spark, d):
+    jobs, _, _, now = _tables(spark, d)
+    rows = jobs.select(F.col("job_id").alias("analysis_id"), "status", (F.col("job_id") % 100).cast("double").alias("progress"), F.col("updated_at").alias("created_at"), "updated_at", F.when(F.col("status") == "failed", "e").alias("error"))
+    return K.job_view(rows, now).withColumn("created_us", F.unix_micros("created_at")).drop("created_at", "updated_at")
+
+
+@query(f"{QST}, r AS (SELECT q.question_id, s.record_id, s.count, row_number() OVER (PARTITION BY q.question_id ORDER BY s.count DESC, s.record_id) AS place FROM q JOIN s USING (signature)) SELECT * FROM r")
+def record_lists(spark, d):
+    groups = _groups(spark, d)
+    assign, _, _ = Deterministic().classify(groups)
+    return A.record_lists(assign, groups)
+
+
+_TOP_SQL, _THEME_SQL = ORACLE["top_questions"].removeprefix("WITH "), ORACLE["themes"].removeprefix("WITH ")
+
+
+@query(
+    f"""WITH t AS (WITH {_TOP_SQL}), h AS (WITH {_THEME_SQL}), s AS ({ORACLE["preprocess_summary"]}),
+    c AS (SELECT name, n FROM s UNPIVOT (n FOR name IN (total_rows, analyzed_count, discarded_count, unique_count, duplicate_count)))
+    SELECT 'question' AS section, question_id AS name, CAST(count AS BIGINT) AS count, percentage FROM t UNION ALL SELECT 'theme', theme_id, CAST(count AS BIGINT), percentage FROM h UNION ALL SELECT 'summary', name, CAST(n AS BIGINT), NULL FROM c"""
+)
+def report_rows(spark, d):
+    """The nested report, one row for each question, theme and counter in it."""
+    r = _analysis(spark, d).report
+    part = lambda c, what, key: r.select(F.explode(c).alias("e")).select(F.lit(what).alias("section"), F.col(f"e.{key}").alias("name"), F.col("e.count").cast("long").alias("count"), F.col("e.percentage").alias("percentage"))
+    names = ("total_rows", "analyzed_count", "discarded_count", "unique_count", "duplicate_count")
+    counters = r.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"preprocessing_summary.{n}").cast("long").alias("count")) for n in names))).alias("e"))
+    summary = counters.select(F.lit("summary").alias("section"), "e.name", "e.count", F.lit(None).cast("double").alias("percentage"))
+    return part("top_questions", "question", "question_id").unionByName(part("themes", "theme", "theme_id")).unionByName(summary)
+
+
 # --- capped counts -------------------------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from quern.plans.analysis import analyze
 from quern.streaming import jobs, sweeps
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["typed_workbook", "workbook_profile", "object_listing", "cascade_counts", "capped_distinct", "capped_distinct_low", "contextual_model", "model_waves", "cost_estimate", "token_cost", "usage_cost", "running_cost", "theme_slugs", "prompt_hashes", "price_fallback_join", "price_freshness", "slug", "chunks", "theme_fold"]
+NAMES = ["typed_workbook", "workbook_profile", "object_listing", "cascade_counts", "capped_distinct", "capped_distinct_low", "contextual_model", "model_waves", "cost_estimate", "token_cost", "usage_cost", "running_cost", "theme_slugs", "prompt_hashes", "price_fallback_join", "price_freshness", "slug", "chunks", "theme_fold", "missing_selection", "job_views", "record_lists", "report_rows"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -36,6 +36,34 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*order).collect()))) == sorted(map(repr, want))
 
 
+# --- selections ------------------------------------------------------------------------------------------
+
+
+def test_selection_against_a_profile(spark):
+    profile = spark.createDataFrame([("S", n) for n in ("m", "kanal", "s", "o", "r", "k")], "sheet string, name string")
+    good = R.Request("m", (R.RowFilter("kanal", ("web",)),), R.Conversation("s", "o", "r", "k"))
+    R.check_against_profile(profile, "S", good)
+    for sheet, request in (("T", good), ("S", R.Request("x")), ("S", R.Request("m", (R.RowFilter("y", ("1",)),))), ("S", R.Request("m", conversation=R.Conversation("s", "o", "r", "z")))):
+        with pytest.raises(R.RequestError) as e:
+            R.check_against_profile(profile, sheet, request)
+        assert e.value.code == R.NOT_FOUND
+
+
+def test_the_first_of_equal_names_counts(spark):
+    df = spark.createDataFrame([(1, "a", "b", "web"), (2, "c", "d", "x")], "i long, m string, m2 string, k string").toDF("i", "m", "m", "k")
+    rows = R.values_keeping_rows(df, F.col("i"), "m", (R.RowFilter("k", ("web",)),)).collect()
+    assert [tuple(r) for r in rows] == [(1, "a"), (2, None)]
+
+
+def test_themes_count_no_more_than_was_analyzed(spark):
+    from quern.operators import aggregate as A
+
+    theme = spark.createDataFrame([("t", 3), ("u", 4)], "theme_id string, count long")
+    A.check_themes(theme, 7)
+    with pytest.raises(A.AggregationError, match="7 of 6"):
+        A.check_themes(theme, 6)
+
+
 # --- models ------------------------------------------------------------------------------------------
 
 
