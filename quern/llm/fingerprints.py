@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -98,55 +100,66 @@ def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(likeness(a.tolist(), b.tolist()))
 
 
-def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, dict[int, int]]:
-    """docs with a bucket _b of neighbouring ids _k, and for each bucket's greatest id the bucket before it.
+def _bucketed(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """docs with a bucket _b of neighbours and their order (_known, _k, _h), and the first row's order of each bucket with the bucket before it.
 
-    Buckets end at quantiles of the ids, so they have about equally many rows however ids
-    are spread. The driver holds two ids for each bucket. Null ids come below all others.
+    Documents stand in the falling order of _known, _k and _h: null ids last, and rows of one id by
+    the turned hash of their text. Buckets end at quantiles of the ids; an id that spans several has
+    its rows dealt to these by ranges of the hash, and so have null ids to buckets of their own.
+    The driver holds some numbers for each bucket.
     """
     shares = [k / buckets for k in range(1, buckets)]
-    lo, cuts = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 20 * buckets) if shares else F.lit(None)).first()
-    lo = -1 if lo is None else max(lo - 1, -(1 << 63))
-    cuts = sorted(set(cuts or ()))
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id"), F.lit(lo)))
-    # The bucket is the number of cuts below an id, found by halving.
-    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    n, n_known, cuts = docs.agg(F.count("*"), F.count("doc_id"), F.percentile_approx("doc_id", shares, 20 * buckets) if shares else F.lit(None)).first()
+    unknown = min(buckets, -(-(n - n_known) * buckets // max(1, n_known)))
+    # The cuts with how many stand below each, and how many buckets its own rows have.
+    cuts = sorted(cuts or ())
+    values = sorted(set(cuts))
+    below, own = [bisect_left(cuts, v) for v in values] + [len(cuts)], [cuts.count(v) for v in values] + [1]
+    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
+    table = listed(values)
+    hashed = F.bitwise_not(F.xxhash64("text"))
+    keyed = docs.withColumns({"_known": F.col("doc_id").isNotNull(), "_k": F.coalesce("doc_id", F.lit(0).cast("long")), "_h": hashed})
 
     def halved(at, step):
-        return F.when((at + step <= len(cuts)) & (F.get(table, at + step - 1) < F.col("_k")), at + step).otherwise(at)
-
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
-    keyed = keyed.withColumn("_b", F.aggregate(steps, F.lit(0), halved) if cuts else F.lit(0))
-    heads = sorted((b, k) for b, k in keyed.groupBy("_b").agg(F.max("_k")).collect())
-    before = {k: heads[(i + 1) % len(heads)][0] for i, (_, k) in enumerate(heads)}
-    return keyed, before
+        return F.when((at + step <= len(values)) & (F.get(table, at + step - 1) < F.col("_k")), at + step).otherwise(at)
+
+    # How many distinct cuts lie below an id, found by halving.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(values).bit_length()))])
+    keyed = keyed.withColumn("_i", F.aggregate(steps, F.lit(0), halved) if values else F.lit(0))
+    share = F.col("_h").cast("double") / 2.0**64 + 0.5
+    spread = lambda m: F.least(m - 1, F.floor(share * m))
+    mine = F.coalesce(F.get(table, F.col("_i")) == F.col("_k"), F.lit(False)) if values else F.lit(False)
+    known = F.get(listed(below), F.col("_i")) + F.when(mine, spread(F.get(listed(own), F.col("_i")))).otherwise(F.lit(0))
+    bucket = F.when(F.col("_known"), known).otherwise(spread(F.lit(unknown)) - unknown)
+    keyed = keyed.withColumn("_b", bucket.cast("int")).drop("_i")
+    heads = sorted((r["_b"], *r["h"]) for r in keyed.groupBy("_b").agg(F.max(F.struct("_known", "_k", "_h")).alias("h")).collect())
+    rows = [(*key, heads[(i + 1) % len(heads)][0]) for i, (_, *key) in enumerate(heads)]
+    return keyed, docs.sparkSession.createDataFrame(rows, "_known boolean, _k long, _h long, _to int")
 
 
 def with_edits(docs: DataFrame, buckets: int = 0) -> DataFrame:
     """Fingerprints of every text and of its edited text, and likenesses to that and to the next document.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
-    near_next. Documents follow each other by descending doc_id (null last, repeats by text),
-    after the last comes the first. The edited text has its last third of characters replaced
+    near_next. Documents follow each other by descending doc_id, null last, repeats of an id by a hash
+    of their texts; after the last comes the first. The edited text has its last third of characters replaced
     by the first as many of the next document's. A null text counts as empty; an empty table
     gives no rows; other columns are ignored.
 
-    Documents are dealt to buckets of neighbouring ids, so one shuffle brings every document
+    Documents are dealt to buckets of neighbours, so one shuffle brings every document
     to its next; the first row of each bucket also goes, as a marked copy, to the bucket whose
-    last row it follows.
+    last row it follows. Rows of one id that are alike to the letter are one bucket's.
     """
     spark = docs.sparkSession
     two_fingerprints = F.pandas_udf(_two_fingerprints, "struct<a:string,b:string,near:double>")
     alike = F.pandas_udf(_likeness, "double")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed, before = _bucketed(docs, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = keyed.withColumn("_copy", F.lit(False))
-    if before:
-        heads = keyed.where(F.col("_k").isin(list(before)))
-        to = F.create_map(*[F.lit(x) for k, b in before.items() for x in (k, b)])
-        heads = heads.withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy("text"))).where("_r = 1").select("doc_id", "text", "_k", F.element_at(to, F.col("_k")).alias("_b"), F.lit(True).alias("_copy"))
-        keyed = keyed.union(heads)
-    order = W.partitionBy("_b").orderBy("_copy", F.col("_k").desc(), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed, heads = _bucketed(docs, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A row for each bucket is broadcast; of rows alike any one is the first.
+    first = keyed.drop("_b").join(F.broadcast(heads), ["_known", "_k", "_h"]).groupBy("_known", "_k", "_h", "_to").agg(F.min("text").alias("text"))
+    first = first.select(F.lit(None).cast("long").alias("doc_id"), "text", "_known", "_k", "_h", F.col("_to").alias("_b"), F.lit(True).alias("_copy"))
+    keyed = keyed.withColumn("_copy", F.lit(False)).unionByName(first)
+    order = W.partitionBy("_b").orderBy("_copy", F.desc("_known"), F.desc("_k"), F.desc("_h"), "text")
     n = F.length("text")
     rows = keyed.withColumn("_next", F.lead("text").over(order)).withColumn("n_chars", n.cast("long"))
     third = F.floor(n / 3).cast("int")
