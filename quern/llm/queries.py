@@ -21,44 +21,54 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records in stored ZIP members, and read back: what each record says."""
     return warc_zip.archived(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every text repeats an earlier 100-byte string, and the digest of what stays."""
     return bwt_dedup.without_repeats(_documents(spark, sf_dir))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text and its edited text, and their likenesses."""
     return fingerprints.with_edits(_documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every text, learned from labels that aren't held out."""
     return toxicity.scored(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document, and its first slot."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text, by prefix counts of its words."""
     return bpe.token_counts(_documents(spark, sf_dir), tokenizer_path())
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of their decoding."""
     return bpe.encoded_digests(_documents(spark, sf_dir), tokenizer_path())
 
 
 def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every text because its paragraph or passage repeats, or nearly does."""
     rows = paragraphs.without_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_removed", "removed_words", "removed_bytes", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts that every row is in, and whether it stays."""
     rows = _documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.with_groups(rows).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies that every document is in."""
     return order_minhash.near_classes(_documents(spark, sf_dir))
 
 
