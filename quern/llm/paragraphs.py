@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,12 +62,12 @@ def units(counts: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def _table(docs: DataFrame, k: int, least_words: int) -> DataFrame:
-    """(node, doc_id, version, a, b, n, s1, s2, keys, text) of all paragraphs.
+    """(node, doc_id, version, a, b, wa, wb, n, s1, s2, keys, text) of all paragraphs: lines a to b, words wa to wb.
 
     node numbers the rows of a task, below the number of the task; written once and read from
     there, it is unique whatever doc_id is.
     """
-    kinds = {"node": pa.int64(), "doc_id": pa.int64(), "version": pa.int64(), "a": pa.int32(), "b": pa.int32(), "n": pa.int32(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "text": pa.string()}
+    kinds = {"node": pa.int64(), "doc_id": pa.int64(), "version": pa.int64(), "a": pa.int32(), "b": pa.int32(), "wa": pa.int32(), "wb": pa.int32(), "n": pa.int32(), "s1": pa.int64(), "s2": pa.int64(), "keys": pa.list_(pa.int64()), "text": pa.string()}
     fields = pa.schema(list(kinds.items()))
 
     def over(batches):
@@ -77,22 +79,24 @@ def _table(docs: DataFrame, k: int, least_words: int) -> DataFrame:
             found = []
             for i, version, text in block:
                 lines = text.split("\n")
-                found += [(i, version, a, b, "\n".join(lines[a:b])) for a, b in units([len(x.encode().split()) for x in lines], least_words)]
+                counts = [len(x.encode().split()) for x in lines]
+                ends = [0, *accumulate(counts)]
+                found += [(i, version, a, b, ends[a], ends[b], "\n".join(lines[a:b])) for a, b in units(counts, least_words)]
             if not found:
                 continue
-            ids, versions, a, b, texts = zip(*found)
+            ids, versions, a, b, wa, wb, texts = zip(*found)
             _, n, sig, keys = banded(list(texts), k)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(key_of(keys).ravel()))
-            columns = (np.arange(number, number + len(found)) + base, ids, versions, a, b, n.astype(np.int32), key_of(sig[:, 0].copy()), key_of(sig[:, 1].copy()), listed, texts)
+            columns = (np.arange(number, number + len(found)) + base, ids, versions, a, b, wa, wb, n.astype(np.int32), key_of(sig[:, 0].copy()), key_of(sig[:, 1].copy()), listed, texts)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values())], schema=fields)
             number += len(found)
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(over, "node long, doc_id long, version long, a int, b int, n int, s1 long, s2 long, keys array<long>, text string")
+    return rows.mapInArrow(over, "node long, doc_id long, version long, a int, b int, wa int, wb int, n int, s1 long, s2 long, keys array<long>, text string")
 
 
 def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 20) -> DataFrame:
-    """(doc_id, version, a, b, kept_doc_id, kept_version, kept_a): lines [a, b) that repeat an earlier paragraph, and that one.
+    """(doc_id, version, a, b, wa, wb, kept_doc_id, kept_version, kept_a): lines [a, b), words [wa, wb), that repeat an earlier paragraph, and that one.
 
     Paragraphs are lines of least_words words or more, with the shorter ones before them (see
     `units`). Two are linked if their k-word shingles have a Jaccard index of `least` or
@@ -107,9 +111,9 @@ def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int =
     alone = table.select("node", "keys").join(same.select(F.col("u").alias("node")), "node", "left_anti")
     members = alone.select("node", F.explode("keys").alias("key"))
     roots = similar(members, table.select("node", "text"), k, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
-    placed = table.select("node", "b", F.struct("doc_id", "version", "a").alias("place")).join(roots, "node").select("root", "place", "b")
+    placed = table.select("node", "b", "wa", "wb", F.struct("doc_id", "version", "a").alias("place")).join(roots, "node").select("root", "place", "b", "wa", "wb")
     met = with_leader(placed, ["root"], "place").where("place <> leader")
-    out = materialise(met.select("place.*", "b", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")]), "removals")
+    out = materialise(met.select("place.*", "b", "wa", "wb", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")]), "removals")
     drop(table, same)
     return out
 
@@ -125,11 +129,14 @@ def without_repeats(docs: DataFrame, k: int = 5, least: float = 0.8, least_words
     made = ("n_removed", "removed_words", "removed_bytes")
     rest = [c for c in docs.columns if c not in made]
     at = rest.index("text")
-    part = lambda rows, lines: rows.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), F.lit(lines).alias("lines"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    part = lambda rows, lines: rows.select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"), F.lit(lines).alias("lines"), *(F.col(c).cast("long").alias(as_) for as_, c in (("a", "a"), ("b", "b"), ("wa", "wa" if lines else "a"), ("wb", "wb" if lines else "b"))))
     removed = removals(docs, k, least, least_words)
     found = materialise(passage_runs(passage_rows(docs)), "passage-runs")
-    gone = part(removed, True).union(part(repeated_spans(docs, found), False)).union(part(near_spans(docs, found, least), False))
-    gone = gone.groupBy("gone_id", "gone_version").agg(F.collect_set(F.struct("lines", "a", "b")).alias("gone"))
+    gone = part(removed, True).union(part(repeated_spans(docs, found), False))
+    listed = lambda rows: rows.groupBy("gone_id", "gone_version").agg(F.collect_set(F.struct("lines", "a", "b", "wa", "wb")).alias("gone"))
+    first = materialise(listed(gone), "gone")
+    near = part(near_spans(docs, found, least, first), False)
+    gone = listed(first.select("gone_id", "gone_version", F.explode("gone").alias("g")).select("gone_id", "gone_version", "g.*").union(near))
     rows = docs.select(*[(F.coalesce(F.col(c), F.lit("")) if c == "text" else F.col(c)).alias(f"c{i}") for i, c in enumerate(rest)])
     rows = rows.join(gone, (F.col(f"c{rest.index('doc_id')}") == F.col("gone_id")) & (F.xxhash64(f"c{at}") == F.col("gone_version")), "left")
     rows = rows.select(*[f"c{i}" for i in range(len(rest))], "gone")

@@ -23,6 +23,8 @@ LENGTH, K = 50, 5
 SIDE = 12
 #: Where the MinHash stands in the windows around it that are compared.
 PLACES = (0, 11, 22, 33, 45)
+#: Words of the pieces, besides those SIDE words, of which one must be equal too, at about.
+PIECE = 11
 #: Words beside the MinHash's shingle that a window has at least on one of its sides.
 HALF = (LENGTH - K + 1) // 2
 BLOCK = 1 << 20
@@ -145,42 +147,97 @@ def passage_runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_found, "context long, left long, right long, before long, after long, doc_id long, version long, start int, number int, at int, inner boolean")
 
 
+def pieces(place: int, after: bool) -> list[tuple[int, int]]:
+    """The pieces of a window with its MinHash at `place` that the words on the side looked at do not cover.
+
+    A change of a word is in one of them at most, or in two at the ends; of three or more one stays.
+    """
+    lo, hi = (place, min(LENGTH, place + K + SIDE)) if after else (max(0, place - SIDE), place + K)
+    out = []
+    for a, b in ((0, lo), (hi, LENGTH)):
+        n = round((b - a) / PIECE)
+        out += [(a + (b - a) * j // n, a + (b - a) * (j + 1) // n) for j in range(n)]
+    return out
+
+
 def _around(batches):
     """(node, doc_id, version, a, s1, s2, keys, text) of the windows around the places of each text.
 
-    keys are those by which the MinHash at that place was met, each for windows that have it at the same place alone.
+    A key is the MinHash's side, its place in the window and one piece of the window's other words.
     """
     from pyspark import TaskContext
 
     context, number = TaskContext.get(), 0
     base = (context.partitionId() if context else 0) << 36
     names = ["node", "doc_id", "version", "a", "s1", "s2", "keys", "text"]
+    # Halves are told apart by their last bit: 1 for the words before a MinHash.
+    parts = {(i, side): pieces(place, not side) for i, place in enumerate(PLACES) for side in (0, 1)}
     for block in blocks(batches):
         texts = [t.encode() for _, _, t, _ in block]
         h, counts = word_hashes([t.lower().encode() for _, _, t, _ in block])
         begins = np.cumsum(counts) - counts
-        at, own, keys = [], [], []
+        at, own, window, seeds, spans = [], [], [], [], []
         for k, row in enumerate(block):
-            met: dict[int, set[int]] = {}
+            met: dict[int, int] = {}
             for seed in row[3]:
                 for i, place in enumerate(PLACES):
-                    if 0 <= seed["at"] - place <= counts[k] - LENGTH:
-                        met.setdefault(seed["at"] - place, set()).add((seed["key"] * 8 + i) % (1 << 64))
-            at += met
-            own += [k] * len(met)
-            keys += [list(v) for v in met.values()]
+                    a = seed["at"] - place
+                    if 0 <= a <= counts[k] - LENGTH:
+                        if a not in met:
+                            met[a] = len(at)
+                            at.append(a)
+                            own.append(k)
+                        for span in parts[i, seed["key"] & 1]:
+                            window.append(met[a])
+                            seeds.append((seed["key"] * 8 + i) % (1 << 64))
+                            spans.append(span)
         if not at:
             continue
-        start = np.array(at, np.int64) + begins[own]
+        start, window, spans = np.array(at, np.int64) + begins[own], np.array(window), np.array(spans, np.int64)
         s1, s2 = _hashes(h, start, start + LENGTH)
+        piece = _hashes(h, start[window] + spans[:, 0], start[window] + spans[:, 1])[0].view(np.uint64)
+        keys = key_of(mix(np.array(seeds, np.uint64) ^ mix(piece + spans[:, 0].astype(np.uint64) * U(0x9FB21C651E98DF25))))
+        order = np.lexsort((keys, window))
+        keys, window = keys[order], window[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (window[1:] != window[:-1])
+        listed = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(window[new], minlength=len(at)))]).astype(np.int32), pa.array(keys[new]))
         bounds = {k: word_bounds(texts[k]) for k in set(own)}
         shown = [texts[k][bounds[k][0][a] : bounds[k][1][a + LENGTH - 1]].decode() for k, a in zip(own, at)]
-        listed = pa.array([key_of(mix(np.array(v, np.uint64))).tolist() for v in keys], pa.list_(pa.int64()))
         ids, versions = np.array([x[0] for x in block], np.int64)[own], np.array([x[1] for x in block], np.int64)[own]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(at)) + base), pa.array(ids), pa.array(versions), pa.array(at, pa.int32()), pa.array(s1), pa.array(s2), listed, pa.array(shown)], names=names)
         number += len(at)
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each element of lists of structs, and the elements' fields."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), [f.to_numpy(zero_copy_only=False).astype(np.int64) for f in lists.flatten().flatten()]
+
+
+def _left(batches):
+    """(doc_id, version, at, key) of each text's MinHashes, by either side, but for those whose words go anyhow."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            b = batch.slice(k, 256)
+            own, (at, before, after) = _flat(b.column(2))
+            of, (wa, wb) = _flat(b.column(3))
+            sizes = np.zeros(b.num_rows, np.int64)
+            np.maximum.at(sizes, own, at + K)
+            np.maximum.at(sizes, of, wb)
+            base = np.cumsum(sizes + 1) - sizes - 1
+            step = np.zeros(int((sizes + 1).sum()) + 1, np.int64)
+            np.add.at(step, base[of] + wa, 1)
+            np.add.at(step, base[of] + wb, -1)
+            # How many words stay before each word.
+            stay = np.concatenate([[0], np.cumsum(np.cumsum(step) <= 0)])
+            left = stay[base[own] + at + K] > stay[base[own] + at]
+            ids, versions = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for key in (before, after):
+                some = left & (key != 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own[some]]), pa.array(versions[own[some]]), pa.array(at[some].astype(np.int32)), pa.array(key[some])], names=["doc_id", "version", "at", "key"])
+
+
 def _framed(batches):
     """(doc_id, version, a) of windows that begin and end with a shingle that the leader of their cluster has too."""
     for b in batches:
@@ -192,25 +249,33 @@ def _framed(batches):
         yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)], names=["doc_id", "version", "a"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0.8) -> DataFrame:
+def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0.8, gone: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, a, b): windows of LENGTH words that are near an earlier one, by an exact Jaccard index of `least` or more.
 
     Runs whose MinHash has SIDE equal words on one side are candidates: of two windows that near
     each other one word in nine shingles differs at most, so words on one side of a
     MinHash stay the same. Windows around such a MinHash, at each of PLACES, are compared where they
-    have it at one place, and clustered; of each cluster the first stays, and of the others those go that begin and end as
-    some of it does, so that no window reaches over the end of a passage. Runs that repeat as a whole are left out.
+    have it at one place and one more piece is equal, and clustered; of each cluster the first stays, and of the others those go that begin and end as
+    some of it does, so that no window reaches over the end of a passage. Runs that repeat as a whole are left out, and so
+    is what goes anyhow by gone (gone_id, gone_version, gone: words from wa to wb): what it repeats is there earlier.
     """
     rows = passage_rows(docs)
     found = materialise(passage_runs(rows), "passage-runs") if found is None else found
     again = found.where("not inner").groupBy("context").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last").drop("_last")
     seeds = found.where("not inner").join(materialise(again, "whole-runs"), "context", "left").where("_first is null or doc_id = _first")
-    seeds = seeds.select("doc_id", "version", "at", F.explode(F.array("before", "after")).alias("key")).where("key <> 0")
+    seeds = seeds.groupBy("doc_id", "version").agg(F.collect_list(F.struct("at", "before", "after")).alias("_found"))
+    if gone is None:
+        seeds = seeds.withColumn("gone", F.lit(None).cast("array<struct<wa:bigint,wb:bigint>>"))
+    else:
+        seeds = seeds.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("version") == F.col("gone_version")), "left")
+    words = F.transform("gone", lambda g: F.struct(g["wa"].alias("wa"), g["wb"].alias("wb")))
+    seeds = seeds.select("doc_id", "version", "_found", words.alias("gone")).mapInArrow(_left, "doc_id long, version long, at int, key long")
+    seeds = materialise(seeds, "seeds")
     place = F.struct("doc_id", "version", "at")
     met = seeds.groupBy("key").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo < _hi").select("key")
-    seeds = seeds.join(materialise(met, "seed-keys"), "key").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "key")).alias("_seeds"))
-    seeds = materialise(seeds, "seeds")
-    texts = rows_of(rows, seeds.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "version"]).join(seeds, ["doc_id", "version"])
+    met = seeds.join(materialise(met, "seed-keys"), "key").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "key")).alias("_seeds"))
+    met = materialise(met, "met-seeds")
+    texts = rows_of(rows, met.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id", "version"]).join(met, ["doc_id", "version"])
     windows = texts.select("doc_id", "version", "text", "_seeds").mapInArrow(_around, "node long, doc_id long, version long, a int, s1 long, s2 long, keys array<long>, text string")
     windows = materialise(windows, "near-windows")
     same = with_leader(windows.select("node", "s1", "s2"), ["s1", "s2"]).where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
@@ -224,7 +289,7 @@ def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0
     told = later.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("first")), "leader").select("doc_id", "version", "a", "text", "first")
     out = told.mapInArrow(_framed, "doc_id long, version long, a int")
     out = materialise(out.select("doc_id", "version", "a", (F.col("a") + LENGTH).alias("b")), "near-spans")
-    drop(seeds, windows, same)
+    drop(seeds, met, windows, same)
     return out
 
 
