@@ -63,20 +63,20 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 40) -
     component. Edges with a null end are ignored, loops and repeats are harmless. Each round
     is two shuffled joins of the edges with the least neighbour of a node; minima combine
     before their shuffle, and both join inputs are plain exchanges, so AQE can split a hot
-    node. Nothing but one checksum a round reaches the driver.
+    node. It ends when every node that has a lesser neighbour has no other one. Nothing but
+    one row a round reaches the driver.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     nodes = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
     now = materialise(nodes.where("a <> b").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == seen:
-            break
-        seen = mark
         # Large star: every neighbour above a node is linked to the least of its neighbourhood.
         both = now.union(now.select("b", "a"))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "large")
+        ends = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("_most"))
+        least = materialise(ends.select(F.col("a").alias("n"), F.least("a", "m").alias("m"), ((F.col("m") < F.col("a")) & (F.col("m") < F.col("_most"))).alias("moves")), "large")
+        if least.where("moves").isEmpty():
+            drop(least)
+            break
         large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, now = (now, least), materialise(large.distinct(), "edges")
         drop(*old)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, drop, materialise
-from .shingles import Prepared, common_counts, distance, jaccard_distance, prepared
+from .shingles import Prepared, common_counts, distance, jaccard_distance, jaccard_distances, prepared
 
 #: Ids that are broadcast at most (16 bytes each in the executors); more are shuffled.
 BROADCAST_IDS = 1 << 20
@@ -36,6 +36,17 @@ def with_leader(rows: DataFrame, keys: list[str], value: str = "node") -> DataFr
     return rows.join(materialise(least, "leaders"), keys)
 
 
+def _buckets(members: DataFrame) -> DataFrame:
+    """(key, node, leader) of nodes that share a key, none twice; of keys with the same nodes only the least.
+
+    Near copies share most of their bands, and the same nodes need to be compared once. Sets are
+    told apart by their least node, size and hashes.
+    """
+    sets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("_nodes")).where("members > 1")
+    once = sets.groupBy("leader", "members", "_nodes").agg(F.min("key").alias("key")).select("key", "leader")
+    return members.join(materialise(once, "leaders"), "key").select("key", "node", "leader")
+
+
 def rows_of(rows: DataFrame, ids: DataFrame, node: str = "node") -> DataFrame:
     """The rows with one of the distinct ids: by broadcast while their number is within BROADCAST_IDS."""
     few = ids.count() <= BROADCAST_IDS
@@ -64,11 +75,18 @@ def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame
                             texts[node] = b.column(column)[to].as_py() or ""
                             size += len(texts[node])
                     to += 1
+                if not ordered:
+                    index = {node: i for i, node in enumerate(texts)}
+                    got = jaccard_distances(list(texts.values()), [index[x] for x in u[at:to]], [index[y] for y in v[at:to]], k)
+                    j += got.tolist()
+                    d += np.minimum(upto, got).tolist()
+                    at = to
+                    continue
                 ready = dict(zip(texts, prepared(list(texts.values()), k)))
                 for x, y in zip(u[at:to], v[at:to]):
                     px, py = ready[x], ready[y]
                     j.append(jaccard_distance(px, py))
-                    d.append(min(upto, distance(px, py, True, upto) if ordered and j[-1] <= upto else j[-1]))
+                    d.append(min(upto, distance(px, py, True, upto) if j[-1] <= upto else j[-1]))
                 at = to
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(j, pa.float64())], names=["u", "v", "d", "j"])
 
@@ -76,7 +94,7 @@ def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame
 
 
 def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
-    """Links between the members of a block, or of two blocks, that aren't connected otherwise.
+    """Links (u, v) of components with near members in a block, or in two blocks, that aren't connected otherwise.
 
     The Jaccard indices of all pairs come from one product of matrices; only pairs near enough by
     it are aligned, unless they are connected already, none of them is open, or their
@@ -109,7 +127,7 @@ def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
             x, y = find(comps[i]), find(comps[j])
             if x != y and distance(ready[nodes[i]], ready[nodes[j]], ordered, far) <= far + 1e-12:
                 root[max(x, y)] = min(x, y)
-                out.append((nodes[i], nodes[j]))
+                out.append((comps[i], comps[j]))
         return out
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +160,16 @@ def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
     return over
 
 
-def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least: float, known: DataFrame | None = None) -> DataFrame:
+def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least: float, known: DataFrame | None = None, once: bool = False) -> DataFrame:
     """(node, root) of all nodes that have a link of similarity `least` or more to another node.
 
     members: (node, key, n), n the number of shingles; texts: (node, text). known: links that
     are already certain, (u, v). A link is looked for between any two nodes that share a key.
+    once: no node has a key twice, so keys with the same nodes can be told, and count once.
     """
     far = 1 - least
-    led = materialise(with_leader(members, ["key"]).select("key", "node", "leader"), "buckets")
+    led = _buckets(members) if once else with_leader(members, ["key"]).select("key", "node", "leader")
+    led = materialise(led, "buckets")
     pairs = led.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
@@ -174,7 +194,8 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     left = materialise(left.select("key", "node", "comp", "d", "j", "open"), "left")
     # An open member far from all others' leader and alone in its bucket has nothing to meet.
     drop(led, pairs, ids, seen)
-    size = left.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").withColumn("_nb", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    # And members of one component are connected already.
+    size = left.groupBy("key").agg(F.count("*").alias("_m"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key", "_m").withColumn("_nb", F.ceil(F.col("_m") / BLOCK).cast("int"))
     if size.isEmpty():
         drop(part, left, met)
         return roots
@@ -186,8 +207,12 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     more = with_text.mapInArrow(_exhaustive(k, ordered, least), "u bigint, v bigint")
     more = materialise(more, "more-links")
     drop(part, left)
-    # Links among the components so far, and the new ones, have the same components as all links.
-    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)) if not more.isEmpty() else roots
+    if more.isEmpty():
+        return roots
+    # The new links are of components by their least nodes, or of nodes that had no link: these are joined to larger ones.
+    joined = materialise(components(more), "joined")
+    whole = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("_joined")), "root", "left").select("node", F.coalesce("_joined", "root").alias("root"))
+    return whole.union(joined.join(roots.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def key_of(parts: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import drop, materialise
 from .near import key_of, similar, with_leader
 from .passages import blocks, cut, near_spans, passage_rows, passage_runs, repeated_spans
-from .shingles import U, labelled, mix, shingles, word_hashes
+from .shingles import U, labelled, line_counts, mix, shingles, word_hashes
 
 #: A pair of Jaccard index s agrees in a band with 1 - (1 - s**ROWS)**BANDS: 0.997 at 0.8. Recall is bought with candidates, which are verified.
 BANDS, ROWS = 8, 3
@@ -20,9 +20,8 @@ BANDS, ROWS = 8, 3
 ROW_BITS = 36
 
 
-def banded(paragraphs: list[str], k: int, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, shingles, signature, keys) of each paragraph, all having words."""
-    h, counts = word_hashes([p.lower().encode() for p in paragraphs])
+def banded(h: np.ndarray, counts: np.ndarray, k: int, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, signature, keys) of each paragraph of counts words, all having words; h are the words' hashes."""
     s, n = shingles(h, counts, k)
     x = labelled(s, n)
     starts = np.cumsum(n) - n
@@ -38,7 +37,7 @@ def banded(paragraphs: list[str], k: int, bands: int = BANDS, rows: int = ROWS)
     first = np.cumsum(counts) - counts
     place = np.arange(len(h), dtype=np.uint64) - np.repeat(first, counts).astype(np.uint64) + U(1)
     signature = np.stack([np.add.reduceat(mix(h + place * U(0xC2B2AE3D27D4EB4F)), first), np.add.reduceat(mix(h ^ mix(place)), first)], axis=1)
-    return counts, n, signature, keys
+    return n, signature, keys
 
 
 def units(counts: list[int], least: int) -> list[tuple[int, int]]:
@@ -76,16 +75,18 @@ def _table(docs: DataFrame, k: int, least_words: int) -> DataFrame:
         context, number = TaskContext.get(), 0
         base = (context.partitionId() if context else 0) << ROW_BITS
         for block in blocks(batches):
-            found = []
+            found, lowered = [], [text.lower().encode() for _, _, text in block]
+            words, to = line_counts(lowered).tolist(), 0
             for i, version, text in block:
                 lines = text.split("\n")
-                counts = [len(x.encode().split()) for x in lines]
+                counts, to = words[to : to + len(lines)], to + len(lines)
                 ends = [0, *accumulate(counts)]
                 found += [(i, version, a, b, ends[a], ends[b], "\n".join(lines[a:b])) for a, b in units(counts, least_words)]
             if not found:
                 continue
             ids, versions, a, b, wa, wb, texts = zip(*found)
-            _, n, sig, keys = banded(list(texts), k)
+            # Every word of a text is in one of its paragraphs.
+            n, sig, keys = banded(word_hashes(lowered)[0], np.subtract(wb, wa), k)
             listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(key_of(keys).ravel()))
             columns = (np.arange(number, number + len(found)) + base, ids, versions, a, b, wa, wb, n.astype(np.int32), key_of(sig[:, 0].copy()), key_of(sig[:, 1].copy()), listed, texts)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds.values())], schema=fields)
@@ -110,7 +111,7 @@ def removals(docs: DataFrame, k: int = 5, least: float = 0.8, least_words: int =
     same = materialise(same, "same")
     alone = table.select("node", "keys").join(same.select(F.col("u").alias("node")), "node", "left_anti")
     members = alone.select("node", F.explode("keys").alias("key"))
-    roots = similar(members, table.select("node", "text"), k, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
+    roots = similar(members, table.select("node", "text"), k, False, least, same, once=True).groupBy("node").agg(F.min("root").alias("root"))
     placed = table.select("node", "b", "wa", "wb", F.struct("doc_id", "version", "a").alias("place")).join(roots, "node").select("root", "place", "b", "wa", "wb")
     met = with_leader(placed, ["root"], "place").where("place <> leader")
     out = materialise(met.select("place.*", "b", "wa", "wb", *[F.col(f"leader.{c}").alias(f"kept_{c}") for c in ("doc_id", "version", "a")]), "removals")

@@ -27,7 +27,8 @@ PLACES = (0, 11, 22, 33, 45)
 PIECE = 11
 #: Words beside the MinHash's shingle that a window has at least on one of its sides.
 HALF = (LENGTH - K + 1) // 2
-BLOCK = 1 << 20
+#: Characters of texts that are hashed together, so few that the arrays stay in a processor's caches.
+BLOCK = 1 << 18
 
 
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def runs(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def blocks(batches):
-    """(doc_id, version, text, rest of the columns) of rows, some MB of texts at a time."""
+    """(doc_id, version, text, rest of the columns) of rows, BLOCK characters of texts at a time."""
     block, size = [], 0
     for b in batches:
         rest = [b.column(i).to_pylist() for i in range(3, b.num_columns)]
@@ -142,6 +143,15 @@ def passage_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
 
+def joined(spans: DataFrame) -> DataFrame:
+    """(doc_id, version, a, b) with the union of spans of LENGTH words or more, in fewer rows.
+
+    Spans of a text that begin within LENGTH words of each other leave no gap between them.
+    """
+    near = F.floor(F.col("a") / LENGTH).cast("int").alias("_near")
+    return spans.groupBy("doc_id", "version", near).agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_near")
+
+
 def passage_runs(rows: DataFrame) -> DataFrame:
     """The runs of all texts of rows (doc_id, version, text), see `_found`."""
     return rows.mapInArrow(_found, "context long, left long, right long, before long, after long, doc_id long, version long, start int, number int, at int, inner boolean")
@@ -240,13 +250,18 @@ def _left(batches):
 
 def _framed(batches):
     """(doc_id, version, a) of windows that begin and end with a shingle that the leader of their cluster has too."""
-    for b in batches:
-        texts = [t.as_py().lower().encode() for column in (3, 4) for t in b.column(column)]
-        s, n = shingles(*word_hashes(texts), K)
-        ends = np.cumsum(n)
-        begins, half = ends - n, b.num_rows
-        keep = [bool(np.isin([s[begins[i]], s[ends[i] - 1]], s[begins[i + half] : ends[i + half]]).all()) for i in range(half)]
-        yield pa.RecordBatch.from_arrays([b.column(k) for k in range(3)], names=["doc_id", "version", "a"]).filter(pa.array(keep, pa.bool_()))
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2048):
+            b = batch.slice(k, 2048)
+            texts = [t.lower().encode() for column in (3, 4) for t in b.column(column).to_pylist()]
+            s, n = shingles(*word_hashes(texts), K)
+            ends, half = np.cumsum(n), b.num_rows
+            begins = ends - n
+            led, at = s[begins[half] :], begins[half:] - begins[half]
+            keep = np.ones(half, bool)
+            for edge in (s[begins[:half]], s[ends[:half] - 1]):
+                keep &= np.logical_or.reduceat(led == np.repeat(edge, n[half:]), at)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(3)], names=["doc_id", "version", "a"]).filter(pa.array(keep))
 
 
 def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0.8, gone: DataFrame | None = None) -> DataFrame:
@@ -271,7 +286,8 @@ def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0
     words = F.transform("gone", lambda g: F.struct(g["wa"].alias("wa"), g["wb"].alias("wb")))
     seeds = seeds.select("doc_id", "version", "_found", words.alias("gone")).mapInArrow(_left, "doc_id long, version long, at int, key long")
     seeds = materialise(seeds, "seeds")
-    place = F.struct("doc_id", "version", "at")
+    # Places by their hash: numbers are aggregated without a sort.
+    place = F.xxhash64("doc_id", "version", "at")
     met = seeds.groupBy("key").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).where("_lo < _hi").select("key")
     met = seeds.join(materialise(met, "seed-keys"), "key").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "key")).alias("_seeds"))
     met = materialise(met, "met-seeds")
@@ -280,15 +296,15 @@ def near_spans(docs: DataFrame, found: DataFrame | None = None, least: float = 0
     windows = materialise(windows, "near-windows")
     same = with_leader(windows.select("node", "s1", "s2"), ["s1", "s2"]).where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
     same = materialise(same, "same-windows")
-    members = windows.select("node", F.explode("keys").alias("key")).join(same.select(F.col("u").alias("node")), "node", "left_anti")
-    roots = similar(members, windows.select("node", "text"), K, False, least, same).groupBy("node").agg(F.min("root").alias("root"))
+    members = windows.select("node", "keys").join(same.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.explode("keys").alias("key"))
+    roots = similar(members, windows.select("node", "text"), K, False, least, same, once=True).groupBy("node").agg(F.min("root").alias("root"))
     placed = windows.select("node", F.struct("doc_id", "version", "a", "node").alias("place")).join(roots, "node").select("root", "place")
     later = with_leader(placed, ["root"], "place").where("place.doc_id > leader.doc_id or place.doc_id = leader.doc_id and place.version = leader.version and place.a > leader.a")
     later = later.select("place.doc_id", "place.version", "place.a", F.col("place.node").alias("node"), F.col("leader.node").alias("leader"))
     texts = windows.select("node", "text")
     told = later.join(texts, "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("first")), "leader").select("doc_id", "version", "a", "text", "first")
     out = told.mapInArrow(_framed, "doc_id long, version long, a int")
-    out = materialise(out.select("doc_id", "version", "a", (F.col("a") + LENGTH).alias("b")), "near-spans")
+    out = materialise(joined(out.select("doc_id", "version", "a", (F.col("a") + LENGTH).alias("b"))), "near-spans")
     drop(seeds, met, windows, same)
     return out
 
@@ -325,7 +341,7 @@ def repeated_spans(docs: DataFrame, found: DataFrame | None = None) -> DataFrame
     later = outer.join(least, ["h1", "h2"]).where("doc_id > _first")
     span = lambda df, n: df.select("doc_id", "version", F.col("start").alias("a"), (F.col("start") + n + LENGTH - 1).alias("b"))
     whole = span(found.where("inner"), F.col("number")).union(span(told.where("sure"), F.col("number")))
-    return whole.union(span(later, F.lit(1))).union(span(windows.where("inner"), F.lit(1)))
+    return joined(whole.union(span(later, F.lit(1))).union(span(windows.where("inner"), F.lit(1))))
 
 
 def cut(text: str, gone: set[int], spans: list[tuple[int, int]]) -> tuple[str, int, int, int]:
@@ -336,28 +352,31 @@ def cut(text: str, gone: set[int], spans: list[tuple[int, int]]) -> tuple[str, i
     """
     if not gone and not spans:
         return text, 0, 0, 0
-    lines = text.split("\n")
-    kept, hit, lost, at = [], 0, 0, 0
-    total = sum(len(word_bounds(x.encode())[0]) for x in lines) if spans else 0
-    drop = np.zeros(total + 1, bool)
+    # Every line with a line feed, the last one too, which goes at the end.
+    raw = text.encode() + b"\n"
+    starts, ends = word_bounds(raw)
+    line_ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
+    line_starts = np.concatenate([[0], line_ends[:-1]])
+    first = np.searchsorted(starts, np.append(line_starts, len(raw)))
+    counts = np.diff(first)
+    drop = np.zeros(len(starts) + 1, bool)
     for a, b in spans:
         drop[a:b] = True
-    for i, line in enumerate(lines):
-        raw = line.encode()
-        starts, ends = word_bounds(raw)
-        mine = drop[at : at + len(starts)] if spans else np.zeros(len(starts), bool)
-        at += len(starts)
-        if i in gone or (len(mine) and mine.all()):
-            hit, lost = hit + 1, lost + len(starts)
-        elif not mine.any():
-            kept.append(line)
-        else:
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], mine, [False]]).astype(np.int8)))
-            left, place = [], 0
-            for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist()):
-                left.append(raw[place : starts[a]])
-                place = ends[b - 1]
-            kept.append(b"".join([*left, raw[place:]]).decode())
-            hit, lost = hit + 1, lost + int(mine.sum())
-    left = "\n".join(kept)
-    return left, hit, lost, len(text.encode()) - len(left.encode())
+    drop = drop[: len(starts)]
+    mine = np.diff(np.concatenate([[0], np.cumsum(drop)])[first])
+    whole = (counts > 0) & (mine == counts)
+    whole[[i for i in gone if i < len(whole)]] = True
+    part = ~whole & (mine > 0)
+    line = np.repeat(np.arange(len(counts)), counts)
+    out = np.flatnonzero(drop & part[line])
+    # Words that follow each other in one line go with the white space between them.
+    new = np.ones(len(out) + 1, bool)
+    new[1:-1] = (out[1:] != out[:-1] + 1) | (line[out[1:]] != line[out[:-1]])
+    cuts = np.concatenate([np.stack([line_starts[whole], line_ends[whole]], 1), np.stack([starts[out[new[:-1]]], ends[out[new[1:]]]], 1)])
+    kept, at = [], 0
+    for a, b in cuts[np.argsort(cuts[:, 0])].tolist():
+        kept.append(raw[at:a])
+        at = b
+    kept.append(raw[at:])
+    left = b"".join(kept)[:-1]
+    return left.decode(), int(whole.sum() + part.sum()), int(counts[whole].sum() + mine[part].sum()), len(raw) - 1 - len(left)

@@ -15,9 +15,12 @@ _powers: dict[str, np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (the finalizer of SplitMix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,39 +42,65 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     p, q = _power(len(buf))
-    prefix = np.concatenate([[U(0)], np.cumsum((buf.astype(np.uint64) + U(1)) * p)])
+    x, prefix = buf.astype(np.uint64), np.zeros(len(buf) + 1, np.uint64)
+    x += U(1)
+    x *= p
+    np.cumsum(x, out=prefix[1:])
     h = mix((prefix[ends] - prefix[starts]) * q[starts])
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, bounds)
     return h, np.diff(np.concatenate([[0], upto]))
 
 
+def line_counts(texts: list[bytes]) -> np.ndarray:
+    """How many words each line of all texts has."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    starts = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[buf]])))[0::2]
+    return np.diff(np.searchsorted(starts, np.flatnonzero(buf == 10)), prepend=0)
+
+
 def shingles(h: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of k words within each text; a text of 1 to k-1 words has one shingle of all of them."""
     n = np.where(counts > 0, np.maximum(1, counts - k + 1), 0)
     starts = np.repeat(np.cumsum(counts) - counts, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    stop = np.repeat(np.cumsum(counts), n)
-    s = np.zeros(len(starts), np.uint64)
     padded = np.concatenate([h, np.zeros(k, np.uint64)])
+    s = np.zeros(len(h), np.uint64)
     for j in range(k):
-        s = s * U(0xD6E8FEB86659FD93) + np.where(starts + j < stop, padded[starts + j], U(j + 1))
+        s = s * U(0xD6E8FEB86659FD93) + padded[j : j + len(h)]
+    s = s[starts]
+    # What is short of k words is filled up with numbers.
+    short = np.flatnonzero(np.repeat(counts < k, n))
+    if len(short):
+        few, words = starts[short], np.repeat(counts, n)[short]
+        s[short] = 0
+        for j in range(k):
+            s[short] = s[short] * U(0xD6E8FEB86659FD93) + np.where(j < words, padded[few + j], U(j + 1))
     return mix(s), n
 
 
 def labelled(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Shingles hashed with their number of occurrence in their text, so that each is unique there."""
-    owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    order = np.lexsort((s, owner))
-    so, oo = s[order], owner[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (so[1:] != so[:-1]) | (oo[1:] != oo[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-    nth = np.empty(len(s), np.uint64)
-    nth[order] = (np.arange(len(s)) - first).astype(np.uint64)
-    return np.where(nth == 0, s, mix(s + nth * U(0xA24BAED4963EE407)))
+    # Few stand more than once in all texts; only those are sorted by text and place.
+    order = np.argsort(s)
+    same = s[order][1:] == s[order][:-1]
+    hit = np.zeros(len(s), bool)
+    hit[order[1:][same]] = hit[order[:-1][same]] = True
+    some = np.flatnonzero(hit)
+    out = s.copy()
+    if not len(some):
+        return out
+    owner = np.repeat(np.arange(len(n)), n)[some]
+    order = np.lexsort((s[some], owner))
+    some, owner = some[order], owner[order]
+    so, new = s[some], np.ones(len(some), bool)
+    new[1:] = (so[1:] != so[:-1]) | (owner[1:] != owner[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))
+    nth = (np.arange(len(some)) - first).astype(np.uint64)
+    out[some] = np.where(nth == 0, so, mix(so + nth * U(0xA24BAED4963EE407)))
+    return out
 
 
 class Prepared:
@@ -115,6 +144,7 @@ def common_counts(one: list[Prepared], other: list[Prepared], columns: int = 819
         hit = (at < len(both)) & (both[np.minimum(at, max(0, len(both) - 1))] == x) if len(both) else np.zeros(len(x), bool)
         order = np.argsort(at[hit], kind="stable")
         placed.append((at[hit][order], owner[hit][order]))
+    columns = min(columns, max(1, len(both)))
     for lo in range(0, len(both), columns):
         parts = []
         for (at, owner), ready in zip(placed, (one, other)):
@@ -173,3 +203,18 @@ def jaccard_distance(a: Prepared, b: Prepared) -> float:
     at[at == b.n] = 0
     same = int((b.sorted[at] == a.sorted).sum())
     return 1 - same / (a.n + b.n - same)
+
+
+def jaccard_distances(texts: list[str | None], u: list[int], v: list[int], k: int) -> np.ndarray:
+    """`jaccard_distance` of the texts u[i] and v[i], for all i at once."""
+    s, n = shingles(*word_hashes([(t or "").lower().encode() for t in texts]), k)
+    names, rank = np.unique(labelled(s, n), return_inverse=True)
+    has = np.sort(np.repeat(np.arange(len(n)), n) * len(names) + rank)
+    a, b = np.array(u, np.int64), np.array(v, np.int64)
+    sizes = n[a]
+    pair = np.repeat(np.arange(len(a)), sizes)
+    token = np.arange(len(pair)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (np.cumsum(n) - n)[a][pair]
+    sought = b[pair] * len(names) + rank[token]
+    at = np.minimum(np.searchsorted(has, sought), max(0, len(has) - 1))
+    same = np.bincount(pair[has[at] == sought], minlength=len(a))
+    return np.where((n[a] > 0) & (n[b] > 0), 1 - same / np.maximum(1, n[a] + n[b] - same), (n[a] != n[b]).astype(float))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import bpe, bwt_dedup, common, exact_dedup, fingerprints, mixing, near, order_minhash, paragraphs, passages, toxicity, warc_zip
 from quern.llm.queries import ORACLE, QUERIES, tokenizer_path
-from quern.llm.shingles import Prepared, distance
+from quern.llm.shingles import Prepared, distance, jaccard_distance, jaccard_distances, prepared
 
 SF = "/root/testdata/sf0.001"
 TABLES = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -605,3 +605,26 @@ def test_mix_comes_in_the_order_of_its_slots(spark):
         n = len([1 for x, _ in want if x == slot])
         assert set(got[:n]) == at[slot]
         got = got[n:]
+
+
+def test_same_nodes_under_many_keys_are_compared_once(spark):
+    """Near copies share most of their bands: nodes 1 to 3 under four keys, 4 and 5 under one, 6 and 7 alone."""
+    rows = [(n, k) for n in (1, 2, 3) for k in (10, 20, 30, 40)] + [(4, 50), (5, 50), (6, 60), (7, 70)]
+    got = near._buckets(spark.createDataFrame(rows, "node long, key long")).collect()
+    assert sorted((r.key, r.node, r.leader) for r in got) == [(10, 1, 1), (10, 2, 1), (10, 3, 1), (50, 4, 4), (50, 5, 4)]
+
+
+def test_spans_of_a_text_are_joined(spark):
+    spans = [(1, 9, a, a + 50) for a in range(3, 700)] + [(1, 9, 900, 1100), (2, 9, 0, 50), (2, 9, 50, 100)]
+    rows = passages.joined(spark.createDataFrame(spans, "doc_id long, version long, a int, b int")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, set()).update(range(r.a, r.b))
+    assert got == {1: {*range(3, 749), *range(900, 1100)}, 2: set(range(100))} and len(rows) < 20
+
+
+def test_jaccard_distances_of_many_pairs():
+    texts = ["", "a", "a b c d e", "a b c d e f", "A B C D E f", "a b c d e " * 4, None]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    ready = prepared(texts, 5)
+    assert jaccard_distances(texts, *zip(*pairs), 5).tolist() == [jaccard_distance(ready[i], ready[j]) for i, j in pairs]
