@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Edges of a graph that are contracted together in a task.
+CONTRACTED = 1 << 18
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
@@ -28,24 +34,38 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 #: Setting under which Spark removes the shuffle files of a statement when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A join whose shuffled side is that small in every partition may hash it, which saves sorting both sides.
+HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     """Writes df to the shared scratch folder and reads it back.
 
     The committed files cut the lineage: what reads them needs no shuffle file of a lost
     executor and is not computed twice. So the write's own shuffle files can go when it has ended.
+    hashes: most columns are hashes and numbers of rows, for which a dictionary is built in
+    vain and close packing too; small sides of shuffled joins are hashed.
     """
-    spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    spark, settings = df.sparkSession, {CLEANUP: "true"} | ({HASHED: "16m"} if hashes else {})
+    path, before = scratch_path(spark, label), {k: spark.conf.get(k) for k in settings}
+    out = df.write.option("compression", "zstd")
+    if hashes:
+        out = out.option("parquet.enable.dictionary", "false").option("parquet.compression.codec.zstd.level", "1")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.scratch = path
+    return read
+
+
+def materialise_hashes(df: DataFrame, label: str) -> DataFrame:
+    """`materialise` for tables of hashes and numbers of rows."""
+    return materialise(df, label, hashes=True)
 
 
 def drop(*tables: DataFrame) -> None:
@@ -56,36 +76,73 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), b < a: stars that connect what the edges connect, each of a part of CONTRACTED edges at most."""
+    above: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        path = []
+        while (y := above.get(x)) is not None:
+            path.append(x)
+            x = y
+        for y in path:
+            above[y] = x
+        return x
+
+    def stars() -> pa.RecordBatch:
+        nodes = list(above)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+    met = 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, CONTRACTED):
+            part = batch.slice(k, CONTRACTED)
+            if met + part.num_rows > CONTRACTED:
+                yield stars()
+                above.clear()
+                met = 0
+            met += part.num_rows
+            for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+    yield stars()
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 40) -> DataFrame:
-    """Connected components of an undirected graph by alternating stars.
+    """Connected components of an undirected graph: edges contracted by task, then alternating stars.
 
     Returns (node, root) for every node of an edge, root being the least node of its
-    component. Edges with a null end are ignored, loops and repeats are harmless. Each round
+    component. Edges with a null end are ignored, loops and repeats are harmless. First each
+    task replaces parts of its edges by their stars, and these once more, dealt to tasks of
+    about CONTRACTED edges. What several parts have in common is left to rounds: each
     is two shuffled joins of the edges with the least neighbour of a node; minima combine
     before their shuffle, and both join inputs are plain exchanges, so AQE can split a hot
     node. It ends when every node that has a lesser neighbour has no other one. Nothing but
     one row a round reaches the driver.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
-    nodes = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-    now = materialise(nodes.where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
+    now = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
+    first = materialise_hashes(now.mapInArrow(_contracted, "a long, b long"), "edges")
+    parts = max(1, -(-first.count() // CONTRACTED))
+    now = materialise_hashes(first.coalesce(parts).mapInArrow(_contracted, "a long, b long"), "edges")
+    drop(first)
+    for k in range(rounds):
         # Large star: every neighbour above a node is linked to the least of its neighbourhood.
         both = now.union(now.select("b", "a"))
         ends = both.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("_most"))
-        least = materialise(ends.select(F.col("a").alias("n"), F.least("a", "m").alias("m"), ((F.col("m") < F.col("a")) & (F.col("m") < F.col("_most"))).alias("moves")), "large")
+        least = materialise_hashes(ends.select(F.col("a").alias("n"), F.least("a", "m").alias("m"), ((F.col("m") < F.col("a")) & (F.col("m") < F.col("_most"))).alias("moves")), "large")
         if least.where("moves").isEmpty():
-            drop(least)
-            break
+            drop(now)
+            return least.select(F.col("n").alias("node"), F.col("m").alias("root"))
         large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, now = (now, least), materialise(large.distinct(), "edges")
+        old, now = (now, least), materialise_hashes(large, "edges")
         drop(*old)
         # Small star: a node and its lesser neighbours are linked to the least of them.
-        least = materialise(now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "small")
+        least = materialise_hashes(now.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "small")
         small = now.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        old, now = (now, least), materialise(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        small = small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        # Neither star makes more edges than it reads. Most repeats come of the first round.
+        old, now = (now, least), materialise_hashes(small if k else small.distinct(), "edges")
         drop(*old)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, materialise
+from .common import components, drop
+from .common import materialise_hashes as materialise
 from .shingles import Prepared, common_counts, distance, jaccard_distance, jaccard_distances, prepared
 
 #: Ids that are broadcast at most (16 bytes each in the executors); more are shuffled.

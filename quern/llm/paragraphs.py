@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise
+from .common import drop
+from .common import materialise_hashes as materialise
 from .near import key_of, similar, with_leader
 from .passages import blocks, cut, near_spans, passage_rows, passage_runs, repeated_spans
 from .shingles import U, labelled, line_counts, mix, shingles, word_hashes

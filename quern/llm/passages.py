@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise
+from .common import drop
+from .common import materialise_hashes as materialise
 from .near import key_of, rows_of, similar, with_leader
 from .shingles import _SPACE, U, _power, mix, shingles, word_hashes
 
