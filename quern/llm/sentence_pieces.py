@@ -6,12 +6,13 @@ against the library's own, in the same Arrow batches.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import pairwise, repeat
 from operator import add
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ MARK = re.compile(f"[{MARKS}]")
 KEPT = 400_000
 #: Stretches longer than this are cut once more, wherever no piece spans two letters.
 LONG = 24
+#: What a pair costs that is no piece.
+NEVER = float("inf")
 
 
 class PieceBPE:
@@ -64,6 +67,8 @@ class PieceBPE:
         self.prefixed, self.trimmed = rules.add_dummy_prefix and not proto.trainer_spec.treat_whitespace_as_suffix, rules.remove_extra_whitespaces
         self.plain = not rules.precompiled_charsmap and not self.trimmed and rules.escape_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix and not proto.denormalizer_spec.precompiled_charsmap
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        #: Whether every pair has a cost below that of none, and no piece has a rule of its own.
+        self.simple = not self.whole and not self.unused and all(c < NEVER for c in self.cost.values())
         #: Pairs of letters that some piece spans. No merge crosses any other pair.
         self.spans = {a + b for p in self.cost for a, b in pairwise(p)}
         #: Stretches that no merge crosses: spaces open them, and so do marks, unless a piece spans a mark and what stands before it.
@@ -96,6 +101,8 @@ class PieceBPE:
         The agenda holds (score, place, joined text) of adjacent pairs, the highest score and
         then the leftmost first. An entry counts only if the pair at its place still reads so.
         """
+        if self.simple and len(parts) <= LONG:
+            return self.merged_few(parts)
         n, cost, whole, push, pop = len(parts), self.cost.get, self.whole, heapq.heappush, heapq.heappop
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         halves: dict[str, tuple[str, str]] = {}
@@ -126,6 +133,20 @@ class PieceBPE:
             return out
         return [x for p in out for x in self.resplit(p, halves)]
 
+    def merged_few(self, parts: list[str]) -> list[str]:
+        """The same for few letters: the cheapest pair, of equals the leftmost, is looked up in a list of all of them."""
+        cost = self.cost.get
+        costs = list(map(cost, map(add, parts, parts[1:]), repeat(NEVER)))
+        while costs and (least := min(costs)) < NEVER:
+            i = costs.index(least)
+            parts[i] += parts.pop(i + 1)
+            del costs[i]
+            if i:
+                costs[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
+            if i < len(costs):
+                costs[i] = cost(parts[i] + parts[i + 1], NEVER)
+        return parts
+
     def resplit(self, piece: str, halves: dict[str, tuple[str, str]]) -> list[str]:
         """A piece that is marked unused falls back into the halves it was made of."""
         todo, out = [piece], []
@@ -148,7 +169,10 @@ class PieceBPE:
                     found += [text[at]] if k == at + 1 else self.merged(list(text[at:k]))
                     at = k
             found += self.merged(list(text[at:]))
-        out: list[int] = []
+        out = list(map(self.ids.get, found, repeat(self.unknown)))
+        if self.unknown not in out:
+            return out
+        out = []
         for p in found:
             i = self.ids.get(p, self.unknown)
             if i != self.unknown:
@@ -235,8 +259,8 @@ def _coder(model: PieceBPE) -> tuple[Callable[[str], tuple[int, str, str]], Cach
         if not apart:
             ids = model.encode(text)
             return len(ids), ",".join(map(str, ids)), model.decode(ids)
-        parts = list(map(known.__getitem__, model.stretches(model.normal(text))))
-        return sum([n for n, _, _ in parts]), ",".join([i for _, i, _ in parts]), "".join([d for _, _, d in parts])[1:]
+        counts, ids, decoded = zip(*map(known.__getitem__, model.stretches(model.normal(text))))
+        return sum(counts), ",".join(ids), "".join(decoded)[1:]
 
     return coded, known
 
@@ -246,6 +270,9 @@ def _mapped(docs: DataFrame, path: str, row: Callable, schema: pa.Schema, ddl: s
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded, known = _coder(load(path))
+        # What is kept has no cycles: looking through hundreds of thousands of tuples for them finds nothing.
+        collects = gc.isenabled()
+        gc.disable()
         try:
             for b in batches:
                 out = [row(t.as_py() or "", coded) for t in b.column(1)]
@@ -253,6 +280,8 @@ def _mapped(docs: DataFrame, path: str, row: Callable, schema: pa.Schema, ddl: s
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
         finally:
             known.forget()
+            if collects:
+                gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(over, ddl)
 

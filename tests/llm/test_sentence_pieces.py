@@ -97,3 +97,13 @@ def test_models_of_other_kinds_are_refused(tmp_path):
     (tmp_path / "m").write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError, match="not a merge-type"):
         P.PieceBPE(str(tmp_path / "m"))
+
+
+def test_few_letters_need_no_agenda(monkeypatch):
+    model, r = P.PieceBPE(PATH), random.Random(9)
+    words = ["".join(r.choice("▁aeinrst.thehe" if k % 2 else LETTERS) for _ in range(r.randrange(1, P.LONG + 1))) for k in range(3000)] + ["a" * n for n in range(1, P.LONG + 1)]
+    model.simple = False
+    agenda = [model.merged(list(w)) for w in words]
+    model.simple = True
+    monkeypatch.setattr(P.heapq, "heapify", lambda _: pytest.fail("an agenda was made"))
+    assert [model.merged(list(w)) for w in words] == agenda
