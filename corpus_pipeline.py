@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, exact_dedup, mixing, order_minhash, toxicity
@@ -9,8 +12,24 @@ from quern.llm.common import scratch_path
 from quern.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of rows that go to a Python worker at once. Spark's own bound, 10,000 rows, is a whole partition of texts,
+#: which the executor and the worker then hold several times beside the executor's heap.
+BATCH = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with BATCH set for its session: the setting counts when the caller writes the stage's rows."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the lexicon is learned from the labels of documents that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -22,6 +41,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select(*COLUMNS)
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document of least doc_id stays."""
     return order_minhash.one_of_each(docs).select(*COLUMNS)
@@ -32,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs).select(*COLUMNS)
 
 
+@small_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, digested, with their decoding's digest."""
     return bpe.encoded_digests(docs, tokenizer_path())

@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import handed_back
+
 NONE = 1 << 60
 #: Words of at most so many symbols use the rank array; longer ones a heap, as repeated scans are quadratic.
 SHORT = 128
@@ -351,7 +353,7 @@ def _mapped(docs: DataFrame, path: str, row, schema: str, columns: list[str]) ->
         finally:
             model.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(over, f"doc_id bigint, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(handed_back(over), f"doc_id bigint, {schema}")
 
 
 def _runs(model: WordBPE, text: str) -> list[str]:

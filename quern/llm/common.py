@@ -1,9 +1,10 @@
-"""What several of the text operators share: scratch tables and connected components."""
+"""What several of the text operators share: scratch tables, tasks that hand their memory back, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,6 +77,29 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hand_back() -> None:
+    """Returns what this process has freed to the system, as far as its allocators keep it for later."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def handed_back(over: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """over, a function of a task's Arrow batches, that hands its memory back when the task ends.
+
+    A Python worker lives on after its task, within the same memory as its executor: what it
+    keeps is missing where the next stages need it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from over(batches)
+        finally:
+            hand_back()
+
+    return run
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b), b < a: stars that connect what the edges connect, each of a part of CONTRACTED edges at most."""
     above: dict[int, int] = {}
@@ -123,9 +147,9 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 40) -
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     now = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
-    first = materialise_hashes(now.mapInArrow(_contracted, "a long, b long"), "edges")
+    first = materialise_hashes(now.mapInArrow(handed_back(_contracted), "a long, b long"), "edges")
     parts = max(1, -(-first.count() // CONTRACTED))
-    now = materialise_hashes(first.coalesce(parts).mapInArrow(_contracted, "a long, b long"), "edges")
+    now = materialise_hashes(first.coalesce(parts).mapInArrow(handed_back(_contracted), "a long, b long"), "edges")
     drop(first)
     for k in range(rounds):
         # Large star: every neighbour above a node is linked to the least of its neighbourhood.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop
+from .common import components, drop, handed_back
 from .common import materialise_hashes as materialise
 from .shingles import Prepared, common_counts, distance, jaccard_distance, jaccard_distances, prepared
 
@@ -91,7 +91,7 @@ def _compared(pairs: DataFrame, k: int, ordered: bool, upto: float) -> DataFrame
                 at = to
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.float64()), pa.array(j, pa.float64())], names=["u", "v", "d", "j"])
 
-    return pairs.select("u", "v", "tu", "tv").mapInArrow(over, "u bigint, v bigint, d double, j double")
+    return pairs.select("u", "v", "tu", "tv").mapInArrow(handed_back(over), "u bigint, v bigint, d double, j double")
 
 
 def _exhaustive(k: int, ordered: bool, least: float) -> Callable:
@@ -205,7 +205,7 @@ def similar(members: DataFrame, texts: DataFrame, k: int, ordered: bool, least:
     dealt = dealt.select("key", "node", "comp", "d", "j", "open", "block", other).select("*", F.least("block", "_o").alias("b1"), F.greatest("block", "_o").alias("b2"))
     with_text = dealt.join(part, "node")
     with_text = with_text.select("key", "b1", "b2", "node", "comp", "d", "j", "open", "block", "text").repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    more = with_text.mapInArrow(_exhaustive(k, ordered, least), "u bigint, v bigint")
+    more = with_text.mapInArrow(handed_back(_exhaustive(k, ordered, least)), "u bigint, v bigint")
     more = materialise(more, "more-links")
     drop(part, left)
     if more.isEmpty():

@@ -7,13 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import handed_back, materialise
 from .near import BROADCAST_IDS, key_of, similar, with_leader
 from .shingles import U, labelled, mix, shingles, word_hashes
 
 #: With a share s of common shingles two texts agree in one of SKETCHES with 1 - (1 - s**LEAST)**SKETCHES: 0.9998 at 0.8.
 SKETCHES, LEAST = 16, 4
-BLOCK = 1 << 20
+#: Characters of texts that are hashed together; their arrays take some 100 bytes for each.
+BLOCK = 1 << 18
 
 
 def sketches(texts: list[str | None], k: int = 5, number: int = SKETCHES, least: int = LEAST) -> list[tuple[int, bytes, list[int]]]:
@@ -66,7 +67,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids[at:to], *(pa.array(c, f.type) for c, f in zip(zip(*got), list(fields)[1:]))], schema=fields)
                 at = to
 
-    return docs.select("doc_id", "text").mapInArrow(over, "node bigint, n int, sig binary, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(handed_back(over), "node bigint, n int, sig binary, keys array<bigint>")
 
 
 def near_classes(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import handed_back, materialise
 
 #: Letters of other scripts, and signs, that are read as Latin letters.
 LOOKALIKES = {
@@ -194,7 +194,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, number: dict[int, int]) ->
         return ()
     of = _phrases(lexicon)
     n = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)).alias("ab"[1 - t])
-    seen = sample.select("text", "toxic", "half").mapInArrow(lambda b: _counted(b, of), "feature string, n bigint, toxic int, half int").groupBy("feature").agg(n(1), n(0))
+    seen = sample.select("text", "toxic", "half").mapInArrow(handed_back(lambda b: _counted(b, of)), "feature string, n bigint, toxic int, half int").groupBy("feature").agg(n(1), n(0))
     clean = seen.where((F.col("b") >= LEAST_CLEAN) & ((F.col("a") + 0.5) / (number[1] + 1) <= (F.col("b") + 0.5) / (number[0] + 1)))
     return tuple(sorted(r.feature for r in clean.select("feature").collect()))
 
@@ -236,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, least_z: tuple[f
     n = lambda t, h: F.sum(F.when((F.col("toxic") == t) & (F.col("half") == h), F.col("n")).otherwise(0))
     seen = (
         sample.select("text", "toxic", "half")
-        .mapInArrow(lambda b: _counted(b, _features), "feature string, n bigint, toxic int, half int")
+        .mapInArrow(handed_back(lambda b: _counted(b, _features)), "feature string, n bigint, toxic int, half int")
         .groupBy("feature")
         .agg(n(1, 0).alias("a0"), n(1, 1).alias("a1"), n(0, 0).alias("b0"), n(0, 1).alias("b1"))
         .where(" or ".join(f"({a} >= 3 and ln(({a} + 0.5) / ({b} + 0.5)) >= {LEAST_W + math.log((t + 1) / (c + 1)) - 1e-9!r})" for a, b, t, c in counted))
@@ -271,7 +271,7 @@ def _weighed(docs: DataFrame, lexicons: list[Lexicon]) -> DataFrame:
             words = [folded(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([[float(f(w)) for f in weighs] for w in words], pa.list_(pa.float64())), pa.array([len(w) for w in words], pa.int64())], names=[*rest, "weights", "n_words"])
 
-    return docs.select("text", *rest).mapInArrow(over, schema.add("weights", T.ArrayType(T.DoubleType())).add("n_words", "long"))
+    return docs.select("text", *rest).mapInArrow(handed_back(over), schema.add("weights", T.ArrayType(T.DoubleType())).add("n_words", "long"))
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -288,7 +288,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             scores = [lexicon.score(weigh(w), len(w)) for t in b.column(1) for w in (folded(t.as_py()),)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=fields)
 
-    return docs.select("doc_id", "text").mapInArrow(over, "doc_id bigint, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(handed_back(over), "doc_id bigint, score double, predicted int")
 
 
 def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -311,4 +311,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
             clean = [lexicon.score(weigh(w), len(w)) < 0.5 for t in b.column(at) for w in (folded(t.as_py()),)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(over, schema)
+    return docs.mapInArrow(handed_back(over), schema)
