@@ -27,22 +27,23 @@ def _cells(df: DataFrame, row_ix: Column | None, columns: list[str]) -> DataFram
     return df.select(*([row_ix.cast("long").alias("row_ix")] if row_ix is not None else []), F.explode(cells).alias("c")).select("*", "c.*").drop("c")
 
 
-def column_profile(df: DataFrame, columns: list[str] | None = None, exact_distinct: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, columns: list[str] | None = None, exact_distinct: bool = True, cap: int | None = DISTINCT_CAP) -> DataFrame:
     """(index, name, non_empty_count, empty_count, unique_count, total_length, avg_length, is_likely_text).
 
     Counters are sums over one scan, combined before a shuffle of a row a column and task.
-    Distinct values are grouped by (column, value), so no column is one task's, and cut at
-    DISTINCT_CAP as a lower bound; without exact_distinct they are estimated in the scan.
+    Distinct values are grouped by (column, value), so no column is one task's, and told up to
+    cap as a lower bound, or all of them if it is None; without exact_distinct they are estimated in the scan.
     Long values are shuffled as their digest and length, never as texts.
     """
     columns = columns or df.columns
+    told = lambda n: n if cap is None else F.least(n, F.lit(cap))
     if exact_distinct:
         cells = _cells(df, None, columns)
         size = F.length("value")
         short = F.when(size > SHORT, F.sha2(F.col("value"), 256)).otherwise(F.col("value"))
         by_value = cells.groupBy("index", "name", "is_string", short.alias("value"), size.alias("size")).agg(F.count("*").alias("n"))
         some = F.col("value").isNotNull()
-        out = by_value.groupBy("index", "name").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_empty_count"), F.sum(F.when(some, 0).otherwise(F.col("n"))).alias("empty_count"), F.least(F.count("value"), F.lit(DISTINCT_CAP)).alias("unique_count"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("total_length"), F.sum(F.when(some & F.col("is_string"), F.col("n")).otherwise(0)).alias("_strings"))
+        out = by_value.groupBy("index", "name").agg(F.sum(F.when(some, F.col("n")).otherwise(0)).alias("non_empty_count"), F.sum(F.when(some, 0).otherwise(F.col("n"))).alias("empty_count"), told(F.count("value")).alias("unique_count"), F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("total_length"), F.sum(F.when(some & F.col("is_string"), F.col("n")).otherwise(0)).alias("_strings"))
     else:
         kinds = {f.name: isinstance(f.dataType, Y.StringType) for f in df.schema.fields}
         aggs = []
@@ -52,7 +53,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, exact_distin
         one = df.agg(F.array(*aggs).alias("a"))
         names = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(kinds[c]).alias("s")) for c in columns])
         x = one.select(F.posexplode(F.arrays_zip(F.col("a"), names.alias("b"))).alias("index", "z"))
-        out = x.select("index", F.col("z.b.name").alias("name"), F.col("z.a.n").alias("non_empty_count"), (F.col("z.a.all") - F.col("z.a.n")).alias("empty_count"), F.least("z.a.u", F.lit(DISTINCT_CAP)).alias("unique_count"), F.col("z.a.len").alias("total_length"), F.when(F.col("z.b.s"), F.col("z.a.n")).otherwise(F.lit(0)).alias("_strings"))
+        out = x.select("index", F.col("z.b.name").alias("name"), F.col("z.a.n").alias("non_empty_count"), (F.col("z.a.all") - F.col("z.a.n")).alias("empty_count"), told(F.col("z.a.u")).alias("unique_count"), F.col("z.a.len").alias("total_length"), F.when(F.col("z.b.s"), F.col("z.a.n")).otherwise(F.lit(0)).alias("_strings"))
     avg = F.coalesce(F.bround(F.try_divide(F.col("total_length"), F.col("non_empty_count")), 2), F.lit(0.0))
     out = out.withColumn("avg_length", avg.cast("double"))
     likely = F.coalesce((F.try_divide(F.col("_strings"), F.col("non_empty_count")) >= 0.8) & (F.col("avg_length") >= 15), F.lit(False))
