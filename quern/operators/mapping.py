@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
 from .cost import chunks
-from .tables import numbered, written
+from .tables import numbered, scratch_path, written
 
 FALLBACK = "unassigned"
 PARTIAL = "LLM_REDUCE_PARTIAL_COVERAGE"
@@ -156,7 +156,8 @@ class ModelClassifier:
     made again for a lost executor. warnings (code, n) and usage (one row of sums) are set by classify.
 
     With max_cost chunks go in waves of so many calls at once; what a wave used is written before the
-    next is sent, and once the sum is over the limit none is. What merging used counts too.
+    next is sent, and once the sum is over the limit none is. What merging used counts too. A wave is a
+    job of its own, a call a task, that reads and writes this wave alone, so waves cost the same however many went before.
     """
 
     def __init__(self, identifier: str, call_map: Callable, call_reduce: Callable | None = None, max_records: int = 120, max_tokens: int = 12_000, reduce_tokens: int = 12_000, max_cost: float | None = None, rates: Rates = Rates(), wave: int = 8) -> None:
@@ -165,6 +166,7 @@ class ModelClassifier:
         self.max_cost, self.rates, self.wave = max_cost, rates, wave
         self.warnings: DataFrame | None = None
         self._used: list[DataFrame] = []
+        self._spent = 0.0
 
     @property
     def usage(self) -> DataFrame:
@@ -172,28 +174,38 @@ class ModelClassifier:
         rows = self._used[0]
         for more in self._used[1:]:
             rows = rows.unionByName(more)
+        costs = F.coalesce(F.sum(self._cost()), F.lit(0.0))
+        return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS if c != "cost"), costs.alias("cost"))
+
+    def _cost(self) -> Column:
         r = self.rates
         at_rates = S.usage_cost(*(F.col(c) for c in ("prompt_tokens", "completion_tokens", "cached_tokens", "cache_write_tokens")), *(F.lit(x).cast("double") for x in (r.prompt, r.completion, r.cache_read, r.cache_write)))
-        costs = F.coalesce(F.sum(F.coalesce("cost", at_rates)), F.lit(0.0))
-        return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS if c != "cost"), costs.alias("cost"))
+        return F.coalesce("cost", at_rates)
 
-    def _check_cost(self) -> None:
-        if self.max_cost is not None and (spent := self.usage.first()["cost"]) > self.max_cost:
-            raise CostLimitExceeded(spent, self.max_cost)
+    def _charge(self, used: DataFrame) -> None:
+        """Adds what calls used, a row for each, to what is spent; beyond the limit that is an error."""
+        if self.max_cost is None:
+            return
+        self._spent += sum(r["cost"] for r in used.select(self._cost().alias("cost")).collect())
+        if self._spent > self.max_cost:
+            raise CostLimitExceeded(self._spent, self.max_cost)
 
-    def mapped(self, groups: DataFrame) -> DataFrame:
-        """(record_id, chunk, pos, category, question, theme) as the model gave them.
+    def shown(self, groups: DataFrame) -> DataFrame:
+        """(record_id, count, text, tokens) of the groups, written, so that these are computed once.
 
         Chunks are sized by what the prompt shows: with their context, if records have one.
         """
-        call = self.call_map
         context = F.col("context") if "context" in groups.columns else None
         shown = T.render_record(F.col("record_id"), F.col("redacted_text"), context)
-        text = shown if getattr(call, "rendered", False) else F.col("redacted_text")
-        ready = groups.select("record_id", "count", text.alias("text"), S.record_tokens(shown).alias("tokens"))
-        sent = chunks(ready, self.max_records, self.max_tokens)
-        step = self.wave if self.max_cost is not None else 1 << 40
-        sent = written(sent.withColumn("wave", F.floor(F.col("chunk") / step).cast("long")), "chunks", by="wave")
+        text = shown if getattr(self.call_map, "rendered", False) else F.col("redacted_text")
+        return written(groups.select("record_id", "count", text.alias("text"), S.record_tokens(shown).alias("tokens")), "records")
+
+    def mapped(self, ready: DataFrame) -> DataFrame:
+        """(record_id, chunk, pos, category, question, theme) of shown records as the model gave them."""
+        call, spark = self.call_map, ready.sparkSession
+        limited = self.max_cost is not None
+        sent = chunks(ready, self.max_records, self.max_tokens).withColumn("wave", F.floor(F.col("chunk") / (self.wave if limited else 1 << 40)).cast("long"))
+        sent = written(sent.repartition("wave") if limited else sent, "chunks", by="wave")
 
         def over(key, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("position")
@@ -203,19 +215,30 @@ class ModelClassifier:
             rows.append((None, int(key[0]), None, None, None, None, *(got.usage or Usage()).row()))
             return pd.DataFrame(rows, columns=["record_id", "chunk", "pos", "category", "question", "theme", *COUNTERS]).astype({"pos": "Int64"} | {c: "Int64" for c in COUNTERS if c != "cost"} | {"cost": "float64"})
 
-        waves, answers = (sent.agg(F.max("wave")).first()[0] or 0) + 1, []
-        for w in range(waves):
-            calls = sent.where(F.col("wave") == w).groupBy("chunk").applyInPandas(over, f"record_id string, chunk long, pos long, category string, question string, theme string, {USAGE}")
-            answers.append(written(calls, "mapped"))
-            self._used.append(answers[-1].where("calls is not null").select(*COUNTERS).withColumn("cost", F.nanvl("cost", F.lit(None).cast("double"))))
-            self._check_cost()
-        out = answers[0]
-        for more in answers[1:]:
-            out = out.unionByName(more)
-        return out.where("calls is null").select("record_id", "chunk", "pos", "category", "question", "theme")
+        def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if held := list(batches):
+                for chunk, pdf in pd.concat(held).groupby("chunk"):
+                    yield over((chunk,), pdf)
+
+        schema, path = f"record_id string, chunk long, pos long, category string, question string, theme string, {USAGE}", scratch_path(spark, "mapped")
+        read = lambda at: spark.read.schema(schema).parquet(at)
+        used = lambda answers: answers.where("calls is not null").select(*COUNTERS).withColumn("cost", F.nanvl("cost", F.lit(None).cast("double")))
+        try:
+            for w in range((sent.agg(F.max("wave")).first()[0] or 0) + 1):
+                rows, at = sent.where(F.col("wave") == w), f"{path}/wave={w}"
+                calls = rows.repartitionById(self.wave, (F.col("chunk") % self.wave).cast("int")).mapInPandas(in_task, schema) if limited else rows.groupBy("chunk").applyInPandas(over, schema)
+                calls.write.parquet(at)
+                self._charge(used(read(at)))
+        except CostLimitExceeded:
+            self._used.append(used(read(path)))
+            raise
+        answers = read(path)
+        self._used.append(used(answers))
+        return answers.where("calls is null").select("record_id", "chunk", "pos", "category", "question", "theme")
 
     def classify(self, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        self._used = []
+        self._used, self._spent = [], 0.0
+        groups = self.shown(groups)
         mapped = self.mapped(groups)
         catalog = mapped.groupBy("category").agg(F.first("question").alias("question"), F.first("theme").alias("theme"))
         assign, self.warnings = repaired(mapped, catalog, groups)
@@ -271,7 +294,7 @@ class ModelClassifier:
 
             answers = written(rows.groupBy("chunk").applyInPandas(over, f"position long, group long, pos long, title string, topic string, {USAGE}"), "merges")
             self._used.append(answers.where("calls is not null").select(*COUNTERS).withColumn("cost", F.nanvl("cost", F.lit(None).cast("double"))))
-            self._check_cost()
+            self._charge(self._used[-1])
             merges = answers.where("calls is null")
             target = merged_categories(cats, merges).join(cats.select("position", F.col("target").alias("old")), "position")
             titles = merges.groupBy(F.concat(F.lit("g"), F.col("group").cast("string")).alias("new")).agg(F.max("title").alias("named"), F.max("topic").alias("themed"))

@@ -2,9 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from quern.operators import mapping as M
+from quern.operators import model_output as O
 from quern.operators import profile as PR
 from quern.plans import books
 
+from test_runs import everything, groups_of
+
 
 def test_workbook_profile_counts_all_distinct_values(spark, monkeypatch):
     n = PR.DISTINCT_CAP + 7
@@ -14,3 +18,18 @@ def test_workbook_profile_counts_all_distinct_values(spark, monkeypatch):
     assert got == {"o_orderkey": n, "note": 1}
     capped = {r["name"]: r.unique_count for r in PR.column_profile(rows, ["o_orderkey", "note"]).collect()}
     assert capped == {"o_orderkey": PR.DISTINCT_CAP, "note": 1}
+
+
+def test_waves_cost_the_same_however_many_went_before(spark):
+    """Each wave reads and writes itself alone, what all used is one table, and records are rendered once."""
+    model = O.TextClassifier("fake", everything(M.Usage(1, cost=0.5)), merge=False, max_records=1, wave=1, max_cost=100.0)
+    groups, seen = groups_of(spark, *(f"{i} numaralı dersin sınavı" for i in range(5))), spark.sparkContext.accumulator(0)
+
+    def counted(text: str) -> str:
+        seen.add(1)
+        return text
+
+    assign, question, _ = model.classify(groups.withColumn("redacted_text", F.udf(counted)("redacted_text")))
+    assert model.usage.first().asDict() == {"prompt_tokens": 5, "completion_tokens": 0, "cached_tokens": 0, "cache_write_tokens": 0, "calls": 5, "cost": 2.5}
+    assert model.usage._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert assign.count() == 5 and question.count() == 1 and seen.value == 5
