@@ -135,31 +135,32 @@ def without_angles(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """Theme id of a name: Turkish letters to ASCII, other marks dropped, runs of the rest as dashes.
 
-    Decomposition has no native form. Characters that decompose to one ASCII letter, by the
-    Unicode tables, are translated; those that decompose to several are looked up one by one, in
-    the few texts that have any; what is not ASCII then is dropped.
+    Decomposition has no native form. Characters that decompose to ASCII letters, by the Unicode
+    tables, are replaced, each kind that a text has at once; what is not ASCII then is dropped. No
+    pattern names them: a class of so many characters is tried one by one at every place of a text.
     """
-    one, several = _decomposed()
-    lowered = F.translate(turkish_lower(c), LETTERS, ASCII_LETTERS)
-    plain = F.translate(lowered, "".join(one), "".join(one.values()))
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    spelled = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    plain = F.when(plain.rlike("[" + "".join(several) + "]"), spelled).otherwise(plain)
+    spelled = _decomposed() | dict(zip(LETTERS, ASCII_LETTERS))
+    # Of the capitals that Turkish lowers otherwise only the dotted one ends elsewhere: the others have the ASCII letter of their small form.
+    lowered = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))
+    table = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    found = F.array_intersect(F.regexp_extract_all(lowered, F.lit(r"([^\x00-\x7F])"), 1), F.array(*[F.lit(x) for x in spelled]))
+    plain = F.aggregate(found, lowered, lambda text, x: F.replace(text, x, F.element_at(table, x)))
     plain = F.regexp_replace(plain, r"[^\x00-\x7F]", "")
     dashed = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.concat(F.lit("t-"), F.when(dashed == "", F.lit("diger")).otherwise(dashed))
+    # Read in one place, as all of it would be computed again in another.
+    return F.concat(F.lit("t-"), F.regexp_replace(dashed, r"\A\z", "diger"))
 
 
 @cache
-def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
-    """Characters of the basic plane whose compatibility decomposition has ASCII in it: by one character, and by several."""
+def _decomposed() -> dict[str, str]:
+    """Characters of the basic plane whose compatibility decomposition has ASCII in it, and that part of it."""
     import unicodedata
 
     found = {}
     for i in [*range(0xA0, 0xD800), *range(0xF900, 0x10000)]:
         if ascii_part := "".join(x for x in unicodedata.normalize("NFKD", chr(i)) if x < "\x80"):
             found[chr(i)] = ascii_part
-    return {a: b for a, b in found.items() if len(b) == 1}, {a: b for a, b in found.items() if len(b) > 1}
+    return found
 
 
 def formula_guard(c: Column) -> Column:

@@ -1,7 +1,11 @@
 """Queries that do their whole job: no cap on what is counted, and work that grows with the tables alone."""
 
+import re
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import mapping as M
 from quern.operators import model_output as O
 from quern.operators import profile as PR
@@ -33,3 +37,14 @@ def test_waves_cost_the_same_however_many_went_before(spark):
     assert model.usage.first().asDict() == {"prompt_tokens": 5, "completion_tokens": 0, "cached_tokens": 0, "cache_write_tokens": 0, "calls": 5, "cost": 2.5}
     assert model.usage._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
     assert assign.count() == 5 and question.count() == 1 and seen.value == 5
+
+
+def test_slugs_try_no_class_of_all_characters(spark):
+    """Characters that decompose to several come out as Unicode has them, and no pattern looks for them at each place."""
+    several = {x: unicodedata.normalize("NFKD", x) for x in "ĳǆŉﬁﬃ½⑳㎏№℡…‼ǉ㏒⒜ﷺ" if x == x.lower()}
+    texts = [f"a{x}b{x}" for x in several] + ["".join(several), "漢字" * 50 + "№"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.slug(F.col("t")).alias("s"))
+    plain = ["".join(several.get(x, x) for x in t) for t in texts]
+    want = ["t-" + (re.sub("[^a-z0-9]+", "-", re.sub(r"[^\x00-\x7f]", "", x)).strip("-") or "diger") for x in plain]
+    assert [r.s for r in df.orderBy("i").collect()] == want
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
