@@ -5,10 +5,10 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import numbered as ranges
 
 #: Titles of what no signature covers.
 OTHER_QUESTION, OTHER_THEME, OTHER_ID = "Sınıflandırılamayan kısa mesajlar", "Diğer", "t-diger"
@@ -43,25 +43,19 @@ class Deterministic:
     identifier = "deterministic-proxy/v1"
 
     def questions(self, groups: DataFrame) -> DataFrame:
-        buckets = signature_buckets(groups)
-        # Numbers run over all questions, by falling count. How many have each count is a small
-        # table, one task's; within a count signatures are numbered in tasks of their own.
-        last = F.size("signature") == 0
-        by_count = buckets.groupBy("count", last.alias("last")).agg(F.count("*").alias("n"))
-        before = W.orderBy("last", F.desc("count")).rowsBetween(W.unboundedPreceding, -1)
-        offsets = by_count.select("count", "last", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        within = W.partitionBy("count", "last").orderBy("signature")
-        numbered = buckets.withColumn("last", last).withColumn("k", F.row_number().over(within)).join(offsets, ["count", "last"])
-        numbered = numbered.withColumn("position", (F.col("offset") + F.col("k")).cast("int")).drop("last", "k", "offset")
+        # A title needs no more than the head of a text, so none is shuffled whole.
+        buckets = signature_buckets(groups.withColumn("redacted_text", T.heading(F.col("redacted_text"))))
+        # Numbers run over all questions, by falling count, in ranges of that order: most questions have the same few counts.
+        none = F.size("signature") == 0
+        numbered = ranges(buckets, [none, F.desc("count"), F.col("signature")], "position").withColumn("position", F.col("position").cast("int"))
         words = numbered.select("position", F.explode("signature").alias("token")).join(token_corpus(groups), "token")
         theme = words.groupBy("position").agg(F.max_by("token", F.struct("freq", "token")).alias("token"))
-        none = F.size("signature") == 0
         return numbered.join(theme, "position", "left").select(
             "signature",
             "position",
             "count",
             F.concat(F.lit("q"), F.col("position").cast("string")).alias("question_id"),
-            F.when(none, F.lit(OTHER_QUESTION)).otherwise(T.heading(F.col("text"))).alias("canonical_question"),
+            F.when(none, F.lit(OTHER_QUESTION)).otherwise(F.col("text")).alias("canonical_question"),
             F.when(none, F.lit(OTHER_ID)).otherwise(F.concat(F.lit("t-"), F.col("token"))).alias("theme_id"),
             F.when(none, F.lit(OTHER_THEME)).otherwise(T.capitalize(F.col("token"))).alias("theme_name"),
         )

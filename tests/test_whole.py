@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import mapping as M
 from quern.operators import model_output as O
+from quern.operators import preprocess as P
 from quern.operators import profile as PR
+from quern.operators.classify import Deterministic
 from quern.plans import books
 
 from test_runs import everything, groups_of
@@ -48,3 +50,28 @@ def test_slugs_try_no_class_of_all_characters(spark):
     want = ["t-" + (re.sub("[^a-z0-9]+", "-", re.sub(r"[^\x00-\x7f]", "", x)).strip("-") or "diger") for x in plain]
     assert [r.s for r in df.orderBy("i").collect()] == want
     assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def counting(spark, df, column):
+    """df with a column whose reads are counted, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text: str) -> str:
+        seen.add(1)
+        return text
+
+    return df.withColumn(column, F.udf(counted)(column)), seen
+
+
+TEXTS = ["Sınav ne zaman?", "sınav ne zaman", "Yurt ücreti ne kadar", "kayıt yenileme tarihi", "ok", "tamam", None, "12", "ara@example.com kayıt yenileme tarihi"]
+
+
+def test_record_lists_read_their_groups_once(spark, monkeypatch):
+    rows = P.messages(spark.createDataFrame(list(enumerate(TEXTS)), "row_ix long, value string"))
+    groups, seen = counting(spark, spark.createDataFrame(P.groups(rows).collect(), P.groups(rows).schema), "redacted_text")
+    monkeypatch.setattr(books, "_groups", lambda spark, d: groups)
+    n = groups.count()
+    got = books.QUERIES["record_lists"](spark, "").collect()
+    assert len(got) == n and seen.value <= n
+    # Questions of one count are numbered in ranges, not in a window of that count.
+    assert "Window" not in Deterministic().questions(groups)._jdf.queryExecution().optimizedPlan().toString()
