@@ -72,15 +72,40 @@ def groups(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     first few in that order. Rows are counted by spelling first, which combines before the
     shuffle; the window then ranks spellings, not rows.
     """
-    ok = analyzed(rows)
-    extra = [F.any_value("context").alias("context")] if "context" in rows.columns else []
+    return _grouped(analyzed(rows), examples)
+
+
+def every_group(rows: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """The same with status, and for each status of other rows one row without texts: what groups and summary are made of in one pass."""
+    ok = F.col("status") == "analyzed"
+    texts = [F.when(ok, F.col(c)).alias(c) for c in ("record_id", "key", "masked", *(["context"] if "context" in rows.columns else []))]
+    return _grouped(rows.select("status", "row_ix", "redacted", *texts), examples, "status")
+
+
+def summary_of(every: DataFrame) -> DataFrame:
+    """The counters of summary from every_group."""
+    ok = F.col("status") == "analyzed"
+    total = lambda test, c="count": F.coalesce(F.sum(F.when(test, F.col(c))), F.lit(0).cast("long"))
+    out = every.agg(
+        total(F.lit(True)).alias("total_rows"),
+        total(ok).alias("analyzed_count"),
+        total(F.col("status") == "context").alias("context_only_count"),
+        total(~F.col("status").isin("analyzed", "context")).alias("discarded_count"),
+        total(ok, "redacted_count").alias("redacted_count"),
+        F.count_distinct("record_id").alias("unique_count"),
+    )
+    return out.withColumn("duplicate_count", F.col("analyzed_count") - F.col("unique_count"))
+
+
+def _grouped(ok: DataFrame, examples: int, *keys: str) -> DataFrame:
+    extra = [F.any_value("context").alias("context")] if "context" in ok.columns else []
     # The key follows from the id; as a grouping column it leaves numbers alone to aggregate, which hash in place.
-    spelled = ok.groupBy("record_id", "key", "masked").agg(F.count("*").alias("n"), F.count_if("redacted").alias("r"), F.min("row_ix").alias("first"), *extra)
+    spelled = ok.groupBy(*keys, "record_id", "key", "masked").agg(F.count("*").alias("n"), F.count_if("redacted").alias("r"), F.min("row_ix").alias("first"), *extra)
     rank = F.row_number().over(W.partitionBy("record_id").orderBy(F.desc("n"), "first"))
     ranked = spelled.withColumn("k", rank)
     top = F.collect_list(F.when(F.col("k") <= max(1, examples), F.struct("k", "masked")))
     more = [F.any_value("context").alias("context")] if extra else []
-    out = ranked.groupBy("record_id", "key").agg(F.sum("n").alias("count"), F.sum("r").alias("redacted_count"), top.alias("_top"), *more)
+    out = ranked.groupBy(*keys, "record_id", "key").agg(F.sum("n").alias("count"), F.sum("r").alias("redacted_count"), top.alias("_top"), *more)
     out = out.withColumn("examples", F.transform(F.array_sort("_top"), lambda x: x["masked"])).drop("_top")
     return out.withColumn("redacted_text", F.get("examples", F.lit(0)))
 

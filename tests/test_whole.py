@@ -6,12 +6,14 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import filters as R
 from quern.operators import mapping as M
 from quern.operators import model_output as O
 from quern.operators import preprocess as P
 from quern.operators import profile as PR
 from quern.operators.classify import Deterministic
 from quern.plans import books
+from quern.plans.analysis import analyze
 
 from test_runs import everything, groups_of
 
@@ -66,6 +68,18 @@ def counting(spark, df, column):
 TEXTS = ["Sınav ne zaman?", "sınav ne zaman", "Yurt ücreti ne kadar", "kayıt yenileme tarihi", "ok", "tamam", None, "12", "ara@example.com kayıt yenileme tarihi"]
 
 
+def test_an_analysis_reads_its_texts_once(spark):
+    """Summary, lists and report come from one written table of groups; none is a cache of texts."""
+    df, seen = counting(spark, spark.createDataFrame(list(enumerate(TEXTS)), "i long, t string").repartition(3), "t")
+    x = analyze(df, F.col("i"), R.Request("t"))
+    for part in (x.top, x.themes, x.report, x.summary):
+        part.collect()
+        assert "InMemory" not in part._jdf.queryExecution().optimizedPlan().toString()
+    assert seen.value == len(TEXTS)
+    want = P.summary(P.messages(df.select(F.col("i").alias("row_ix"), F.col("t").alias("value")))).first()
+    assert x.summary.first() == want and want.total_rows == len(TEXTS) and want.discarded_count >= 3
+
+
 def test_record_lists_read_their_groups_once(spark, monkeypatch):
     rows = P.messages(spark.createDataFrame(list(enumerate(TEXTS)), "row_ix long, value string"))
     groups, seen = counting(spark, spark.createDataFrame(P.groups(rows).collect(), P.groups(rows).schema), "redacted_text")
